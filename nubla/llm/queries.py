@@ -7,9 +7,11 @@ from importlib import import_module
 NAMES = {
     "op1_packing": "packing",
     "op5_vector_dedup": "vector_dedup",
+    "op6_line_dedup": "line_dedup",
     "op7_toxicity": "toxicity",
     "op8_language_id": "language_id",
     "op9_vector_search": "vector_search",
+    "op10_minhash_dedup": "minhash_dedup",
 }
 
 
