@@ -165,7 +165,7 @@ def connect(row: np.ndarray, value: np.ndarray, count: np.ndarray, rows: int, th
 
 
 def _verify(threshold: float):
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         rep = group.column("rep").combine_chunks().to_numpy()
         order = np.argsort(rep, kind="stable")
         once = order[np.unique(rep[order], return_index=True)[1]]

@@ -55,7 +55,7 @@ def _describe(pivots: pa.Array, prefix: int):
 def _verify(threshold: float, shared: int, blocks: dict[int, int]):
     """A group (pivot, low, high) of two blocks, or one -> (rep, links, low): verified links of each, and a spanning set."""
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         pivot = key[0].as_py()
         side = {n: group.column(n).combine_chunks() for n in ("rep", "n", "described", "embedding", "block")}
         rep, n, block = side["rep"].to_numpy(), side["n"].to_numpy(), side["block"].to_numpy()
