@@ -6,6 +6,9 @@ from importlib import import_module
 
 NAMES = {
     "op1_packing": "packing",
+    "op2_licenses": "licenses",
+    "op3_mixing": "mixing",
+    "op4_secrets": "secrets",
     "op5_vector_dedup": "vector_dedup",
     "op6_line_dedup": "line_dedup",
     "op7_toxicity": "toxicity",
