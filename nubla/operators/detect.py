@@ -93,15 +93,15 @@ def find(text: Column, rule: R.Rule, number: int = 0, words: Dictionaries | None
     return found
 
 
-def detect(notes: DataFrame, words: Dictionaries | None = None, text: str = "text", boundary: str = "ascii") -> DataFrame:
-    """``notes`` with ``candidates``: the spans of all rules, overlaps included, in the rules' order.
+def detect(notes: DataFrame, words: Dictionaries | None = None, text: str = "text", boundary: str = "ascii", only: set[str] | None = None) -> DataFrame:
+    """``notes`` with ``candidates``: the spans of all rules (or those named), overlaps included, in the rules' order.
 
     Partial dates and years don't repeat what an earlier date holds, and a name with an age nothing that an earlier
     relative touches. A null text has no candidates.
     """
     all_rules = R.rules(words)
     value = F.coalesce(F.col(text), F.lit(""))
-    every = [(i, r, f"_{r.name}") for i, r in enumerate(all_rules)]
+    every = [(i, r, f"_{r.name}") for i, r in enumerate(all_rules) if not only or r.name in only]
     out = notes.withColumns({name: find(value, r, i, words, boundary) for i, r, name in every})
     inside = lambda s, found: F.exists(found, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]))
     touches = lambda s, found: F.exists(found, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
