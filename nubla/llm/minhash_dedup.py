@@ -27,7 +27,7 @@ from nubla.llm.common import U64, byte_slices, components, mix64, table, text_by
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 30, 6
-BLOCK_DOCS, BLOCK_WORDS = 1024, 300_000
+BLOCK_DOCS, BLOCK_WORDS = 1024, 150_000
 BROADCAST_ROWS = 500_000
 STEP, GOLD = U64(0x9E3779B97F4A7C15 | 1), U64(0xD1B54A32D192ED03)
 INVERSE = U64(pow(int(STEP), -1, 1 << 64))
@@ -105,7 +105,7 @@ def _sketch(batch: pa.RecordBatch):
     """(words, c1, c2, bands) of a batch's texts: the class is a 128-bit hash of the multiset."""
     text = pc.fill_null(batch.column("text"), "")
     parts = []
-    for a, b in byte_slices(text, 1 << 22):
+    for a, b in byte_slices(text, 1 << 20):
         own = text.slice(a, b - a)
         row, value, count, words = shingles(own)
         n = b - a

@@ -98,7 +98,7 @@ class Model:
         def read(text: str) -> np.ndarray:
             found = TOKEN.findall(text.lower())
             counts = np.zeros(9)
-            if len(memo) > 500_000:
+            if len(memo) > 60_000:
                 memo.clear()
             for w in set(found):
                 if w not in memo:
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 def _scores(model: Model, text: pa.Array) -> np.ndarray:
     """Scores of a string array without nulls."""
     read, out = model.reader(), []
-    for a, b in byte_slices(text, 1 << 23):
+    for a, b in byte_slices(text, 1 << 21):
         out += [float(read(t) @ model.weights) for t in text.slice(a, b - a).to_pylist()]
     return 1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30)))
 
