@@ -92,8 +92,8 @@ def rule_sql(rule: R.Rule, number: int) -> str:
     return f"""
 select note_id, {number} as rule, s::int as span_start, (s + length(t))::int as span_end, {q(rule.type)} as type, {q(rule.subtype)} as subtype, t as span_text, {rule.confidence}e0 as confidence
 from (select note_id, text, s, {_clean(rule, 'b')} as t
-  from (select note_id, text, s, {body} as b
-    from (select note_id, text, l + coalesce(list_sum(list_transform(g[1:i], lambda v: length(v))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) as s, substr(m[i], l + 1) as b
+  from (select note_id, text, s0::bigint as s, {body} as b
+    from (select note_id, text, l + coalesce(list_sum(list_transform(g[1:i], lambda v: length(v))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) as s0, substr(m[i], l + 1) as b
       from (select *, {lead} as l from (select note_id, text, regexp_extract_all(text, {q(pattern)}, 0, {flag}) as m, regexp_split_to_array(text, {q(pattern)}, {flag}) as g from notes), unnest(range(1, len(m) + 1)) as u(i)))))
 where length(t) >= {max(1, rule.least)}{near}"""
 
@@ -298,5 +298,7 @@ processed as (
 def chain(notes: str, to: str, select: str, strict: bool = False, only: set[str] | None = None) -> str:
     """SQL of ``select`` over the CTEs up to ``to``: cand, resolved, scored, kept or labelled."""
     steps = {"cand": candidates(only), "resolved": RESOLVED, "scored": scored(), "kept": kept(strict), "labelled": labelled(strict)}
-    parts = list(steps.values())[: list(steps).index(to) + 1]
-    return f"with recursive notes as ({notes}),\n" + ",\n".join(parts) + "\n" + select
+    parts = ",\n".join(list(steps.values())[: list(steps).index(to) + 1])
+    for name in ("cand", "ranked", "resolved", "scored", "adjusted", "kept", "professionals", "centres", "days", "visits", "labelled", "pieces"):
+        parts = parts.replace(f"\n{name} as (", f"\n{name} as materialized (")
+    return f"with recursive notes as materialized ({notes}),\n{parts}\n{select}"
