@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -11,10 +12,51 @@ from pyspark.sql import functions as F
 ASCII_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+_WORD_BEFORE = re.compile(r"(?:\\d|\[[A-Za-z0-9\-]+\]|[A-Za-z0-9])(?:\{[0-9,]+\}|\+)?$")
+
+
+def _alternatives(group: str) -> list[str]:
+    """The alternatives of a pattern that starts with ``(?:``, without what follows the group."""
+    depth, parts, at = 0, [], 3
+    i = 0
+    while i < len(group):
+        c = group[i]
+        if c == "\\":
+            i += 2
+            continue
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 1:
+            parts.append(group[at:i])
+            at = i + 1
+        if depth == 0:
+            return [] if group[i + 1 : i + 2] in ("?", "*") else [*parts, group[at:i]]
+        i += 1
+    return []
+
+
+def _starts_with_word(pattern: str) -> bool:
+    """Whether all that a pattern matches begins with an ASCII word character, as far as can be seen."""
+    if pattern.startswith("(?:"):
+        parts = _alternatives(pattern)
+        return bool(parts) and all(map(_starts_with_word, parts))
+    return bool(re.match(r"\\d|\[[A-Za-z0-9\-]+\](?![?*])|[A-Za-z0-9](?![?*])", pattern))
+
+
 def java(pattern: str, ignore_case: bool = False, boundary: str = "ascii") -> str:
-    """A pattern for Spark: ``boundary`` is ``ascii`` or ``unicode``; case is folded for accented letters, too."""
+    """A pattern for Spark: ``boundary`` is ``ascii`` or ``unicode``; case is folded for accented letters, too.
+
+    A word boundary beside what is surely a word character needs one look only.
+    """
     if boundary == "ascii":
-        pattern = pattern.replace(r"\b", ASCII_EDGE)
+        parts = pattern.split(r"\b")
+        for i in range(1, len(parts)):
+            if _starts_with_word(parts[i]):
+                parts[i] = r"(?<![A-Za-z0-9_])" + parts[i]
+            elif _WORD_BEFORE.search(parts[i - 1]):
+                parts[i] = r"(?![A-Za-z0-9_])" + parts[i]
+            else:
+                parts[i] = ASCII_EDGE + parts[i]
+        pattern = "".join(parts)
     return f"(?iu){pattern}" if ignore_case else pattern
 
 
@@ -41,5 +83,18 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def alternation(words: list[str]) -> str:
-    """A pattern for any of some literal words, longest first."""
-    return "|".join("".join("\\" + c if c in r".*+?^${}()|[]\/-" else c for c in w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    """A pattern for any of some literal words, the longest that fits: a tree of their common beginnings."""
+    quoted = lambda c: "\\" + c if c in r".*+?^${}()|[]\/-" else c
+
+    def tree(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            if w:
+                heads.setdefault(w[0], []).append(w[1:])
+        parts = [quoted(c) + tree(tails) for c, tails in sorted(heads.items())]
+        if not parts:
+            return ""
+        joined = parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return f"(?:{joined})?" if "" in rest else joined
+
+    return tree(sorted(set(words)))

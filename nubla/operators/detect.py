@@ -84,7 +84,7 @@ def find(text: Column, rule: R.Rule, number: int = 0, words: Dictionaries | None
         full = lambda t: F.struct(start.alias("start"), (start + F.length(t)).alias("end"), F.lit(rule.type).alias("type"), F.lit(rule.subtype).alias("subtype"), t.alias("text"), F.lit(rule.confidence).alias("confidence"), F.lit(number).alias("rule"))
         return let(body, full)
 
-    found = F.transform(matches(text, java(rule.lead + rule.body if not rule.lead else f"(?:{rule.lead})(?:{rule.body})", rule.ignore_case, boundary)), span)
+    found = F.transform(matches(text, java(rule.lead + rule.body, rule.ignore_case, boundary)), span)
     found = F.filter(found, lambda s: F.length(s["text"]) >= max(1, rule.least))
     if rule.around:
         left, right, cue = rule.around

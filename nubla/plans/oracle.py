@@ -81,7 +81,7 @@ def _clean(rule: R.Rule, t: str) -> str:
 
 def rule_sql(rule: R.Rule, number: int) -> str:
     """Rows (note_id, rule, span_start, span_end, type, subtype, span_text, confidence) of one rule, without others' checks."""
-    pattern = f"(?:{rule.lead})(?:{rule.body})" if rule.lead else rule.body
+    pattern = rule.lead + rule.body
     flag = q("i" if rule.ignore_case else "c")
     lead = f"length(regexp_extract(m[i], {q('^(?:' + rule.lead + ')')}, 0, {flag}))" if rule.lead else "0"
     body = f"regexp_replace(b, '\\s+$', '')" if rule.trim else "b"

@@ -22,9 +22,9 @@ SPAN = ("note_id", "span_start", "span_end", "span_text")
 
 
 def _rows(df: DataFrame, spans: str, *more: str) -> DataFrame:
-    """A row for each span."""
+    """A row for each span. The outer form keeps Spark from computing the spans once more to test that there are any."""
     fields = [F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("span_text"), *[F.col(f"s.{m}").alias(m) for m in more]]
-    return df.select("note_id", F.explode(spans).alias("s")).select("note_id", *fields)
+    return df.select("note_id", F.explode_outer(spans).alias("s")).filter("s is not null").select("note_id", *fields)
 
 
 def _needed(rule) -> set[str]:
@@ -91,22 +91,22 @@ def _stats(spark, sf_dir):
 
 
 def _types(spark, sf_dir):
-    done = pseudonymise(notes(spark, sf_dir)).select(F.explode("entities").alias("e"))
+    done = pseudonymise(notes(spark, sf_dir)).select(F.explode_outer("entities").alias("e")).filter("e is not null")
     return done.groupBy(F.col("e.type").alias("type"), F.col("e.subtype").alias("subtype")).agg(F.count("*").alias("n"))
 
 
 def _mapping(spark, sf_dir):
     """Patients over all notes: each key with its label and how many notes name it."""
-    done = pseudonymise(notes(spark, sf_dir)).select("note_id", F.explode(F.filter("entities", lambda e: e["subtype"] == "paciente")).alias("e"))
+    done = pseudonymise(notes(spark, sf_dir)).select("note_id", F.explode_outer(F.filter("entities", lambda e: e["subtype"] == "paciente")).alias("e")).filter("e is not null")
     done = done.select("note_id", X.trim_space(F.lower("e.text")).alias("patient"), F.col("e.transformed").alias("label"))
     return done.groupBy("patient").agg(F.min("label").alias("label"), F.count_distinct("note_id").alias("notes"))
 
 
 def _review(spark, sf_dir):
-    done = pseudonymise(notes(spark, sf_dir)).filter(F.size("entities") > 0)
+    done = pseudonymise(notes(spark, sf_dir))
     action = F.when(F.col("note_id") % 3 == 0, "restore").when(F.col("note_id") % 3 == 1, "modify").otherwise("delete")
     decisions = done.select("note_id", F.lit(0).alias("idx"), action.alias("action"), F.lit("[revisado]").alias("value"), F.lit("").alias("notes"))
-    return apply_decisions(done, decisions, "note_id").select("note_id", "processed")
+    return apply_decisions(done, decisions, "note_id").filter(F.size("entities") > 0).select("note_id", "processed")
 
 
 REVIEWED = """select note_id, string_agg(substr(text, from_ + 1, span_start - from_) || label, '' order by span_start) || substr(any_value(text), max(span_end) + 1) as processed
@@ -128,7 +128,7 @@ def _documents(spark, sf_dir):
 
 def _emails(spark, sf_dir):
     pattern = next(r for r in rules() if r.name == "email")
-    found = _documents(spark, sf_dir).select("doc_id", F.explode(matches(F.coalesce("text", F.lit("")), java(pattern.body))).alias("m"))
+    found = _documents(spark, sf_dir).select("doc_id", F.explode_outer(matches(F.coalesce("text", F.lit("")), java(pattern.body))).alias("m")).filter("m is not null")
     return found.select("doc_id", F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"), F.col("m.match").alias("span_text"))
 
 

@@ -1,4 +1,4 @@
-"""Deterministic relations of notes and visits, made from orders; the same SQL runs in Spark and in DuckDB."""
+"""Deterministic relations of notes (from customers) and visits (from orders); one SQL runs in Spark and in DuckDB."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ def _pick(values: str, by: str) -> str:
     return f"split_part('{values}', ',', cast({by} % {values.count(',') + 1} as int) + 1)"
 
 
-#: One note for each order; its template turns with the order's key.
+#: One note for each customer; its template turns with the customer's key.
 TEMPLATES = [
     "'Paciente ' || nom || ' ' || ap1 || ', DNI ' || dni || ', acude el ' || dia || '. Dolor 8/10 y 2-3/10. Tel: ' || tel || '. Vive en ' || ciu || '.'",
     "'Intervención del ' || dia || ' por Dr. ' || nom2 || ' ' || ap2 || ' y Dra. Patricia ' || ap1 || '. Firma el Dr. ' || ap2 || '. Hospital Virgen del Rocío de ' || ciu || '. NHC: 2024/0' || num5 || '.'",
@@ -33,16 +33,16 @@ TEMPLATES = [
 
 NOTES = f"""
 select note_id, case {' '.join(f'when note_id % {len(TEMPLATES)} = {i} then {t}' for i, t in enumerate(TEMPLATES))} end as text
-from (select o_orderkey as note_id, chr(10) as nl,
-  {_pick('Ana,Luis,Carmen,Pedro,Lucía,Jorge,María del Carmen,Xurxo', 'o_custkey')} as nom, {_pick('Juan,Elena,Miguel,Rocío,Zoe', 'o_orderkey')} as nom2,
-  {_pick('García,López,Toledo,Barrera,Martínez,Zubiri,Ruiz', 'o_custkey')} as ap1, {_pick('Sánchez,Peña,Ibarra,Gómez,Vidal', '(o_custkey + o_orderkey)')} as ap2,
-  {_pick('Sevilla,Teruel,Barcelona,Palencia,Vilafranca,Jaén', '(o_orderkey + o_custkey)')} as ciu,
-  {_pick('enero,febrero,marzo,abril,mayo,junio,julio,agosto,septiembre,octubre,noviembre,diciembre', 'o_orderkey')} as mes,
-  lpad(cast(o_custkey % 100000000 as string), 8, '0') || substr('TRWAGMYFPDXBNJZSQVHLCKE', cast(o_custkey % 23 as int) + 1, 1) as dni,
-  lpad(cast(o_orderkey % 100000 as string), 5, '0') as num5,
-  '6' || lpad(cast(o_custkey % 100 as string), 2, '0') || '-' || lpad(cast(o_orderkey % 1000 as string), 3, '0') || '-' || lpad(cast(o_custkey % 1000 as string), 3, '0') as tel,
-  {_DAY.format('o_orderdate')} as dia, {_DAY.format("(o_orderdate + interval '9' day)")} as dia2, {_DAY.format("(o_orderdate + interval '75' day)")} as dia3
-from orders) as base"""
+from (select key as note_id, chr(10) as nl,
+  {_pick('Ana,Luis,Carmen,Pedro,Lucía,Jorge,María del Carmen,Xurxo', 'key')} as nom, {_pick('Juan,Elena,Miguel,Rocío,Zoe', 'other')} as nom2,
+  {_pick('García,López,Toledo,Barrera,Martínez,Zubiri,Ruiz', 'key')} as ap1, {_pick('Sánchez,Peña,Ibarra,Gómez,Vidal', '(key + other)')} as ap2,
+  {_pick('Sevilla,Teruel,Barcelona,Palencia,Vilafranca,Jaén', '(other + key)')} as ciu,
+  {_pick('enero,febrero,marzo,abril,mayo,junio,julio,agosto,septiembre,octubre,noviembre,diciembre', 'other')} as mes,
+  lpad(cast(key % 100000000 as string), 8, '0') || substr('TRWAGMYFPDXBNJZSQVHLCKE', cast(key % 23 as int) + 1, 1) as dni,
+  lpad(cast(other % 100000 as string), 5, '0') as num5,
+  '6' || lpad(cast(key % 100 as string), 2, '0') || '-' || lpad(cast(other % 1000 as string), 3, '0') || '-' || lpad(cast(key % 1000 as string), 3, '0') as tel,
+  {_DAY.format('day')} as dia, {_DAY.format("(day + interval '9' day)")} as dia2, {_DAY.format("(day + interval '75' day)")} as dia3
+from (select c_custkey as key, c_custkey * 7 + c_nationkey as other, date '2019-01-31' + cast(c_custkey * 13 % 2500 as int) as day from customer) as c) as base"""
 
 #: A row for each order: patients with visits, centres and names, some of them blank.
 VISITS = f"""
@@ -54,7 +54,7 @@ from orders"""
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
     return spark.sql(NOTES)
 
 
