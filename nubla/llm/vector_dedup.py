@@ -30,6 +30,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
+def _pivots(classes: DataFrame) -> pa.Array:
+    """The reference points, for each length of vectors."""
+    found = []
+    for r in classes.groupBy(F.size("embedding").alias("size")).count().orderBy("size").collect():
+        most = max(LEAST_PIVOTS, min(MOST_PIVOTS, r["count"] // ROWS_PER_PIVOT))
+        own = classes.filter(F.size("embedding") == r["size"]).select("embedding", F.xxhash64("rep").alias("h"), "rep")
+        found += own.orderBy("h", "rep").limit(most).select("embedding").toArrow().column("embedding").chunks
+    return pa.concat_arrays(found) if found else pa.array([])
+
+
 def _describe(pivots: pa.Array, prefix: int):
     """Arrow batches of (rep, n, embedding) -> the same with pivot and the whole description, a row for each of its pivots."""
     by_length = {m.shape[1]: (rows, _unit(m)) for rows, m in matrices(pivots)}
@@ -100,13 +110,9 @@ def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     fit = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     classes = table(every.filter(fit).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    count = classes.count()
-    most = max(LEAST_PIVOTS, min(MOST_PIVOTS, count // ROWS_PER_PIVOT))
-    pivots = classes.select("embedding", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(most).select("embedding").toArrow().combine_chunks()
-    if not pivots.num_rows:
+    chosen = _pivots(classes)
+    if not len(chosen):
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    chosen = pivots.column("embedding")
-    chosen = chosen.combine_chunks() if isinstance(chosen, pa.ChunkedArray) else chosen
     kind = every.schema["embedding"].dataType.simpleString()
     lists = table(classes.select("rep", "n", "embedding").mapInArrow(_describe(chosen, prefix), f"pivot int, rep long, n long, described array<int>, embedding {kind}"), "lists")
     long = {r["pivot"]: -(-r["count"] // BLOCK) for r in lists.groupBy("pivot").count().filter(F.col("count") > BLOCK).collect()}
