@@ -56,7 +56,7 @@ def sheet_cells(content: bytes) -> list[list[str]]:
                     at = at * 26 + ord(letter) - 64
                 kind, value = c.get("t"), c.findtext("m:v", "", ns)
                 text = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
-                cells[max(at - 1, len(cells) if not at else at - 1)] = shared[int(value)] if kind == "s" and value else text if kind == "inlineStr" else value
+                cells[at - 1 if at else len(cells)] = shared[int(value)] if kind == "s" and value else text if kind == "inlineStr" else value
             rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
         return rows
 
