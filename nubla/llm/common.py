@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -57,6 +58,14 @@ def sampled(rows: DataFrame, by: str, key: str, per_value: int, most_values: int
     return rows.filter(hashed < F.try_element_at(share, F.col(by))).limit(2 * per_value * len(counts))
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def byte_slices(text: pa.Array, most: int):
     """Ranges of rows of at most ``most`` bytes of text (or one longer row)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

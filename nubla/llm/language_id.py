@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubla.llm.common import byte_slices, held_out, sampled, text_bytes
+from nubla.llm.common import byte_slices, held_out, release, sampled, text_bytes
 
 PER_LANG = 300
 SEGMENT = 96
@@ -235,6 +235,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             score = np.clip(prob[np.arange(len(prob)), best], 0, 1)
             pred = np.where(letters, np.array(names, object)[best], "und")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(np.where(pred == "und", 0.0, score), pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        release()
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(predict, f"doc_id {id_type.simpleString()}, held_out boolean, lang_pred string, score double")

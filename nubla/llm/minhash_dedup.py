@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubla.llm.common import U64, byte_slices, components, mix64, table, text_bytes
+from nubla.llm.common import U64, byte_slices, components, mix64, release, table, text_bytes
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -130,6 +130,7 @@ def _sketches(batches):
         for part in _sketch(batch):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part[0])), *part], ["doc_id", "words", "c1", "c2", "bands"])
             at += len(part[0])
+    release()
 
 
 def connect(row: np.ndarray, value: np.ndarray, count: np.ndarray, rows: int, threshold: float = THRESHOLD) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubla.llm.common import byte_slices, held_out, sampled
+from nubla.llm.common import byte_slices, held_out, release, sampled
 
 PER_LABEL = 3000
 THRESHOLD = 0.7
@@ -194,6 +194,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             s = _scores(model, pc.fill_null(batch.column("text"), ""))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        release()
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
 
@@ -206,6 +207,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             s = _scores(model, pc.fill_null(batch.column(names.index("text")), ""))
             yield batch.filter(pa.array(s < THRESHOLD))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
