@@ -22,8 +22,8 @@ def patient_names(done: DataFrame, key: str = "name") -> DataFrame:
 
     The label depends on the name alone, so all documents agree on it.
     """
-    found = done.select(key, F.explode_outer(F.filter("entities", lambda e: e["subtype"] == "paciente")).alias("e")).filter("e is not null")
-    found = found.select(key, trim_space(F.lower("e.text")).alias("patient"), F.col("e.transformed").alias("label"))
+    found = done.select(key, F.inline_outer(F.filter("entities", lambda e: e["subtype"] == "paciente"))).filter("start is not null")
+    found = found.select(key, trim_space(F.lower("text")).alias("patient"), F.col("transformed").alias("label"))
     return found.groupBy("patient").agg(F.min("label").alias("label"), F.count_distinct(key).alias("documents"))
 
 

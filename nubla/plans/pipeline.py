@@ -71,4 +71,5 @@ def stats(entities: Column) -> dict[str, Column]:
 
 def entity_rows(done: DataFrame, key: str) -> DataFrame:
     """The entities of ``pseudonymise`` as rows."""
-    return done.select(key, F.explode_outer("entities").alias("e")).filter("e is not null").select(key, *[F.col(f"e.{n}") for n in ("start", "end", "type", "subtype", "text", "confidence", "recommendation", "transformed")])
+    found = done.select(key, F.inline_outer("entities")).filter("start is not null")
+    return found.select(key, "start", "end", "type", "subtype", "text", "confidence", "recommendation", "transformed")

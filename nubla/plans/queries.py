@@ -22,9 +22,10 @@ SPAN = ("note_id", "span_start", "span_end", "span_text")
 
 
 def _rows(df: DataFrame, spans: str, *more: str) -> DataFrame:
-    """A row for each span. The outer form keeps Spark from computing the spans once more to test that there are any."""
-    fields = [F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.text").alias("span_text"), *[F.col(f"s.{m}").alias(m) for m in more]]
-    return df.select("note_id", F.explode_outer(spans).alias("s")).filter("s is not null").select("note_id", *fields)
+    """A row for each span. Inline and outer, so that Spark computes the spans once: neither for each field nor to test
+    that there are any."""
+    found = df.select("note_id", F.inline_outer(spans)).filter("start is not null")
+    return found.select("note_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("text").alias("span_text"), *more)
 
 
 def _needed(rule) -> set[str]:
@@ -91,14 +92,14 @@ def _stats(spark, sf_dir):
 
 
 def _types(spark, sf_dir):
-    done = pseudonymise(notes(spark, sf_dir)).select(F.explode_outer("entities").alias("e")).filter("e is not null")
-    return done.groupBy(F.col("e.type").alias("type"), F.col("e.subtype").alias("subtype")).agg(F.count("*").alias("n"))
+    done = pseudonymise(notes(spark, sf_dir)).select(F.inline_outer("entities")).filter("start is not null")
+    return done.groupBy("type", "subtype").agg(F.count("*").alias("n"))
 
 
 def _mapping(spark, sf_dir):
     """Patients over all notes: each key with its label and how many notes name it."""
-    done = pseudonymise(notes(spark, sf_dir)).select("note_id", F.explode_outer(F.filter("entities", lambda e: e["subtype"] == "paciente")).alias("e")).filter("e is not null")
-    done = done.select("note_id", X.trim_space(F.lower("e.text")).alias("patient"), F.col("e.transformed").alias("label"))
+    done = pseudonymise(notes(spark, sf_dir)).select("note_id", F.inline_outer(F.filter("entities", lambda e: e["subtype"] == "paciente"))).filter("start is not null")
+    done = done.select("note_id", X.trim_space(F.lower("text")).alias("patient"), F.col("transformed").alias("label"))
     return done.groupBy("patient").agg(F.min("label").alias("label"), F.count_distinct("note_id").alias("notes"))
 
 
