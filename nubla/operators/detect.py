@@ -50,7 +50,7 @@ def _clean(rule: R.Rule, text: Column, words: Dictionaries) -> Column:
         return F.when(F.substring(text, -5, 5).cast("int").between(1000, 52999), text).otherwise("")
     if rule.check == "calendar":
         number = lambda i: F.regexp_extract(text, r"^(\d+)[/\-](\d+)", i).cast("int")
-        return F.when(number(1).between(1, 31) & number(2).between(1, 12), text).otherwise("")
+        return F.when(number(1).between(1, 31) & number(2).between(1, 12) & ~text.rlike(R.SCALE), text).otherwise("")
     if rule.check == "hospital":
         for pattern in R.PLACE_CUTS:
             text = trim_space(F.regexp_replace(text, "(?iu)" + pattern, ""))

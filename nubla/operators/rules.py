@@ -34,6 +34,7 @@ NAME = CAPITAL + SMALL + "+"
 PARTICLES = r"(?:\s+(?:de|del|de la|de los|de las|y|i))?"
 MONTH = "(?:" + "|".join(MONTHS) + ")"
 YEAR = r"(?:19\d{2}|20\d{2}|2100)"
+SCALE = r"^\d{1,2}-\d{1,2}/10$"  # a range on a pain scale, not a date
 RELATIONS = ["esposa", "esposo", "madre", "padre", "hijo", "hija", "hermano", "hermana", "abuelo", "abuela", "tío", "tía", "primo", "prima", "sobrino", "sobrina", "cuñado", "cuñada", "suegro", "suegra", "yerno", "nuera", "pareja", "cónyuge", "tutor", "tutora"]
 TITLES = r"\b(?:Dr\.|Dra\.|Doctor|Doctora|Facultativo|Enfermero|Enfermera|Enf\.|Fisioterapeuta|Psic[oó]log[oa]|Matrona|Farmac[eé]utic[oa]|Auxiliar|Técnico|T[eé]cnica)\s+"
 COMPOUND_CITIES = ["Mairena del Aljarafe", "San Fernando", "San Sebastián", "San Sebastian", "Santa Cruz de Tenerife", "Las Palmas de Gran Canaria", "Palma de Mallorca", "Santiago de Compostela", "Alcalá de Henares", "Jerez de la Frontera", "Dos Hermanas", "El Puerto de Santa María", "Roquetas de Mar"]

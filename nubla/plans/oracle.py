@@ -48,7 +48,7 @@ def _clean(rule: R.Rule, t: str) -> str:
         return f"case when cast(right({t}, 5) as int) between 1000 and 52999 then {t} else '' end"
     if rule.check == "calendar":
         part = lambda i: f"cast(regexp_extract({t}, '^(\\d+)[/\\-](\\d+)', {i}) as int)"
-        return f"case when {part(1)} between 1 and 31 and {part(2)} between 1 and 12 then {t} else '' end"
+        return f"case when {part(1)} between 1 and 31 and {part(2)} between 1 and 12 and not regexp_matches({t}, {q(R.SCALE)}) then {t} else '' end"
     if rule.check in ("hospital", "centre"):
         cuts = R.PLACE_CUTS if rule.check == "hospital" else [r"\s+(?:en|con|por|para)\s+.*\z"]
         out = t
