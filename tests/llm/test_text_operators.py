@@ -60,6 +60,15 @@ def check_pieces(pieces, docs):
     assert max(at.values()) <= packing.SEQ_LEN and sum(n < packing.SEQ_LEN for n in at.values()) <= 1
 
 
+def test_encoder_gives_the_library_s_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    library, own = Tokenizer.from_file(path), packing.encoder(path)
+    for text in ["", "Hello  wörld\n\n 12345 é😀", "a<|endoftext|>b", words(random.Random(0), 300), words(random.Random(0), 300, "es"), " \t x" * 50]:
+        assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(spark, odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     check_pieces(packing.pack(odd).collect(), rows)
