@@ -1,12 +1,15 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 Each vector is described by its ``PREFIX`` nearest reference points in order. An inverted list for each reference point
-holds the vectors that name it; two vectors of a list are candidates if they share ``SHARED`` reference points at least,
-and they meet in the list of the first one they share. Candidates are verified by cosine in double precision.
+holds the vectors that name it; two vectors of a list are candidates if they share ``SHARED`` reference points at least
+(one is enough in a list of more than one block, or where there is no other), and they meet in the list of the first one they share. Candidates are
+verified by cosine in double precision.
 
 Equal vectors are one class from the start, so copies never meet each other. A long list is split into blocks by hash and
 each pair of blocks is one task's work: numbers of links and a spanning set of links leave it, never all pairs. The
-reference points are ``n / 100`` vectors (16 to 4096), the smallest by a hash of their ids; every vector is indexed.
+reference points are drawn from ``n / 100`` vectors (16 to 4096), the smallest by a hash of their ids. One that is near
+another already taken (cosine of ``2 * threshold - 1`` or more) is left out, so that a large group of near copies holds few
+of them and its members name the same ones; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -30,13 +33,25 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-def _pivots(classes: DataFrame) -> pa.Array:
+def _apart(vectors: pa.Array, most: float) -> pa.Array:
+    """The vectors (of one length), in order, whose cosine to each one taken before is less than ``most``."""
+    (_, m), = matrices(vectors)
+    unit, nearest, taken = _unit(m), np.full(len(m), -np.inf), []
+    for i in range(len(unit)):
+        if nearest[i] < most:
+            taken.append(i)
+            nearest = np.maximum(nearest, unit @ unit[i])
+    return vectors.take(pa.array(taken, pa.int64()))
+
+
+def _pivots(classes: DataFrame, threshold: float) -> pa.Array:
     """The reference points, for each length of vectors."""
     found = []
     for r in classes.groupBy(F.size("embedding").alias("size")).count().orderBy("size").collect():
         most = max(LEAST_PIVOTS, min(MOST_PIVOTS, r["count"] // ROWS_PER_PIVOT))
         own = classes.filter(F.size("embedding") == r["size"]).select("embedding", F.xxhash64("rep").alias("h"), "rep")
-        found += own.orderBy("h", "rep").limit(most).select("embedding").toArrow().column("embedding").chunks
+        drawn = own.orderBy("h", "rep").limit(most).select("embedding").toArrow().column("embedding")
+        found.append(_apart(pa.concat_arrays(drawn.chunks), 2 * threshold - 1))
     return pa.concat_arrays(found) if found else pa.array([])
 
 
@@ -71,6 +86,7 @@ def _verify(threshold: float, shared: int, blocks: dict[int, int]):
         rep, n, block = side["rep"].to_numpy(), side["n"].to_numpy(), side["block"].to_numpy()
         described = side["described"].flatten().to_numpy().reshape(len(rep), -1)
         low, high = key[1].as_py(), key[2].as_py()
+        least = np.minimum(1 if pivot in blocks else shared, (described >= 0).sum(1))
         links, ends = np.zeros(len(rep), np.int64), []
         for rows, m in matrices(side["embedding"]):
             unit = _unit(m)
@@ -85,7 +101,7 @@ def _verify(threshold: float, shared: int, blocks: dict[int, int]):
                     p, q = x[j : j + 100_000], y[j : j + 100_000]
                     same = (described[p][:, :, None] == described[q][:, None, :]).any(2) & (described[p] >= 0)
                     first = np.where(same, described[p], np.iinfo(np.int32).max).min(1)
-                    fit = (same.sum(1) >= shared) & (first == pivot)
+                    fit = (same.sum(1) >= least[p]) & (first == pivot)
                     p, q = p[fit], q[fit]
                     np.add.at(links, p, n[q])
                     np.add.at(links, q, n[p])
@@ -110,7 +126,7 @@ def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     fit = usable(F.col("embedding")) & F.col("vec_id").isNotNull()
     classes = table(every.filter(fit).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    chosen = _pivots(classes)
+    chosen = _pivots(classes, threshold)
     if not len(chosen):
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     kind = every.schema["embedding"].dataType.simpleString()

@@ -1,6 +1,7 @@
 """Operators over vectors against brute force, and what they do with odd rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nubla.llm import vector_dedup, vector_search
@@ -55,6 +56,22 @@ def test_dedup_repeats_and_empty(spark, rows):
     assert vector_dedup.deduplicate(table(spark, [])).count() == 0
 
 
+def test_dedup_of_a_large_group(spark):
+    """A third of the rows are near copies of each other, not all of them links."""
+    rng = np.random.default_rng(5)
+    x, size = rng.standard_normal((30_000, 64)), 10_000
+    x[:size] = x[0] / np.linalg.norm(x[0]) + rng.standard_normal((size, 64)) * 0.0285
+    x = x.astype(np.float32)
+    rows = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))})
+    found = vector_dedup.deduplicate(spark.createDataFrame(rows)).toPandas().sort_values("vec_id")
+    unit = x[:size].astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    near = np.concatenate([(unit[i : i + 1000] @ unit.T >= vector_dedup.THRESHOLD).sum(1) - 1 for i in range(0, size, 1000)])
+    links = found["n_links"].to_numpy()
+    assert (links[:size] <= near).all() and links[:size].sum() >= 0.97 * near.sum() and links[size:].sum() == 0
+    assert (found["component_id"][:size][near > 0] == 0).mean() > 0.99
+
+
 def by_hand(rows, asked, k=5):
     c, ids = cosines(rows), [i for i, _ in rows]
     out = {}
