@@ -1,6 +1,6 @@
 """Secrets: fixed patterns, and strings that pass a battery of randomness tests.
 
-A string of letters and digits that contains a digit, is long enough for its inferred encoding (hexadecimal, base 32 or
+A string of letters and digits that contains a digit or letters of both cases, is long enough for its inferred encoding (hexadecimal, base 32 or
 base 64) and touches no pattern match is read as symbols of that alphabet and put to three tests: chi-squared uniformity
 over eight ranges of the alphabet, the runs above and below its middle, and the serial correlation of neighbours. Fisher's
 method combines the three p-values. Under the hypothesis that a string is random, Benjamini-Hochberg control within each
@@ -22,7 +22,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[
 ASSIGN_TAIL = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9]|[A-Z+/_-]*[a-z][a-z+/_-]*[A-Z]|[a-z+/_-]*[A-Z][A-Z+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}"
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 LEAST = {"hex": 24, "base32": 24, "base64": 20}
 RATE = 0.05

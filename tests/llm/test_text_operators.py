@@ -151,6 +151,13 @@ def test_secrets(spark, odd, empty):
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
 
 
+def test_secrets_without_digits(spark):
+    keys = ["".join(random.Random(i).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=20)) for i in range(50)]
+    texts = [f"key {k} end" for k in keys] + ["see xyzxyzxyzxyzxyzxyzxyzxyzxyz", "see AbAbAbAbAbAbAbAbAbAbAbAbAbAbAb"]
+    found = {r["doc_id"]: [(secrets.KINDS[s["kind"]], s["start"], s["end"]) for s in r["found"]] for r in secrets.scan(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert sum(found[i] == [("random", 4, 24)] for i in range(50)) >= 40 and not found[50] and not found[51]
+
+
 def test_battery_tells_random_strings(spark):
     rng = random.Random(4)
     strings = [("r", "".join(rng.choices("0123456789abcdef", k=40))) for _ in range(200)] + [("f", ("0123456789abcdef" * 3)[i % 16 :][:30]) for i in range(50)]
