@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 #: Every known licence has one of these words.
-TRIGGER = r"(?i)licen[cs]|permission|redistribution|public domain"
+TRIGGER = r"(?i)licen[cs]|permission|redistribution|public domain|released|distributed"
 #: Equivalent spellings: fixed values.
 SPELLINGS = [
     (r"\blicence", "license"), (r"\bsublicence", "sublicense"), (r"\bsub-licen[cs]e", "sublicense"), (r"\bnon-commercial", "noncommercial"),
@@ -44,9 +44,50 @@ BSD_TAIL = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
 
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""
+APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+GNU_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} License for more details.
+
+You should have received a copy of the GNU {name} License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+GNU = [("General Public", "GPL", ("2", "3")), ("Lesser General Public", "LGPL", ("2.1", "3")), ("Affero General Public", "AGPL", ("3",))]
+
+
+def _identifiers() -> list[tuple[str, str]]:
+    """(licence, SPDX identifier)."""
+    found = [(n, n) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Unlicense", "Zlib", "Apache-2.0", "MPL-1.1", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0")]
+    found += [(n, n) for terms in ("", "-SA", "-ND", "-NC", "-NC-SA", "-NC-ND") for v in ("2.0", "2.5", "3.0", "4.0") for n in [f"CC-BY{terms}-{v}"]]
+    return found + [(f"{short}-{v}", f"{short}-{v if '.' in v else v + '.0'}{tail}") for _, short, versions in GNU for v in versions for tail in ("", "-only", "-or-later")]
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of the known table: full texts, and notices made by rule from names."""
     found = [("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("MIT", "The MIT License (MIT)\n\n" + MIT), ("ISC", ISC), ("ISC", "ISC License\n\n" + ISC), ("BSD-2-Clause", BSD_HEAD + BSD_TAIL), ("BSD-3-Clause", BSD_HEAD + BSD_NAMES + BSD_TAIL)]
+    found += [("Unlicense", UNLICENSE), ("Zlib", ZLIB), ("Zlib", "zlib License\n\n" + ZLIB), ("Apache-2.0", APACHE_NOTICE), ("MPL-2.0", MPL_NOTICE)]
+    found += [(f"{short}-{v}", GNU_NOTICE.format(name=name, version=v)) for name, short, versions in GNU for v in versions]
     named = [("MIT", "the MIT License"), ("MIT", "MIT License"), ("MIT", "MIT"), ("ISC", "the ISC License"), ("Unlicense", "the Unlicense"), ("Zlib", "the zlib License")]
     named += [(f"BSD-{n}-Clause", f"the BSD {n}-Clause License") for n in (2, 3)]
     for name, versions in (("Apache", ("2.0",)), ("Mozilla Public", ("1.1", "2.0")), ("Eclipse Public", ("1.0", "2.0"))):
@@ -59,7 +100,7 @@ def known_texts() -> list[tuple[str, str]]:
         named += [(f"CC-BY{terms}-{v}", f"{word} BY{terms} {v}{tail}") for v in ("2.0", "2.5", "3.0", "4.0") for word in ("CC", "Creative Commons") for tail in ("", " International", " license")]
     for verb in ("Licensed under", "Released under", "This work is licensed under", "This software is licensed under", "This project is licensed under", "Distributed under"):
         found += [(short, f"{verb} {name}.") for short, name in named]
-    return [(short, text) for short, text in found if any(w in text.lower() for w in ("licen", "permission", "redistribution"))] + [("CC-BY" + n[5:], f"Released under {t}.") for n, t in named if n.startswith("CC-BY") and "licen" in t]
+    return found + [(short, f"SPDX-License-Identifier: {name}") for short, name in _identifiers()]
 
 
 def canonical(text: Column) -> Column:

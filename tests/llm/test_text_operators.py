@@ -105,6 +105,12 @@ def test_licenses(spark, odd, empty):
     assert all(re.search(licenses.TRIGGER, t) for _, t in licenses.known_texts())
 
 
+def test_licenses_by_short_notices(spark):
+    text = "Released under MIT.\nReleased under CC BY 4.0.\n// SPDX-License-Identifier: GPL-3.0-or-later\nDistributed under CC BY-SA 4.0.\nReleased under pressure."
+    found = licenses.scan(table(spark, [(1, text, "en", "a"), (2, licenses.ZLIB, "en", "a"), (3, "# Copyright 2020 Someone\n" + licenses.APACHE_NOTICE, "en", "a")]), licenses.known(spark)).collect()
+    assert sorted((r["doc_id"], r["line"], r["license"]) for r in found) == [(1, 1, "MIT"), (1, 2, "CC-BY-4.0"), (1, 3, "GPL-3"), (1, 4, "CC-BY-SA-4.0"), (2, 0, "Zlib"), (3, 0, "Apache-2.0")]
+
+
 # Mixing
 
 
