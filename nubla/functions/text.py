@@ -42,11 +42,6 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-def limited(text: Column) -> Column:
-    """At most ``LIMIT`` characters of a note."""
-    return F.substring(text, 1, LIMIT)
-
-
 def before(text: Column, start: Column, size: int) -> Column:
     """Up to ``size`` characters before an offset."""
     return F.substring(text, F.greatest(start - size, F.lit(0)) + 1, F.least(start, F.lit(size)))

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nubla.functions.text import limited
 from nubla.operators import score as S
 from nubla.operators.detect import detect
 from nubla.operators.dictionaries import Dictionaries
@@ -31,7 +30,7 @@ class Config:
 def scored(notes: DataFrame, config: Config | None = None, text: str = "text") -> DataFrame:
     """``notes`` with ``spans``: disjoint, by start, with their final confidence and a recommendation."""
     c = config or Config()
-    out = detect(notes.withColumn(text, limited(F.coalesce(F.col(text), F.lit("")))), c.words, text, c.boundary).withColumn("spans", resolve(F.col("candidates"))).drop("candidates")
+    out = detect(notes.withColumn(text, F.coalesce(F.col(text), F.lit(""))), c.words, text, c.boundary).withColumn("spans", resolve(F.col("candidates"))).drop("candidates")
     if c.use_scoring:
         out = out.withColumn("spans", F.transform("spans", lambda s: s.withField("confidence", S.score(s, F.col(text), c.words))))
     fresh = lambda s: (s["type"] == "NOMBRE") & (s["subtype"] != "familiar")

@@ -62,7 +62,10 @@ def sheet_cells(content: bytes) -> list[list[str]]:
 
 
 def read_xlsx(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
-    """The first sheet of each workbook at ``path`` as strings; the header row is looked for in the first ten rows."""
+    """The first sheet of each workbook at ``path`` as strings; the header row is looked for in the first ten rows.
+
+    A workbook of more than ``TABLE_BYTES`` is an error.
+    """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -70,7 +73,11 @@ def read_xlsx(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
                 cells = sheet_cells(content)
                 yield pd.DataFrame({"path": name, "row": range(len(cells)), "cells": cells})
 
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= TABLE_BYTES).select("path", "content")
+    found = spark.read.format("binaryFile").load(path)
+    large = [r["path"] for r in found.filter(F.col("length") > TABLE_BYTES).select("path").orderBy("path").collect()]
+    if large:
+        raise ValueError(f"more than {TABLE_BYTES} bytes: {', '.join(large)}")
+    files = found.select("path", "content")
     table = files.mapInPandas(rows, "path string, row long, cells array<string>")
     at = header_row(table).first()["header"]
     head = table.filter(F.col("row") == at).orderBy("path").limit(1).collect()

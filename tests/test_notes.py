@@ -78,3 +78,9 @@ def test_offsets_are_code_points(done):
 def test_unicode_boundaries(spark):
     notes = spark.createDataFrame([(1, "Nació en Ávila y en Mataró.")], "id int, text string")
     assert [e["text"] for e in pseudonymise(notes, Config(boundary="unicode")).first()["entities"]] == ["Ávila", "Mataró"]
+
+
+def test_whole_long_note(spark):
+    text = "dolor leve. " * 84_000 + "DNI 12345678Z."
+    done = pseudonymise(spark.createDataFrame([(1, text)], "note_id long, text string")).select("processed").first()["processed"]
+    assert len(text) > 1_000_000 and done.startswith("dolor leve. ") and len(done) > 1_000_000 and "DNI" in done[-40:] and "12345678Z" not in done

@@ -2,6 +2,7 @@
 
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from nubla.operators.review import apply_decisions, highlighted
@@ -32,6 +33,16 @@ def test_xlsx(spark, tmp_path):
     assert (row["NHC"], row["Nombre"], row["columna_3"], row["Fecha"]) == ("77", "Ana", "", "1/2/2024")
 
 
+def test_large_xlsx_is_an_error(spark, tmp_path, monkeypatch):
+    _xlsx(tmp_path / "t.xlsx")
+    _xlsx(tmp_path / "u.xlsx")
+    with open(tmp_path / "u.xlsx", "ab") as f:
+        f.write(b" " * 5000)
+    monkeypatch.setattr(readers, "TABLE_BYTES", 5000)
+    with pytest.raises(ValueError, match="u.xlsx"):
+        readers.read_xlsx(spark, str(tmp_path))
+
+
 def test_batch(spark, tmp_path):
     folder = tmp_path / "docs"
     folder.mkdir()
