@@ -9,20 +9,31 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+BROADCAST_BYTES = 48 << 20
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set (tests on one machine)."""
+    """The cluster's checkpoint folder. One of our own only on a local master: a cluster without a shared one is an error."""
     sc = spark.sparkContext
-    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="nubla-"))
-        found = sc.getCheckpointDir()
-    return found
+    if not sc.getCheckpointDir():
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="nubla-"))
+        if not own:
+            _delete_at_end(spark, sc.getCheckpointDir())
+    return sc.getCheckpointDir()
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends: results that are read lazily need it until then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,11 +43,40 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again."""
+    """Write ``df`` as a Parquet table in the shared folder, which goes when the application ends, and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nubla-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/nubla-{uuid.uuid4().hex}"
+    _delete_at_end(spark, folder)
+    df.write.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def small(df: DataFrame, *parts: str, row: int = 100, part: int = 40, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` to be broadcast if it takes ``most`` bytes at most, else as it is: ``row`` bytes a row, and ``part`` bytes for
+    each element of its array columns ``parts``. Counts it, so give a written table."""
+    sizes = sum((F.coalesce(F.sum(F.size(p)), F.lit(0)) for p in parts), F.lit(0))
+    rows, items = df.agg(F.count("*"), sizes).first()
+    return F.broadcast(df) if rows * row + items * part <= most else df
+
+
+def join_counted(many: DataFrame, one: DataFrame, on: list[str], total: int, fit: str = "true") -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key with ``n``, its number of rows in ``many`` (``total`` in all).
+
+    Keys with more than one in ``HOT_SHARE`` of all rows, of which there are fewer than ``HOT_SHARE``, are broadcast, so no
+    task gets all rows of such a key; the others meet by a shuffle. fit: what else a broadcast row must satisfy.
+    """
+    test = F.coalesce((F.col("n") > total // HOT_SHARE) & F.expr(fit), F.lit(False))
+    hot = F.broadcast(one.filter(test))
+    rest = many.join(F.broadcast(one.filter(test).select(*on)), on, "left_anti").join(one.filter(~test), on)
+    return many.join(hot, on).unionByName(rest)
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column is called so (names don't tell case apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,18 +84,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sampled(rows: DataFrame, by: str, key: str, per_value: int, most_values: int = 64) -> DataFrame:
-    """About ``per_value`` rows for each value of ``by``, chosen by a hash of ``key``: at most twice as many in all.
+def within(rows: DataFrame, by: str, place: Column, size: Column, most_rows: int, most_size: int) -> DataFrame:
+    """The first ``most_rows`` rows of each value of ``by`` in the order of ``place``, of ``most_size`` in all and one more at
+    most. Give few rows: a value's rows are sorted together."""
+    names, order = rows.columns, Window.partitionBy(by).orderBy(place)
+    rows = rows.withColumn("_nth", F.row_number().over(order)).withColumn("_before", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - size)
+    return rows.filter((F.col("_nth") <= most_rows) & (F.col("_before") < most_size)).select(*names)
 
-    Counts all rows first; the ``most_values`` most frequent values take part.
-    """
-    counts = rows.groupBy(by).count().orderBy(F.desc("count"), by).limit(most_values).collect()
-    if not counts:
-        return rows.limit(0)
-    grain = 1 << 20
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[by]), F.lit(min(grain, grain * per_value // r["count"] + 1)))])
+
+def sampled(rows: DataFrame, by: str, key: str, per_value: int, most_rows: int, size: Column | None = None, most_size: int = 1) -> DataFrame:
+    """Up to ``per_value`` rows for each value of ``by``, chosen by a hash of ``key``: fewer of each where there are so many
+    values that this would exceed ``most_rows``, or a value's share of ``most_size`` in the sum of ``size``, yet one of each
+    value at least. Counts all rows first."""
+    counts = table(rows.groupBy(by).agg(F.count("*").alias("_n")), "counts")
+    values = max(1, counts.count())
+    each = max(1, min(per_value, most_rows // values))
+    grain = 1 << 30
+    share = F.least(F.lit(grain), F.floor((F.lit(2.0 * each) + 20) * grain / F.col("_n")) + 1)
     hashed = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(grain))
-    return rows.filter(hashed < F.try_element_at(share, F.col(by))).limit(2 * per_value * len(counts))
+    some = rows.join(small(counts), by).filter(hashed < share).drop("_n")
+    order = F.struct(hashed, F.col(key))
+    return within(some, by, order, F.lit(0) if size is None else size, each, max(1, most_size // values))
 
 
 def release() -> None:
@@ -115,16 +164,17 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a long, b long): rows (id, component), the smallest reachable id.
 
-    Alternating large-star and small-star rounds; each is a grouped minimum and a join, so a hot centre is split by
-    adaptive skew joins. Stops when every node hangs on one root directly. Nodes without links do not appear.
+    Alternating large-star and small-star rounds; each is a grouped minimum and a join, in which hot centres are broadcast. Stops
+    when every node hangs on one root directly. Nodes without links do not appear.
     """
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while _unsettled(links):
+        total = 2 * links.count()
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both.filter("v > u"), low, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        down = join_counted(large, low, ["u"], total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = cut(down.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

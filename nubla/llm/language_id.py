@@ -5,7 +5,8 @@ into gate inputs, one gated recurrent layer reads each segment forwards and one
 every byte. A document's probabilities are the mean over all its bytes. Texts are read whole, in segments of ``SEGMENT``
 bytes with a fresh state each, so memory does not grow with a text.
 
-Learning uses at most ``2 * PER_LANG`` documents for each of at most 64 languages, outside the held-out fold.
+Learning uses at most ``PER_LANG`` documents of each language outside the held-out fold, ``MOST_ROWS`` of all languages and
+``MOST_CHARS`` characters, divided among the languages; every language has one document at least.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from nubla.llm.common import byte_slices, held_out, release, sampled, text_bytes
 
-PER_LANG = 300
+PER_LANG = 600
+MOST_ROWS, MOST_CHARS = 40_000, 64 << 20
 SEGMENT = 96
 HIDDEN = 8
 STEPS = 160
@@ -209,9 +211,13 @@ def pooled(net: Network, text: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Network | None:
-    """Learn from a bounded sample outside the held-out fold; None if no document has a language and a text."""
+    """Learn from a bounded sample outside the held-out fold; None if no document has a language and a text.
+
+    Rows without an id, a language or a text are not learned from; repeated ones count as often as they are drawn.
+    """
     rows = docs.filter("lang is not null and text is not null and text <> ''").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    got = sampled(rows.select("doc_id", "lang", "text"), "lang", "doc_id", per_lang).orderBy("doc_id", "text").collect()
+    got = sampled(rows.select("doc_id", "lang", "text"), "lang", "doc_id", per_lang, MOST_ROWS, F.length("text"), MOST_CHARS).collect()
+    got.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got]) if got else None
 
 
@@ -219,7 +225,8 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score) for every row of ``docs``.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing could be learned. Repeated rows each give a
-    row; other columns are not read. An empty table gives an empty result.
+    row, a null id keeps its own; a very long text is read whole, in slices. Of languages equally likely the first by name
+    wins. Other columns are not read; an empty table gives an empty result.
     """
     id_type = docs.schema["doc_id"].dataType
 

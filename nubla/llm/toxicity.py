@@ -2,11 +2,14 @@
 
 Five small transducers (insult, threat, target, negation, reported speech) read the classes of a text's words and are
 composed into one machine. It emits a matched clause for each insult or threat, marked by what surrounds it in its
-clause: addressed to a target, negated, or reported. A document's score is a logistic function of the weighted counts of
-its matched clauses; isolated words have no score of their own.
-
-Learning: the lexicon of stems grows by greedy covering of labelled toxic documents, and the clause weights are the
-most probable ones under a normal prior. Both use at most ``4 * PER_LABEL`` labelled documents outside the held-out fold.
+clause: addressed to a target (which may also follow), negated, or reported. A document's score is a logistic function of
+the weighted counts of its matched clauses. An insult that nobody is called is the weakest clause but for negated and
+reported ones: the fit keeps targeted clauses above plain ones, and plain ones above the others.
+
+Learning: the lexicon of stems grows by greedy covering of labelled toxic documents, each stem with the share of a text's
+words up to which it is taken for chance; a stem that targets mostly follow ("... you") is a threat, others are insults. The
+clause weights are the most probable ones under a normal prior and that order. Both use at most ``PER_LABEL`` documents of
+each label outside the held-out fold, and ``MOST_CHARS`` characters of each.
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubla.llm.common import byte_slices, held_out, release, sampled
+from nubla.llm.common import byte_slices, held_out, release, sampled, small, table, within
 
-PER_LABEL = 3000
+PER_LABEL, MOST_CHARS = 4000, 128 << 20
 THRESHOLD = 0.7
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 SEED = {
@@ -33,9 +36,15 @@ SEED = {
     NEGATION: "not never isn't aren't wasn't don't nicht kein keine niemals pas jamais nunca tampoco",
     REPORT: "said says called wrote claimed quoted sagte nannte behauptete dit appelé dijo llamó",
 }
+TARGETS, CLASSED = frozenset(SEED[TARGET].split()), frozenset(" ".join(SEED.values()).split())
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;\n\"“”«»]")
 KINDS = ("plain", "targeted", "negated", "reported")
-PRIOR = np.array([-3.5, 6.0, 7.0, 5.0, 5.0, 6.0, 7.0, 4.0, 4.0])
+#: What the fit moves: the base, and for insults and threats the plain weight, what a target adds, and what negation and
+#: reported speech take away; the means of the prior (deviation 2) and the least values.
+MEANS = np.array([-3.5, 6.0, 1.0, 1.0, 1.0, 6.0, 1.0, 2.0, 2.0])
+LEAST = np.array([-np.inf, 0.5, 0.5, 0.0, 0.0, 0.5, 0.5, 0.0, 0.0])
+BY_CHANCE = (0.0, 0.002, 0.004, 0.008, 0.016)  # shares of a text's words
+EXTRA_WORDS = 30  # added to a text's length before shares are taken, as one word of a short text proves little
 
 
 @dataclass(frozen=True)
@@ -68,99 +77,168 @@ def grammar(scope: int = 3) -> Transducer:
     """Negation reaches ``scope`` words; a target or a reporting verb reaches to the end of its clause."""
     insult = Transducer.of(1, lambda s, c: (0, "insult") if c == INSULT else (0,))
     threat = Transducer.of(1, lambda s, c: (0, "threat") if c == THREAT else (0,))
-    target = Transducer.of(2, lambda s, c: (0,) if c == END else (1, "targeted") if s or c == TARGET else (0,))
+    target = Transducer.of(2, lambda s, c: (0, "closed") if c == END else (1, "targeted", *["addressed"] * (c == TARGET)) if s or c == TARGET else (0,))
     negation = Transducer.of(scope + 1, lambda s, c: (0,) if c == END else (scope,) if c == NEGATION else (max(s - 1, 0), *["negated"] * (s > 0)))
     report = Transducer.of(3, lambda s, c: (2 * (s == 2), *["reported"] * (s == 2)) if c == END else (0 if s == 2 else 2,) if c == QUOTE else (max(s, 1),) if c == REPORT else (s, *["reported"] * (s > 0)))
     return insult @ threat @ target @ negation @ report
 
 
+def weights_of(moved: np.ndarray) -> np.ndarray:
+    """Weights of the base and the eight clause counts."""
+    out = [moved[:1]]
+    for plain, target, negated, reported in moved[1:].reshape(2, 4):
+        out.append([plain, plain + target, max(0.0, plain - negated), max(0.0, plain - reported)])
+    return np.concatenate(out)
+
+
 @dataclass
 class Model:
-    """Whole words by class, learned stems with their weights, and the weights of the clause counts."""
+    """Whole words by class, learned stems (``=word`` for a whole word) as (class, weight, share by chance), and the weights
+    of the clause counts."""
 
-    words: dict[str, tuple[int, float]]
-    stems: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
+    words: dict[str, int]
+    stems: dict[str, tuple[int, float, float]] = field(default_factory=dict)
+    weights: np.ndarray = field(default_factory=lambda: weights_of(MEANS))
 
     def reader(self):
         """A function text -> the nine clause counts (the first is 1)."""
-        machine = [[(to, int("threat" in m) * 4 + (3 if "reported" in m else 2 if "negated" in m else 1 if "targeted" in m else 0) if m & {"insult", "threat"} else -1) for to, m in row] for row in grammar().arcs]
-        lengths, stems, words, memo = sorted({len(s) for s in self.stems}), self.stems, self.words, {}
 
-        def classify(w: str) -> tuple[int, float]:
+        def event(marks: frozenset) -> int:
+            if marks & {"insult", "threat"}:
+                return int("threat" in marks) * 4 + (3 if "reported" in marks else 2 if "negated" in marks else 1 if "targeted" in marks else 0)
+            return 8 if "addressed" in marks else 9 if "closed" in marks else -1
+
+        machine = [[(to, event(m)) for to, m in row] for row in grammar().arcs]
+        lengths, stems, words, memo = sorted({len(s) for s in self.stems if s[0] != "="}, reverse=True), self.stems, self.words, {}
+
+        def classify(w: str) -> tuple[int, str]:
             if w in words:
-                return words[w]
+                return words[w], ""
             if len(w) == 1 and not w.isalnum():
-                return (QUOTE if w in "\"“”«»" else END), 0.0
-            best = max((stems.get(w[:n], 0.0) for n in lengths if n <= len(w)), default=0.0)
-            return (INSULT, best) if best else (OTHER, 0.0)
+                return (QUOTE if w in "\"“”«»" else END), ""
+            stem = next((x for x in ("=" + w, *(w[:n] for n in lengths if n <= len(w))) if x in stems), "")
+            return (stems[stem][0], stem) if stem else (OTHER, "")
 
         def read(text: str) -> np.ndarray:
             found = TOKEN.findall(text.lower())
             counts = np.zeros(9)
             if len(memo) > 60_000:
                 memo.clear()
-            for w in set(found):
+            seen = set(found)
+            for w in seen:
                 if w not in memo:
                     memo[w] = classify(w)
-            hot = {w for w in set(found) if memo[w][0] in (INSULT, THREAT)}
-            if hot:
-                state = 0
+            if any(memo[w][0] in (INSULT, THREAT) for w in seen):
+                sure = {"": 1.0}
+                for stem, n in Counter(memo[w][1] for w in found).items():
+                    if stem:
+                        sure[stem] = stems[stem][1] * max(0.0, 1 - stems[stem][2] * (len(found) + EXTRA_WORDS) / n)
+                state, waiting = 0, []
                 for w in found:
-                    kind, weight = memo[w]
+                    kind, stem = memo[w]
                     state, event = machine[state][kind]
-                    if event >= 0:
-                        counts[1 + event] += weight
-            out = np.log1p(counts)
+                    if event < 0:
+                        continue
+                    if event < 8:
+                        counts[1 + event] += sure[stem]
+                        if event in (0, 4):
+                            waiting.append((event, sure[stem]))
+                    else:
+                        for plain, weight in waiting if event == 8 else ():
+                            counts[1 + plain] -= weight
+                            counts[2 + plain] += weight
+                        waiting = []
+            out = np.log1p(np.maximum(counts, 0))
             out[0] = 1
             return out
 
         return read
 
 
-def _features(text: str) -> set[str]:
-    words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}
-    return {w[:n] for w in words for n in range(3, min(9, len(w) + 1))} | {"=" + w for w in words}
+def _features(word: str) -> list[str]:
+    """The stems of a word, and the word; none of those that have a class already."""
+    return [] if word in CLASSED else [word[:n] for n in range(3, min(9, len(word) + 1))] + ["=" + word] if len(word) > 2 else []
 
 
-def learn_stems(toxic: list[str], clean: list[str], known, least: int = 3) -> dict[str, float]:
-    """Greedy cover: again and again the stem (or ``=word``) that explains most toxic texts not explained yet.
+def learn_stems(toxic: list[str], clean: list[str], known, least: int = 3) -> dict[str, tuple[int, float, float]]:
+    """Greedy cover: again and again the stem (or ``=word``), with a share of words above which it counts, that explains most
+    toxic texts not explained yet.
 
-    A stem must be at most a hundredth as frequent in clean texts, and add ``least`` texts.
+    A clean text that it would explain, too, costs four toxic ones, and it must add ``least``. Frequent in toxic texts it
+    must be at least three times as much as in clean ones, whatever the share.
     """
     left = [t for t in dict.fromkeys(toxic) if not known(t)]
-    seen = Counter(f for t in left for f in _features(t))
+    bags = [[Counter(TOKEN.findall(t.lower())) for t in texts] for texts in (left, dict.fromkeys(clean))]
+    of = {w: _features(w) for w in {w for bag in bags[0] for w in bag}}
+    seen = Counter(f for bag in bags[0] for f in {f for w in bag for f in of[w]})
     often = {f for f, n in seen.items() if n >= least}
-    against = Counter(f for t in dict.fromkeys(clean) for f in _features(t) & often)
-    fit = {f for f in often if against[f] <= 0.01 * seen[f]}
-    sets = [_features(t) & fit for t in left]
-    stems: dict[str, float] = {}
-    while sets:
-        gain = Counter(f for s in sets for f in s)
-        best = max(gain, key=lambda f: (gain[f] - 4 * against[f], len(f) * (f[0] != "="), f), default=None)
-        if best is None or gain[best] - 4 * against[best] < least:
+    of = {w: kept for w, fs in of.items() if (kept := [f for f in fs if f in often])}
+    against = Counter(f for bag in bags[1] for f in {f for w in bag if w in of for f in of[w]})
+    fit = sorted(f for f in often if seen[f] * len(bags[1]) >= 3 * against[f] * len(bags[0]))
+    number = {f: i for i, f in enumerate(fit)}
+    if not fit:
+        return {}
+    for_clean = set(of) | {w for bag in bags[1] for w in bag}
+    of = {w: kept for w in for_clean if (kept := [number[f] for f in _features(w) if f in number])}
+
+    def shares(bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = []
+        for i, bag in enumerate(bags):
+            n = Counter()
+            for w, k in bag.items():
+                for f in of.get(w, ()):
+                    n[f] += k
+            total = sum(bag.values()) + EXTRA_WORDS
+            rows += [(i, f, k / total) for f, k in n.items()]
+        table = np.array(rows, float).reshape(-1, 3)
+        return table[:, 0].astype(int), table[:, 1].astype(int), table[:, 2]
+
+    text, feature, share = shares(bags[0])
+    _, other, other_share = shares(bags[1])
+    cost = np.array([np.bincount(other[other_share > g], minlength=len(fit)) for g in BY_CHANCE])
+    all_texts = np.array([np.bincount(feature[share > g], minlength=len(fit)) for g in BY_CHANCE])
+    length = np.array([len(f) if f[0] != "=" else 0 for f in fit])
+    open_, found = np.ones(len(left), bool), {}
+    while True:
+        gain = np.array([np.bincount(feature[(share > g) & open_[text]], minlength=len(fit)) for g in BY_CHANCE]) - 4 * cost
+        g, f = np.unravel_index((gain * 100.0 + length).argmax(), gain.shape)
+        if gain[g, f] < least or fit[f] in found:
             break
-        stems[best] = (seen[best] + 1) / (seen[best] + against[best] + 1)
-        sets = [s for s in sets if best not in s]
-    return stems
+        followed = total = 0
+        hit = text[(feature == f) & (share > BY_CHANCE[g])]
+        for t in hit[:200]:
+            words = TOKEN.findall(left[t].lower())
+            for w, after in zip(words, [*words[1:], "."], strict=True):
+                if (w == fit[f][1:]) if fit[f][0] == "=" else w.startswith(fit[f]):
+                    total, followed = total + 1, followed + (after in TARGETS)
+        found[fit[f]] = (THREAT if 2 * followed > total else INSULT, float((all_texts[g, f] + 1) / (all_texts[g, f] + cost[g, f] + 1)), BY_CHANCE[g])
+        open_[hit] = False
+    return found
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most probable weights under the prior and the order of clauses, by coordinate Newton steps."""
+    at = np.array([[j == 0 or (k >= 1 and (k - 1) // 4 == (j - 1) // 4 and ((j - 1) % 4 == 0 or j == k)) for k in range(9)] for j in range(9)], float)
+    at[[3, 4, 7, 8], [3, 4, 7, 8]] = -1  # what negation and reported speech take away
+    at[0] = np.eye(9)[0]
+    z, moved = x @ at.T, MEANS.copy()
+    for _ in range(100):
+        for j in range(9):
+            p = 1 / (1 + np.exp(-np.clip(z @ moved, -30, 30)))
+            slope = z[:, j] @ (y - p) - (moved[j] - MEANS[j]) / 4
+            step = slope / ((z[:, j] ** 2) @ (p * (1 - p)) + 0.25)
+            most = np.inf if j not in (3, 4, 7, 8) else moved[1 if j < 5 else 5]
+            moved[j] = min(max(moved[j] + np.clip(step, -1, 1), LEAST[j]), most)
+    return weights_of(moved)
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
-    words = {w: (c, 1.0) for c, text in SEED.items() for w in text.split()}
-    model = Model(words)
+    model = Model({w: c for c, text in SEED.items() for w in text.split()})
     read = model.reader()
     known = lambda t: read(t)[1:].any()
-    found = learn_stems([t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y], known)
-    model.words |= {f[1:]: (INSULT, w) for f, w in found.items() if f[0] == "="}
-    model.stems = {f: w for f, w in found.items() if f[0] != "="}
+    model.stems = learn_stems([t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y], known)
     read = model.reader()
-    x, y = np.array([read(t) for t in texts]).reshape(-1, 9), np.array(toxic, float)
-    w = PRIOR.copy()
-    for _ in range(25):  # Newton steps to the posterior mode; the prior's deviation is 2
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - (w - PRIOR) / 4
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(9) / 4, slope)
-    model.weights = w
+    model.weights = fit_weights(np.array([read(t) for t in texts]).reshape(-1, 9), np.array(toxic, float))
     return model
 
 
@@ -168,8 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     """Learn from a bounded sample of labelled documents outside the held-out fold; without labels the seed grammar stays."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    some = sampled(known.filter(~held_out(F.col("doc_id"))), "toxic", "doc_id", per_label)
-    got = rows.join(some, "doc_id").limit(4 * per_label).collect()
+    some = table(sampled(known.filter(~held_out(F.col("doc_id"))), "toxic", "doc_id", per_label, 2 * per_label), "labels")
+    got = within(rows.join(small(some), "doc_id"), "toxic", F.xxhash64("doc_id", "text"), F.length("text"), per_label, MOST_CHARS).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in got], [r["toxic"] for r in got])
 
@@ -185,8 +263,8 @@ def _scores(model: Model, text: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    Null and empty texts have no clause and get the base score. Repeated rows each give a row; other columns are not
-    read. An empty table gives an empty result.
+    Null and empty texts have no clause and get the base score. Repeated rows each give a row, a null id keeps its own; a
+    very long text is read whole. Other columns are not read. An empty table gives an empty result.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -200,7 +278,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows whose text is predicted toxic; all columns stay."""
+    """``docs`` without the rows whose text is predicted toxic; all columns stay, whatever they are called.
+
+    Rows of a null or empty text stay. Repeated rows are judged alike; an empty table gives an empty result.
+    """
     names = docs.columns
 
     def run(batches):
