@@ -1,9 +1,12 @@
 """Removal of repeated multi-line chunks whose boundaries follow from the content.
 
-A hash of each line feeds a rolling (cyclic polynomial) hash over ``WINDOW`` lines; a chunk ends where that is 0 modulo
-``DIVISOR``, so an insertion moves only the boundaries beside it. A line of ``LONG`` words is a chunk of its own. Chunks
-of two lines that aren't blank, or of ``LONG`` words, can go: those that repeat by hash are compared byte by byte, and the
-first occurrence (smallest doc_id, then position) stays. DataFrame functions only.
+Blank lines aside, a hash of each line feeds a rolling (cyclic polynomial) hash over ``WINDOW`` lines; a chunk ends where
+that is 0 modulo ``DIVISOR``, and a line of ``ANCHOR`` words or more is a chunk of its own. So boundaries follow from the
+lines beside them, and an insertion moves only those. What can go is a chunk of two lines or more, a line of ``LONG``
+words, and two neighbouring chunks together: those that repeat by hash are compared byte by byte, and the first occurrence
+(smallest doc_id, then digest of the text, then position) stays. A line goes if it lies in such a piece that occurred
+before, so every line's first occurrence stays, and of a passage that documents share only short lines at its ends can.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,21 +14,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nubla.llm.common import table
+from nubla.llm.common import join_counted, new_name, small, table
 
-WINDOW = 2
+WINDOW = 3
 DIVISOR = 2
+ANCHOR = 5
 LONG = 50
 LAST = (1 << 63) - 1
-BROADCAST_ROWS = 200_000
+HOT_CHARS = 16_384
 
 
 def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def _is_long(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= LONG - 1
+def _words(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _let(value: Column, body) -> Column:
@@ -33,63 +37,103 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _ends(hashes: Column, longs: Column) -> Column:
-    """The numbers of the lines that end a chunk."""
+def _full(text: Column) -> Column:
+    """array<struct<i, line>>: the lines that aren't blank, with their numbers from 1."""
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("i"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
+
+
+def _ends(hashes: Column, words: Column) -> Column:
+    """The places of the lines that end a chunk."""
 
     def ends(i: Column) -> Column:
         rolled = F.element_at(hashes, i)
         for back in range(1, WINDOW):
             before = F.try_element_at(hashes, F.when(i > back, i - back).otherwise(F.size(hashes) + 1))
             rolled = rolled.bitwiseXOR(F.coalesce(F.shiftright(before, back), F.lit(0)))
-        return (rolled % DIVISOR == 0) | F.element_at(longs, i) | F.coalesce(F.try_element_at(longs, i + 1), F.lit(True))
+        return (rolled % DIVISOR == 0) | (F.element_at(words, i) >= ANCHOR) | F.coalesce(F.try_element_at(words, i + 1) >= ANCHOR, F.lit(True))
 
     return F.filter(F.sequence(F.lit(1), F.size(hashes)), ends)
 
 
-def _chunks(lines: Column) -> Column:
-    """array<struct<first, last, long>>: the chunks of a document's lines (from 1)."""
+def _places(lines: Column) -> Column:
+    """array<struct<a, b>>: from which to which of its lines each piece of a document reaches that can go."""
+
+    def pieces(cuts: Column, words: Column) -> Column:
+        begin = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at(cuts, F.greatest(k, F.lit(1))) + 1)
+        alone = F.transform(cuts, lambda e, k: F.struct(begin(k).alias("a"), e.alias("b")))
+        alone = F.filter(alone, lambda p: (p["b"] > p["a"]) | (F.element_at(words, p["a"]) >= LONG))
+        pairs = F.transform(F.slice(cuts, 2, F.greatest(F.size(cuts) - 1, F.lit(0))), lambda e, k: F.struct(begin(k).alias("a"), e.alias("b")))
+        return F.concat(alone, pairs)
+
+    texts = F.transform(lines, lambda s: s["line"])
+    found = _let(F.transform(texts, _line_hash), lambda hashes: _let(F.transform(texts, _words), lambda words: _let(_ends(hashes, words), lambda cuts: pieces(cuts, words))))
+    return F.when(F.size(lines) > 0, found).otherwise(F.from_json(F.lit("[]"), "array<struct<a:int,b:int>>"))
+
+
+def _text(lines: Column, a: Column, b: Column) -> Column:
+    return F.array_join(F.transform(F.slice(lines, a, b - a + 1), lambda s: s["line"]), "\n")
 
-    def pieces(cuts: Column, longs: Column) -> Column:
-        first = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at(cuts, F.greatest(k, F.lit(1))) + 1)
-        return F.transform(cuts, lambda e, k: F.struct(first(k).alias("first"), e.alias("last"), F.element_at(longs, e).alias("long")))
 
-    return _let(F.transform(lines, _line_hash), lambda hashes: _let(F.transform(lines, _is_long), lambda longs: _let(_ends(hashes, longs), lambda cuts: pieces(cuts, longs))))
+def _key() -> Column:
+    """A row's key: its id (``LAST`` where it has none) and its text's digest."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
 
 
-def _text(first: Column, last: Column) -> Column:
-    return F.array_join(F.slice("lines", first, last - first + 1), "\n")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(_key().alias("key"), "text").filter("text is not null")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Rows (key, first, last): the chunks of each document that go. key is the doc_id, nulls last as one document."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text").filter("text is not null")
-    parts = keyed.withColumn("lines", F.split("text", "\n", -1)).select("key", "lines", _let(F.col("lines"), _chunks).alias("chunks"))
-    full = F.size(F.filter(F.slice("lines", F.col("c.first"), F.col("c.last") - F.col("c.first") + 1), lambda x: F.trim(x) != "")) >= 2
-    parts = parts.select("key", "lines", F.explode("chunks").alias("c")).filter(full | F.col("c.long"))
-    narrow = table(parts.select("key", "c.first", "c.last", F.xxhash64(_text(F.col("c.first"), F.col("c.last"))).alias("h")), "chunks")
-    twice = narrow.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    marked = table(narrow.join(twice, "h").groupBy("key").agg(F.collect_set(F.struct("first", "last", "h")).alias("marks")), "marks")
-    some = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
-    texts = keyed.join(some, "key").withColumn("lines", F.split("text", "\n", -1)).select("key", "lines", F.explode("marks").alias("c"))
-    found = table(texts.select("key", "c.first", "c.last", "c.h", _text(F.col("c.first"), F.col("c.last")).alias("chunk")), "repeats")
+    """Rows (key, first, last): the lines of each document that go, by their numbers from 1."""
+    keyed = _keyed(docs)
+    hashed = _let(_full(F.col("text")), lambda lines: F.transform(_places(lines), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.xxhash64(_text(lines, p["a"], p["b"])).alias("h"))))
+    narrow = table(keyed.select("key", F.inline(hashed)).distinct(), "pieces")
+    twice = table(narrow.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    marked = table(join_counted(narrow, twice, ["h"], narrow.count()).groupBy("key").agg(F.collect_list(F.struct("a", "b", "h")).alias("marks")), "marks")
+    marked = marked.select(F.col("key").alias("_key"), "marks")
+    texts = keyed.dropDuplicates(["key"]).join(small(marked, "marks"), F.col("key") == F.col("_key"))
+    spans = _let(_full(F.col("text")), lambda lines: F.transform("marks", lambda m: F.struct(m["h"].alias("h"), F.element_at(lines, m["a"])["i"].alias("first"), F.element_at(lines, m["b"])["i"].alias("last"), _text(lines, m["a"], m["b"]).alias("piece"))))
+    found = table(texts.select("key", F.inline(spans)), "repeats")
     place = F.struct("key", "first")
-    stays = found.groupBy("h", "chunk").agg(F.min(place).alias("stays"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return found.join(stays, ["h", "chunk"]).filter(place != F.col("stays")).select("key", "first", "last")
+    stays = table(found.groupBy("h", "piece").agg(F.min(place).alias("stays"), F.count("*").alias("n")).filter("n > 1"), "stays")
+    return join_counted(found, stays, ["h", "piece"], found.count(), f"length(piece) <= {HOT_CHARS}").filter(place != F.col("stays")).select("key", "first", "last")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``, plus ``_lines`` and ``_removed`` (array<struct<first, last>>).
+def _merged(spans: Column) -> Column:
+    """Sorted ranges, of which neither end ever falls, with those that touch or overlap made one."""
+    gap = lambda v, i: F.element_at(v, i + 1)["first"] > F.element_at(v, i)["last"] + 1
+    firsts = lambda v: F.filter(v, lambda s, i: F.when(i == 0, True).otherwise(gap(v, F.greatest(i, F.lit(1)))))
+    lasts = lambda v: F.filter(v, lambda s, i: F.when(i + 1 == F.size(v), True).otherwise(gap(v, F.least(i + 1, F.size(v) - 1))))
+    return _let(spans, lambda v: F.zip_with(firsts(v), lasts(v), lambda x, y: F.struct(x["first"].alias("first"), y["last"].alias("last"))))
+
+
+def _without(lines: Column, spans: Column) -> Column:
+    """The lines outside of some ranges, joined."""
+    after = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at(spans, F.greatest(k, F.lit(1)))["last"] + 1)
+    ahead = F.transform(spans, lambda s, k: F.slice(lines, after(k), s["first"] - after(k)))
+    tail = F.slice(lines, F.element_at(spans, -1)["last"] + 1, F.size(lines))
+    return F.array_join(F.flatten(F.concat(ahead, F.array(tail))), "\n")
 
-    Null texts stay null and empty ones empty; a document of which all lines go keeps its row with an empty text. Rows that
-    share a doc_id are one document (so are rows without one) and keep what it holds first. Other columns pass through.
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated pieces cut out of ``text``, and two columns more at the end: ``_lines``, how many there were,
+    and ``_removed``, array<struct<first, last>> of what went (null where nothing did); with more underscores where a name
+    is taken.
+
+    Null texts stay null and empty ones empty; a document of which all lines go keeps its row with an empty text. Rows are
+    told apart by doc_id and text, so null or repeated ids are documents of their own; rows equal in both are one document,
+    and each keeps what that keeps. A very long text is handled within its row, in time and memory that grow with its length.
+    Other columns pass through, whatever they are called. An empty table gives an empty result.
     """
-    gone = table(repeated(docs).distinct().groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_removed")), "removed")
-    small = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    joined = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(small, "key", "left").drop("key")
-    lines = F.split("text", "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.exists("_removed", lambda r: (i + 1 >= r["first"]) & (i + 1 <= r["last"])))
-    text = F.when(F.col("_removed").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return joined.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("text", text)
+    order = F.array_sort(F.collect_list(F.struct("first", "last")))
+    gone = table(repeated(docs).groupBy("key").agg(_merged(order).alias("spans")), "removed")
+    own, other, found, lines = (new_name(docs, n) for n in ("_id", "_gone", "_removed", "_lines"))
+    gone = gone.select(F.col("key").alias(other), F.col("spans").alias(found))
+    joined = docs.withColumn(own, F.when(F.col("text").isNotNull(), _key())).join(small(gone, found), F.col(own) == F.col(other), "left").drop(own, other)
+    left = _let(F.split("text", "\n", -1), lambda split: _without(split, F.col(found)))
+    text = F.when(F.col(found).isNull() | F.col("text").isNull(), F.col("text")).otherwise(left)
+    counted = joined.withColumn(lines, F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))).withColumn("text", text)
+    return counted.select(*[f"`{c}`" for c in docs.columns], lines, found)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -102,26 +146,28 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = f"""
-with split as (
-  select doc_id, coalesce(doc_id, {LAST}) as key, text, string_split(text, chr(10)) as lines from documents where text is not null),
-line as (
-  select key, i, lines[i] as l, ('0x' || substr(md5(lines[i]), 1, 15))::bigint as h,
-         length(lines[i]) - length(replace(lines[i], ' ', '')) >= {LONG - 1} as lng
-  from (select distinct key, lines from split) s, unnest(range(1, len(lines) + 1)) u(i)),
+with doc as (
+  select row_number() over (order by id, digest) as key, * from (
+    select distinct coalesce(doc_id, {LAST}) as id, md5(text) as digest, string_split(text, chr(10)) as lines from documents where text is not null)),
+line as (select key, i, lines[i] as l from doc, unnest(range(1, len(lines) + 1)) u(i)),
+hashed as (
+  select *, ('0x' || substr(md5(l), 1, 15))::bigint as h, length(l) - length(replace(l, ' ', '')) + 1 as words from line where trim(l) <> ''),
 cuts as (
-  select *, (xor(h, coalesce(lag(h) over w, 0) >> 1) % {DIVISOR} = 0) or lng or coalesce(lead(lng) over w, true) as cut from line window w as (partition by key order by i)),
+  select *, xor(xor(h, coalesce(lag(h) over w, 0) >> 1), coalesce(lag(h, 2) over w, 0) >> 2) % {DIVISOR} = 0 or words >= {ANCHOR} or coalesce(lead(words) over w >= {ANCHOR}, true) as cut
+  from hashed window w as (partition by key order by i)),
 part as (
   select *, coalesce(sum(case when cut then 1 else 0 end) over (partition by key order by i rows between unbounded preceding and 1 preceding), 0) as c from cuts),
-chunk as (
-  select key, min(i) as first, max(i) as last, string_agg(l, chr(10) order by i) as t from part group by key, c
-  having count(*) filter (where trim(l) <> '') >= 2 or bool_or(lng)),
+chunk as (select key, c, min(i) as first, max(i) as last, count(*) as n, max(words) as words, string_agg(l, chr(10) order by i) as t from part group by key, c),
+piece as (
+  select key, first, last, t from chunk where n >= 2 or words >= {LONG}
+  union all
+  select x.key, x.first, y.last, x.t || chr(10) || y.t from chunk x join chunk y on y.key = x.key and y.c = x.c + 1),
 gone as (
-  select key, first, last from (select *, row_number() over (partition by t order by key, first) as r from chunk) where r > 1),
-spans as (
-  select key, string_agg(first || '-' || last, ',' order by first) as removed, sum(last - first + 1)::bigint as n from gone group by key),
-kept as (
-  select key, string_agg(l, chr(10) order by i) as t from line where not exists (select 1 from gone g where g.key = line.key and i between g.first and g.last) group by key)
+  select distinct key, unnest(range(first, last + 1)) as i from (select *, row_number() over (partition by t order by key, first) as r from piece) where r > 1),
+island as (select key, min(i) as first, max(i) as last from (select *, i - row_number() over (partition by key order by i) as g from gone) group by key, g),
+spans as (select key, string_agg(first || '-' || last, ',' order by first) as removed, sum(last - first + 1)::bigint as n from island group by key),
+kept as (select key, string_agg(l, chr(10) order by i) as t from line where key in (select key from spans) and (key, i) not in (select key, i from gone) group by key)
 select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(s.n, 0)::bigint as n_removed, coalesce(s.removed, '') as removed,
   case when s.key is null then d.text else coalesce(k.t, '') end as text
-from documents d left join spans s on s.key = coalesce(d.doc_id, {LAST}) and d.text is not null left join kept k on k.key = s.key
+from documents d left join doc x on x.id = coalesce(d.doc_id, {LAST}) and x.digest = md5(d.text) left join spans s on s.key = x.key left join kept k on k.key = x.key
 """
