@@ -7,8 +7,9 @@ tokens, where the round v is the one at which these add up to k windows (ties go
 finds, without talking to others, which windows its documents' tokens belong to and where: nothing is passed through one
 task, each window holds every queue's share to within one token, and only the last window is not full.
 
-A queue is one source; beyond ``MAX_QUEUES`` sources they share queues by hash. Tokens are made once and kept in a table
-in the shared folder while the totals of each (partition, queue) are summed.
+A queue is one source, of which there may be any number: driver and workers hold two numbers for each, and tables of
+``TABLE`` numbers for the windows at hand. Tokens are made once and kept in a table in the shared folder while the totals
+of each (partition, queue) are summed.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nubla.llm.common import release, table
+from nubla.llm.common import byte_slices, release, table
 
 SEQ_LEN = 2048
 END_ID = 1
-MAX_QUEUES = 4096
+RUN = 4096
+TABLE = 1 << 18
 BROADCAST_ROWS = 200_000
 PIECES = "doc_id {id}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -36,20 +38,29 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _unbroken(text: str) -> bool:
+    """Whether a text may have a run of ``RUN`` characters without white space, or of nothing else."""
+    if len(text) < RUN:
+        return False
+    sizes = [len(w) for w in text.split()]
+    return max(sizes, default=0) >= RUN or len(text) - sum(sizes) >= len(sizes) + RUN
+
+
 def encoder(path: str):
     """text -> uint16 ids of the byte-level BPE in ``path``, ids as its own library gives them without added tokens.
 
-    Where the same vocabulary lies beside it as ranks, the faster library reads those; special tokens' strings count as
-    these tokens in both.
+    Where the same vocabulary lies beside it as ranks, the faster library reads those, but for texts with very long runs, on
+    which it recurses; special tokens' strings count as these tokens in both.
     """
     from pathlib import Path
 
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    slow = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, np.uint16)
     ranks = Path(path).with_suffix(".tiktoken")
     if not ranks.exists():
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        return lambda text: np.array(model.encode(text, add_special_tokens=False).ids, np.uint16)
+        return slow
     import base64
     import json
 
@@ -58,7 +69,8 @@ def encoder(path: str):
 
     special = {x["content"]: x["id"] for x in json.loads(Path(path).read_text())["added_tokens"]}
     own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}, special_tokens=special)
-    return lambda text: np.array(own.encode(text, allowed_special="all") if any(s in text for s in special) else own.encode_ordinary(text), np.uint16)
+    fast = lambda text: np.array(own.encode(text, allowed_special="all") if any(s in text for s in special) else own.encode_ordinary(text), np.uint16)
+    return lambda text: slow(text) if _unbroken(text) else fast(text)
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
@@ -69,8 +81,8 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         encode, part, before = encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for at, to in byte_slices(batch.column("text"), 1 << 21):
+                rows = batch.slice(at, to - at)
                 ids = [np.append(encode(t or ""), np.uint16(END_ID)) for t in rows.column("text").to_pylist()]
                 starts = []
                 for q, x in zip(rows.column("queue").to_pylist(), ids, strict=True):
@@ -89,30 +101,27 @@ def served(totals: np.ndarray, weights: np.ndarray, windows: np.ndarray, size: i
     low, high = np.zeros(len(due)), np.full(len(due), float((totals / weights).max()) + 2 / weights.min())
     for _ in range(120):
         mid = (low + high) / 2
+        if ((mid == low) | (mid == high)).all():
+            break
         under = count(mid).sum(1) <= due
         low, high = np.where(under, mid, low), np.where(under, high, mid)
     got, more = count(low), count(high)
     left, step = due - got.sum(1), more - got
-    for i in range(len(totals)):
-        take = np.minimum(step[:, i], left)
-        got[:, i] += take
-        left -= take
-    return got
+    return got + np.minimum(step, np.maximum(left[:, None] - (np.cumsum(step, axis=1) - step), 0))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, targets: dict[str, float] | None = None, size: int = SEQ_LEN, with_ids: bool = False) -> DataFrame:
     """Pieces of the packed sequences: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    docs: doc_id, text, source (other columns are not read). A null text is empty, a null source a queue of its own; each
-    row is a document, repeated or not, of one token at least. targets: token share of each source; those of the input
-    where none are given, so that all queues end together; a queue that ends early leaves its share to the others.
-    with_ids: also the piece's ids, little-endian uint32. An empty table gives no pieces.
+    docs: doc_id, text, source (other columns are not read, whatever they are called). A null text is empty, a null source
+    a queue of its own (that of the empty name); each row is a document, repeated or not, of one token at least, and a null
+    id stays null. A very long text is tokenized whole in one task and cut into windows. targets: token share of each source;
+    those of the input where none are given, so that all queues end together; a queue that ends early leaves its share to
+    the others. with_ids: also the piece's ids, little-endian uint32. An empty table gives no pieces.
     """
     path = tokenizer or default_vocabulary()
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    some = docs.select(source.alias("source")).distinct().limit(MAX_QUEUES + 1).count()
-    queue = source if some <= MAX_QUEUES else F.concat(F.lit("q"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
-    made = table(tokenize(docs.select("doc_id", "text", source.alias("source"), queue.alias("queue")), path), "tokens")
+    made = table(tokenize(docs.select("doc_id", "text", source.alias("source"), source.alias("queue")), path), "tokens")
     sums = table(made.groupBy("queue", "part").agg(F.sum("n").alias("n")), "sums")
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     names = sorted(totals)
@@ -122,30 +131,30 @@ def pack(docs: DataFrame, tokenizer: str | None = None, targets: dict[str, float
     share = share / share.sum() if len(share) else share
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    small = sums.count() <= BROADCAST_ROWS
-    placed = made.join(F.broadcast(base) if small else base, ["queue", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
+    few = sums.count() <= BROADCAST_ROWS
+    placed = made.join(F.broadcast(base) if few else base, ["queue", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
 
     def run(batches):
         where, cache = {q: i for i, q in enumerate(names)}, {}
+        per = max(1, min(256, TABLE // max(1, len(names))))  # windows of a table
 
-        def block(k: int) -> np.ndarray:  # the table for 256 windows and the one after
+        def block(k: int) -> np.ndarray:  # the table for these windows and the one after
             if k not in cache:
-                if len(cache) > 64:
-                    cache.clear()
-                cache[k] = served(n, share, np.arange(k * 256, k * 256 + 257), size)
+                if len(cache) >= 16:
+                    cache.pop(next(iter(cache)))
+                cache[k] = served(n, share, np.arange(k * per, k * per + per + 1), size)
             return cache[k]
 
         def window_of(q: int, at: int) -> int:
-            low, high = 0, int(n.sum() // size) + 1
-            guess = int(at / max(n[q], 1) * n.sum() / size) // 256
+            guess = int(at / max(n[q], 1) * n.sum() / size) // per
             for k in (guess, guess - 1, guess + 1):
-                if k >= 0 and block(k)[0, q] <= at < block(k)[256, q]:
-                    return k * 256 + int(np.searchsorted(block(k)[:, q], at, side="right")) - 1
-            low, high = 0, high // 256 + 1
+                if k >= 0 and block(k)[0, q] <= at < block(k)[per, q]:
+                    return k * per + int(np.searchsorted(block(k)[:, q], at, side="right")) - 1
+            low, high = 0, int(n.sum() // size) // per + 2
             while high - low > 1:
                 mid = (low + high) // 2
-                low, high = (mid, high) if block(mid)[0, q] <= at else (low, mid)
-            return low * 256 + int(np.searchsorted(block(low)[:, q], at, side="right")) - 1
+                low, high = (mid, high) if served(n, share, np.array([mid * per]), size)[0, q] <= at else (low, mid)
+            return low * per + int(np.searchsorted(block(low)[:, q], at, side="right")) - 1
 
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
@@ -155,8 +164,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, targets: dict[str, float
                     q, ids, done = where[q], np.frombuffer(ids, "<u2").astype("<u4"), 0
                     k = window_of(q, at)
                     while done < count:
-                        own = block(k // 256)
-                        a, b = own[k % 256], own[k % 256 + 1]
+                        own = block(k // per)
+                        a, b = own[k % per], own[k % per + 1]
                         length = min(int(b[q]) - at - done, count - done)
                         if length > 0:
                             piece = ids[done : done + length].tobytes()
