@@ -8,33 +8,36 @@ holds, so the limit always does. The budget is the one at which the largest sour
 Whole epochs repeat a source's documents. The rest of an epoch is realised in blocks of about ``BLOCK_TOKENS`` tokens:
 each source is dealt to blocks by a hash, each block is permuted by it, and a block gives the documents at the head of its
 permutation up to its own token budget. So nothing is sorted beyond a block.
+
+There may be any number of sources: their figures are a table, joined. The driver only gets how many sources have each
+token total, of which there are at most as many as the root of twice the number of tokens.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nubla.llm.common import table
+from nubla.llm.common import join_counted, new_name, small, table
 
 REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
 SEED = "mix"
-MAX_SOURCES = 4096
-BROADCAST_ROWS = 200_000
+BROADCAST_SOURCES = 100_000
 
 
-def exponent(totals: dict[str, int], repeats: float | None = REPEATS, entropy: float | None = None) -> float:
-    """The exponent for source token totals; entropy: the target as a share of that of equal weights."""
-    n = [float(v) for v in totals.values() if v > 0]
-    if len(n) < 2:
+def exponent(totals: dict[int, int], repeats: float | None = REPEATS, entropy: float | None = None) -> float:
+    """The exponent for token totals and how many sources have each; entropy: the target as a share of that of equal weights."""
+    n = np.array([v for v in totals if v > 0], float)
+    sources = np.array([totals[v] for v in totals if v > 0], float)
+    if sources.sum() < 2:
         return 1.0
 
     def reached(a: float) -> bool:
-        w = [(v / max(n)) ** a for v in n]
-        return -sum(x / sum(w) * math.log(x / sum(w)) for x in w) >= entropy * math.log(len(n))
+        w = (n / n.max()) ** a
+        w /= (w * sources).sum()
+        return -(sources * w * np.log(w)).sum() >= entropy * np.log(sources.sum())
 
     found = 1.0 if entropy is None and repeats is None else 0.0
     if entropy is not None:
@@ -47,7 +50,7 @@ def exponent(totals: dict[str, int], repeats: float | None = REPEATS, entropy: f
         low, high = 0.0, 1.0
         for _ in range(60):
             mid = (low + high) / 2
-            low, high = (low, mid) if (min(n) / max(n)) ** (mid - 1) <= repeats else (mid, high)
+            low, high = (low, mid) if (n.min() / n.max()) ** (mid - 1) <= repeats else (mid, high)
         found = max(found, high)
     return found
 
@@ -59,43 +62,45 @@ def _place(seed: str) -> Column:
 
 
 def mix(docs: DataFrame, repeats: float | None = REPEATS, entropy: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
-    """``docs`` with each row once for each of its epochs, plus ``_epoch`` (from 1), ``_block``, ``_tokens`` and ``_weight``.
+    """``docs`` with each row once for each of its epochs, and as last column a struct of ``epoch`` (from 1), ``block``,
+    ``tokens`` and ``weight``, called ``_mix`` (with more underscores where that is taken).
 
-    Tokens are words between white space, one at least. A null source is a source of its own; a null text has one token.
-    Repeated rows share a place, so their block takes both or neither. Beyond ``MAX_SOURCES`` sources, sources share a
-    weight by hash. Other columns pass through; an empty table gives an empty result.
+    Tokens are words between white space, one at least. A null source is one with the empty name; a null text has one token.
+    A null id is placed by its text. Repeated rows share a place, so their block takes both or neither. A very long text only
+    weighs more: a block gives it or doesn't. Other columns pass through, whatever they are called; an empty table gives an
+    empty result.
     """
-    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    many = docs.select(source.alias("s")).distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES
-    source = F.concat(F.lit("s"), F.pmod(F.xxhash64(source), F.lit(MAX_SOURCES)).cast("string")) if many else source
+    own, into = [new_name(docs, n) for n in ("_source", "_tokens", "_place")], new_name(docs, "_mix")
     tokens = F.greatest(F.lit(1), F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\r]+")), F.lit(0))).cast("long")
-    narrow = table(docs.select(source.alias("_source"), tokens.alias("_tokens"), _place(seed).alias("_place")), "places")
-    totals = {r["_source"]: r["n"] for r in narrow.groupBy("_source").agg(F.sum("_tokens").alias("n")).collect()}
-    if not totals:
-        return docs.select("*", F.lit(1).alias("_epoch"), F.lit(0).cast("long").alias("_block"), tokens.alias("_tokens"), F.lit(1.0).alias("_weight"))
-    a, largest = exponent(totals, repeats, entropy), max(totals.values())
-    epochs = {s: (n / largest) ** (a - 1) for s, n in totals.items()}
-    weights = {s: (n / largest) ** a for s, n in totals.items()}
-    whole = sum(weights.values())
-    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("_source"))
-    block = F.pmod(F.col("_place"), of({s: -(-n // block_tokens) for s, n in totals.items()}))
-    part = of({s: e - math.floor(e) for s, e in epochs.items()})
-    own = Window.partitionBy("_source", "_block")
-    ordered = own.orderBy("_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = narrow.withColumn("_block", block).withColumn("_upto", F.sum("_tokens").over(ordered)).withColumn("_all", F.sum("_tokens").over(own))
-    cut = cut.filter(2 * F.col("_upto") - F.col("_tokens") <= 2 * part * F.col("_all")).groupBy("_source", "_block").agg(F.max("_place").alias("_last"))
-    cut = table(cut, "cuts")
-    small = F.broadcast(cut) if cut.count() <= BROADCAST_ROWS else cut
-    placed = docs.withColumn("_source", source).withColumn("_tokens", tokens).withColumn("_place", _place(seed)).withColumn("_block", block)
-    copies = of({s: math.floor(e) for s, e in epochs.items()}) + F.coalesce(F.col("_place") <= F.col("_last"), F.lit(False)).cast("int")
-    out = placed.join(small, ["_source", "_block"], "left").withColumn("_epoch", F.explode(F.sequence(F.lit(1), copies)))
-    return out.withColumn("_weight", of({s: w / whole for s, w in weights.items()})).select(*docs.columns, "_epoch", "_block", "_tokens", "_weight")
+    placed = docs.select("*", F.coalesce(F.col("source").cast("string"), F.lit("")).alias(own[0]), tokens.alias(own[1]), _place(seed).alias(own[2]))
+    narrow = table(placed.select(*[F.col(o).alias(n) for o, n in zip(own, ("s", "tokens", "place"), strict=True)]), "places")
+    sources = table(narrow.groupBy("s").agg(F.sum("tokens").alias("total"), F.count("*").alias("n")), "sources")
+    totals = {r["total"]: r["count"] for r in sources.groupBy("total").count().collect()}
+    a, largest, rows = exponent(totals, repeats, entropy), float(max(totals, default=1)), sources.agg(F.sum("n")).first()[0] or 0
+    whole = sum(k * (t / largest) ** a for t, k in totals.items())
+    epochs = F.pow(F.col("total") / largest, F.lit(a - 1))
+    part, blocks = epochs - F.floor(epochs), F.floor((F.col("total") + block_tokens - 1) / block_tokens).cast("long")
+    plan = table(sources.select("s", "n", F.floor(epochs).cast("int").alias("epochs"), part.alias("part"), blocks.alias("blocks"), (F.pow(F.col("total") / largest, F.lit(a)) / whole).alias("weight")), "plan")
+    few = sources.count() <= BROADCAST_SOURCES
+    planned = lambda df: df.join(F.broadcast(plan), "s") if few else join_counted(df, plan, ["s"], rows)
+    window = Window.partitionBy("s", "block")
+    ordered = window.orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    dealt = planned(narrow).withColumn("block", F.pmod("place", "blocks")).withColumn("upto", F.sum("tokens").over(ordered)).withColumn("all", F.sum("tokens").over(window))
+    last = dealt.filter(2 * F.col("upto") - F.col("tokens") <= 2 * F.col("part") * F.col("all")).groupBy("s", "block").agg(F.max("place").alias("last"))
+    last = table(last, "cuts").select(F.col("s").alias("cut_s"), F.col("block").alias("cut_block"), "last")
+    whole_row = placed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(o).alias(n) for o, n in zip(own, ("s", "tokens", "place"), strict=True)])
+    out = planned(whole_row).withColumn("block", F.pmod("place", "blocks"))
+    out = out.join(small(last), (F.col("s") == F.col("cut_s")) & (F.col("block") == F.col("cut_block")), "left")
+    copies = F.col("epochs") + F.coalesce(F.col("place") <= F.col("last"), F.lit(False)).cast("int")
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(1), copies)))
+    return out.select("row.*", F.struct("epoch", "block", "tokens", "weight").alias(into))
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """One row for each document and epoch of the mixture."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "source", F.col("_epoch").cast("long").alias("epoch"), F.col("_block").alias("block"), F.col("_tokens").alias("n_tokens"), F.round(F.col("_weight") * 1_000_000).cast("long").alias("weight_ppm"))
+    m = mixed.columns[-1]
+    return mixed.select("doc_id", "source", F.col(f"{m}.epoch").cast("long").alias("epoch"), F.col(f"{m}.block").alias("block"), F.col(f"{m}.tokens").alias("n_tokens"), F.round(F.col(f"{m}.weight") * 1_000_000).cast("long").alias("weight_ppm"))
 
 
 #: DuckDB SQL for the mixture of a table {docs}; a row of it for each epoch.
