@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nubla.functions.regex import let, matches
 from nubla.llm.common import table
 
 KINDS = ("assign", "access", "hex", "random")
@@ -31,21 +32,9 @@ STEPS = 10_000
 BROADCAST_ROWS = 200_000
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, match>> of the leftmost non-overlapping matches, in code points."""
-
-    def located(found: Column, gaps: Column) -> Column:
-        size = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-        start = lambda i: size(gaps, i + 1) + size(found, i)
-        return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), F.lit(kind).alias("kind"), (start(i) + F.length(m)).alias("end"), m.alias("match")))
-
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int,match:string>>")
-    spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _let(F.split(text, pattern, -1), lambda gaps: located(found, gaps)))
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["match"].alias("match")))
 
 
 def _base(text: Column) -> Column:
@@ -72,11 +61,11 @@ def battery(rows: DataFrame) -> DataFrame:
     of = lambda values: F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("encoding"))
     rows = rows.filter(F.length(text) >= of(LEAST))
     plain = F.when(F.col("encoding") == "hex", F.lower(text)).otherwise(F.translate(text, "-_", "+/"))
-    symbols = _let(of(ALPHABETS), lambda alphabet: F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.call_function("instr", alphabet, c) - 1))
+    symbols = let(of(ALPHABETS), lambda alphabet: F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.call_function("instr", alphabet, c) - 1))
     size = F.size("x")
     rows = rows.withColumn("radix", F.length(of(ALPHABETS))).withColumn("x", symbols).withColumn("n", size.cast("double"))
     cell = F.transform("x", lambda v: F.floor(v * CELLS / F.col("radix")).cast("int"))
-    counts = _let(cell, lambda cells: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.size(F.filter(cells, lambda v: v == k))))
+    counts = let(cell, lambda cells: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda k: F.size(F.filter(cells, lambda v: v == k))))
     chi = F.aggregate(counts, F.lit(0.0), lambda a, o: a + F.pow(o - F.col("n") / CELLS, F.lit(2.0)) / (F.col("n") / CELLS))
     high = F.transform("x", lambda v: (v * 2 >= F.col("radix")).cast("int"))
     rows = rows.withColumn("high", high).withColumn("chi", chi).withColumn("mean", F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.col("n"))
