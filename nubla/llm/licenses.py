@@ -4,24 +4,28 @@ A text is brought to canonical form: lower case, copyright lines cut, equivalent
 space reduced to single spaces. The digest of the whole form is joined to the digests of known licences; no part of a text
 is enough. Whole documents are looked up, and each of their lines, which is where notices stand. DataFrame functions only.
 
-The known table has full texts of short licences and usual notices; ``scan`` takes any other.
+The known table has full texts (``licence_texts`` and below) and usual notices; ``scan`` takes any other.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-#: Every known licence has one of these words.
+#: Full texts of longer licences, as published, each in a file of its name.
+TEXTS = Path(__file__).with_name("licence_texts")
+#: Every licence of the known table has one of these words.
 TRIGGER = r"(?i)licen[cs]|permission|redistribution|public domain|released|distributed"
 #: Equivalent spellings: fixed values.
 SPELLINGS = [
     (r"\blicence", "license"), (r"\bsublicence", "sublicense"), (r"\bsub-licen[cs]e", "sublicense"), (r"\bnon-commercial", "noncommercial"),
     (r"\bno-derivatives", "noderivatives"), (r"\bshare-alike", "sharealike"), (r"\bfavour", "favor"), (r"\bmerchantibility", "merchantability"),
-    (r"\bwhilst\b", "while"), (r"\bper cent\b", "percent"), (r"&", " and "), (r"https://", "http://"), (r"\bversion |\bver\. ?|\bv\. ?|\bv([0-9])", r"v \1"),
+    (r"\bwhilst\b", "while"), (r"\bper cent\b", "percent"), (r"&", " and "), (r"https://", "http://"), (r"\bversion\b|\bver\. ?|\bv\. ?|\bv([0-9])", r"v \1"),
 ]
-COPYRIGHT = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*$"
+COPYRIGHT = r"(?m)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|:|by |[0-9\[<{])|copyright [^\n]{0,60}[12][0-9]{3}|\(c\)|©)[^\n]*$"
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -87,6 +91,7 @@ def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of the known table: full texts, and notices made by rule from names."""
     found = [("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("MIT", "The MIT License (MIT)\n\n" + MIT), ("ISC", ISC), ("ISC", "ISC License\n\n" + ISC), ("BSD-2-Clause", BSD_HEAD + BSD_TAIL), ("BSD-3-Clause", BSD_HEAD + BSD_NAMES + BSD_TAIL)]
     found += [("Unlicense", UNLICENSE), ("Zlib", ZLIB), ("Zlib", "zlib License\n\n" + ZLIB), ("Apache-2.0", APACHE_NOTICE), ("MPL-2.0", MPL_NOTICE)]
+    found += [(f.stem, f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
     found += [(f"{short}-{v}", GNU_NOTICE.format(name=name, version=v)) for name, short, versions in GNU for v in versions]
     named = [("MIT", "the MIT License"), ("MIT", "MIT License"), ("MIT", "MIT"), ("ISC", "the ISC License"), ("Unlicense", "the Unlicense"), ("Zlib", "the zlib License")]
     named += [(f"BSD-{n}-Clause", f"the BSD {n}-Clause License") for n in (2, 3)]
@@ -117,23 +122,25 @@ def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> Da
     return rows.select(F.sha2(canonical(F.col("text")).cast("binary"), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, digests: DataFrame, trigger: str = TRIGGER) -> DataFrame:
+def scan(docs: DataFrame, digests: DataFrame, trigger: str | None = None) -> DataFrame:
     """Rows (doc_id, line, license): a whole text (line 0) or a line (from 1) whose canonical form is a known licence's.
 
-    trigger: a pattern that every text with a known digest matches; others are passed over. A null or empty text matches
-    nothing; repeated rows each give their rows; a text of one line gives a row for itself and one for its line. Other
-    columns are not read; an empty table gives an empty result.
+    trigger: a pattern that every text with a digest of ``digests`` matches, to pass others over quickly; without one every
+    text and line is looked up. A null or empty text matches nothing; a null id stays null; repeated rows each give their
+    rows; a text of one line gives a row for itself and one for its line. A very long text is brought to canonical form
+    whole, in memory that grows with it. Other columns are not read; an empty table gives an empty result.
     """
-    some = docs.select("doc_id", "text").filter(F.col("text").rlike(trigger))
+    fits = lambda c: F.col(c).rlike(trigger) if trigger else F.col(c) != ""
+    some = docs.select("doc_id", "text").filter(fits("text"))
     units = F.concat(F.array("text"), F.split("text", "\n", -1))
-    units = some.select("doc_id", F.posexplode(units).alias("line", "unit")).filter(F.col("unit").rlike(trigger))
+    units = some.select("doc_id", F.posexplode(units).alias("line", "unit")).filter(fits("unit"))
     units = units.select("doc_id", F.col("line").cast("long").alias("line"), F.sha2(canonical(F.col("unit")).cast("binary"), 256).alias("digest"))
     small = F.broadcast(digests) if digests.count() <= BROADCAST_ROWS else digests
     return units.join(small, "digest").select("doc_id", "line", "license")
 
 
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known(spark))
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), known(spark), TRIGGER)
 
 
 def _canonical_sql(text: str) -> str:
