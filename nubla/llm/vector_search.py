@@ -4,8 +4,9 @@ A tree splits its points at the median distance from a vantage point, again and
 side that the triangle inequality puts out of reach: farther than ``factor`` times the distance of the worst neighbour
 kept. Factor 1 is exact; a smaller one skips more. Distances are chords between unit vectors, which order like cosines.
 
-The queries of a chunk (``CHUNK`` at most, whatever the table's size) go to all shards as a block; each shard returns
-``k`` candidates a query, and the best of them are the answer. Trees are rebuilt for every chunk.
+Queries stay distributed: they are dealt to blocks of about ``CHUNK``, candidates to shards by id, and every pair of a shard
+and a block is one task's work, which builds the shard's tree and returns ``k`` candidates a query; the best of all shards
+are the answer.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nubla.llm.common import table
 from nubla.llm.vectors import matrices, usable
 
-SHARD_ROWS = 16_384
+SHARD_BYTES = 48 << 20
+LEAST_SHARD = 4096
 CHUNK = 32_768
 LEAF = 192
 
@@ -82,56 +85,59 @@ class Tree:
         return best, found
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, factor: float = 1.0, shard_rows: int | None = None) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k candidates of largest cosine for each query, ties to the smaller id.
 
-    Both inputs: vec_id, embedding (other columns are not read). Rows with a null vec_id, or a vector that is null, zero
-    or not finite, take no part, and vectors of different lengths never meet. Repeated ids count once, and a query never
-    finds its own id. Empty tables give an empty result.
+    Both inputs: vec_id, embedding (other columns are not read). Rows with a null vec_id, or a vector that is null, empty,
+    zero or not finite, take no part, and vectors of different lengths never meet. Of several vectors with one id the
+    smallest counts, as arrays compare; a query never finds its own id. shard_rows: candidates of a shard; by default as many
+    as ``SHARD_BYTES`` hold, fewer where that leaves tasks idle. Empty tables give an empty result.
     """
-    spark = vectors.sparkSession
     clean = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    rows, asked = clean(vectors), clean(queries).dropDuplicates(["vec_id"])
-    shards = max(1, -(-vectors.count() // shard_rows))
-    chunks = max(1, -(-queries.count() // CHUNK))
-    dealt = rows.repartition(shards, "vec_id")
-    parts = []
-    for c in range(chunks):
-        got = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).toArrow().combine_chunks()
-        if got.num_rows:
-            parts.append(dealt.mapInArrow(_searcher(got, k, factor), "query_id long, vec_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    rows, asked = clean(vectors), table(clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    n, longest = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    fair = max(LEAST_SHARD, n // vectors.sparkSession.sparkContext.defaultParallelism + 1)
+    shards = max(1, -(-n // (shard_rows or min(fair, max(1, SHARD_BYTES // (8 * (longest or 1)))))))
+    blocks = max(1, -(-asked.count() // CHUNK))
+    place = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = rows.withColumn("shard", place(shards)).withColumn("block", every(blocks))
+    right = asked.withColumn("block", place(blocks)).withColumn("shard", every(shards))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searcher(k, factor), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _column(t: pa.Table, name: str) -> pa.Array:
-    c = t.column(name)
-    return c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-
-
-def _searcher(asked: pa.Table, k: int, factor: float):
-    ids = _column(asked, "vec_id").to_numpy()
-    by_length = {m.shape[1]: (ids[rows], m) for rows, m in matrices(_column(asked, "embedding"))}
-
-    def run(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        own = pa.Table.from_batches(got)
-        names = _column(own, "vec_id").to_numpy()
-        for rows, m in matrices(_column(own, "embedding")):
-            if m.shape[1] not in by_length:
-                continue
-            q, x = by_length[m.shape[1]]
-            once = np.unique(names[rows], return_index=True)[1]
-            best, found = Tree(names[rows][once], m[once]).search(q, x, k, factor)
-            at, place = np.nonzero(found >= 0) if names.min() >= 0 else np.nonzero(~np.isneginf(best))
-            yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(found[at, place]), pa.array(best[at, place])], ["query_id", "vec_id", "score"])
+def _once(own: pa.Table) -> pa.Table:
+    """One row for each id: the smallest of its vectors."""
+    ids = own.column("vec_id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    first = np.ones(len(ids), bool)
+    first[1:] = ids[order][1:] != ids[order][:-1]
+    if not first.all():
+        begins = np.flatnonzero(first)
+        keep = []
+        for begin, end in zip(begins, [*begins[1:], len(ids)], strict=True):
+            some = order[begin:end]
+            keep.append(some[0] if len(some) == 1 else min(some, key=lambda i: own.column("embedding")[int(i)].as_py()))
+        order = np.array(keep)
+    return own.take(pa.array(order))
+
+
+def _searcher(k: int, factor: float):
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if own.num_rows and asked.num_rows:
+            own = _once(own)
+            names, ids = own.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
+            by_length = {m.shape[1]: (ids[rows], m) for rows, m in matrices(asked.column("embedding").combine_chunks())}
+            for rows, m in matrices(own.column("embedding").combine_chunks()):
+                if m.shape[1] in by_length:
+                    q, x = by_length[m.shape[1]]
+                    best, found = Tree(names[rows], m).search(q, x, k, factor)
+                    at, place = np.nonzero(~np.isneginf(best))
+                    out.append((q[at], found[at, place], best[at, place]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
