@@ -34,7 +34,7 @@ def test_stages(spark, folder):
         seen.append({r["doc_id"]: r["text"] for r in docs.collect()})
     toxic, lines, near, mixed = seen
     assert set(toxic) == {i for i in range(200) if i % 10 != 9}
-    assert lines[10] and len(lines[50]) < len(lines[10]) and len(lines[61]) < len(toxic[61]) and lines[60] == toxic[60]
+    assert lines[10] == toxic[10] and lines[50] == "" and lines[61] == toxic[61].rsplit("\n", 6)[0] and lines[60] == toxic[60]
     expected = by_hand(sorted(lines.items()))
     assert set(near) == {i for i in lines if expected[i] == i} and 51 not in near
     assert set(mixed) == set(near)
@@ -43,8 +43,43 @@ def test_stages(spark, folder):
     assert sum(p["length"] for p in pieces) == sum(len(ids(r["text"] or "")) + 1 for r in docs.collect())
 
 
+def test_odd_rows(spark, folder):
+    """Nulls in any column, empty and very long texts, repeated rows, and empty tables, through every stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " " * 300_000 + "end"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, "no id here", None, "a", 10), (None, None, None, None, None), (3, "same text", "en", "b", 9), (3, "same text", "en", "b", 9), (4, long, "en", "a", len(long))]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, stage(spark, docs, folder).cache()
+            if name in ("toxicity", "line_dedup"):
+                assert sorted(str(tuple(r)) for r in docs.collect()) == sorted(map(str, data))
+            if name == "near_dedup":  # a null text is an empty one
+                assert sorted(map(str, (r["doc_id"] for r in docs.collect()))) == sorted(map(str, [1, None, None, 3, 4] if data else []))
+            if name == "mixing":
+                assert docs.columns == before.columns and {str(r) for r in docs.collect()} == {str(r) for r in before.collect()}
+        assert docs.groupBy("doc_id").count().count() == (4 if data else 0)
+
+
 def test_run(spark, folder):
-    assert corpus_pipeline.run(spark, folder).count() > 0
+    """The whole run is what the stages give one after another, and its pieces hold every token of the mixture once."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+    ids = packing.encoder(packing.default_vocabulary())
+    expected = {}
+    for r in docs.collect():
+        expected[r["doc_id"]] = expected.get(r["doc_id"], 0) + len(ids(r["text"] or "")) + 1
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    got = {}
+    for p in pieces:
+        got[p["doc_id"]] = got.get(p["doc_id"], 0) + p["length"]
+    assert got == expected
+    full = {}
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert p["offset"] == full.get(p["sequence_id"], 0)
+        full[p["sequence_id"]] = p["offset"] + p["length"]
+    assert all(n == packing.SEQ_LEN for s, n in full.items() if s < max(full))
 
 
 def test_names():

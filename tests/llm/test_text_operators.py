@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 
 from nubla.llm import language_id, licenses, line_dedup, minhash_dedup, mixing, packing, secrets, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start string, length string, queue string, key string, rep string, n string, lines string, band string, block string"
-EXTRA = ("x",) * 9
+CLASHING = ["start", "length", "queue", "key", "rep", "n", "lines", "band", "block", "h", "s", "tokens", "place", "epoch", "weight", "row", "_n", "_id", "_key", "_gone", "_lines", "_removed", "_named", "_source", "_tokens", "_place", "_block", "_epoch", "_weight", "_mix", "_nth", "_before"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+EXTRA = ("x",) * len(CLASHING)
 
 
 def table(spark, rows):
@@ -69,6 +72,30 @@ def test_encoder_gives_the_library_s_ids():
         assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_on_very_long_runs():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    library, own = Tokenizer.from_file(path), packing.encoder(path)
+    for text in [" " * 1_000_000, "a" * 1_000_000, "\n\t" * 50_000 + "x", "a b" + "\u3000" * 100_000, "é\u0301\u200d中١½😀\x85\x1c" * 2_000, "don't stop'll " + "." * 9_000]:
+        assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_very_long_texts(spark):
+    rows = [(1, " " * 1_000_000), (2, "x" * 300_000), (3, "one two"), (4, "word " * 200_000)]
+    check_pieces(packing.pack(table(spark, [(i, t, "en", "a") for i, t in rows])).collect(), rows)
+
+
+def test_packing_of_many_sources(spark):
+    """Each of 5,000 sources is a queue of its own."""
+    pieces = packing.pack(table(spark, [(i, f"text {i} " + "again " * (i % 7 * 10), "en", f"s{i % 5000}") for i in range(8_000)])).toPandas()
+    check_pieces(pieces.to_dict("records"), [(i, f"text {i} " + "again " * (i % 7 * 10)) for i in range(8_000)])
+    weights = pieces.groupby("source")["length"].sum()
+    got = pieces.pivot_table(index="sequence_id", columns="source", values="length", aggfunc="sum").fillna(0)
+    due = np.outer(np.arange(1, len(got)) * packing.SEQ_LEN, weights[got.columns] / weights.sum())
+    assert abs(got.cumsum().to_numpy()[:-1] - due).max() <= 2
+
+
 def test_packing(spark, odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     check_pieces(packing.pack(odd).collect(), rows)
@@ -103,6 +130,18 @@ def test_licenses(spark, odd, empty):
     assert sorted(tuple(r) for r in licenses.scan(docs, known).collect()) == [(1, 0, "MIT"), (2, 2, "MIT"), (2, 2, "MIT"), (2, 3, "CC-BY-NC-4.0"), (2, 3, "CC-BY-NC-4.0")]
     assert licenses.scan(odd, known).count() == licenses.scan(empty, known).count() == 0
     assert all(re.search(licenses.TRIGGER, t) for _, t in licenses.known_texts())
+    own = licenses.known(spark, [("Own", "Do as you like.")])
+    assert [tuple(r) for r in licenses.scan(table(spark, [(1, "x\n  DO as, you; like!", "en", "a")]), own).collect()] == [(1, 2, "Own")]
+
+
+def test_full_licenses(spark):
+    """Longer licences in capitals, indented and with other marks, and not with one word changed."""
+    texts = {f.stem: f.read_text(encoding="utf-8") for f in licenses.TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    rows = [(i, "Copyright (C) 2031 Someone Else\n\n" + re.sub("(?m)^", " * ", t.upper().replace(",", " ;")), "en", "a") for i, t in enumerate(texts.values())]
+    rows += [(100 + i, t.replace("license", "licence", 1).replace("the", "thee", 1), "en", "a") for i, t in enumerate(texts.values())]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan(table(spark, rows), licenses.known(spark)).filter("line = 0").collect()}
+    assert found == dict(enumerate(texts))
 
 
 def test_licenses_by_short_notices(spark):
@@ -114,10 +153,30 @@ def test_licenses_by_short_notices(spark):
 # Mixing
 
 
+def mixed_by_hand(rows, repeats):
+    """(doc_id, epochs) by source for one block a source, in plain Python."""
+    size = lambda t: max(1, len(re.findall(r"[^ \t\n\r]+", t or "")))
+    place = lambda i: int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:15], 16)
+    by = collections.defaultdict(list)
+    for i, t, _, s in rows:
+        by[s or ""].append((place(i), i, size(t)))
+    totals = {s: sum(n for *_, n in own) for s, own in by.items()}
+    a = mixing.exponent(collections.Counter(totals.values()), repeats)
+    out = {}
+    for s, own in by.items():
+        epochs, upto = (totals[s] / max(totals.values())) ** (a - 1), 0
+        for _, i, n in sorted(own):
+            upto += n
+            out[i] = int(epochs) + (2 * upto - n <= 2 * (epochs - int(epochs)) * totals[s])
+    return out
+
+
 def test_mixing(spark, odd, empty):
     rng = random.Random(2)
     docs = table(spark, [(i, words(rng, 50), "en", "big" if i < 800 else f"s{i % 4}") for i in range(1000)])
-    out = mixing.mix(docs, block_tokens=1000).groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.sum("_tokens").alias("t"), F.max("_weight").alias("w"), F.max("_epoch").alias("e")).collect()
+    out = mixing.mix(docs, block_tokens=1000)
+    assert out.columns[:-1] == docs.columns and out.columns[-1] == "_mix_" and out.filter("_mix <> 'x' or _tokens <> 'x' or block <> 'x'").isEmpty()
+    out = out.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.sum("_mix_.tokens").alias("t"), F.max("_mix_.weight").alias("w"), F.max("_mix_.epoch").alias("e")).collect()
     total = sum(r["t"] for r in out)
     for r in out:
         assert r["d"] == (800 if r["source"] == "big" else 50) and abs(r["t"] / total - r["w"]) < 0.01
@@ -126,15 +185,23 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 1])
+def test_mixing_of_many_sources(spark, monkeypatch, broadcast):
+    """5,000 sources, each with its own weight; also where their table is too large to be broadcast."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    rows = [(i, "w " * (1 + i % 11), "en", f"s{i % 5000}" if i < 9000 else "hot") for i in range(12_000)]
+    out = mixing.mix(table(spark, rows), repeats=3.0).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in out} == mixed_by_hand(rows, 3.0)
+
+
 def test_exponent():
-    totals = {"a": 100, "b": 10, "c": 1}
-    a = mixing.exponent(totals, repeats=2)
+    a = mixing.exponent({100: 1, 10: 1, 1: 1}, repeats=2)
     assert abs(100 ** (1 - a) - 2) < 1e-9
-    a = mixing.exponent(totals, repeats=None, entropy=0.9)
-    w = np.array([v**a for v in totals.values()])
+    a = mixing.exponent({100: 1, 10: 2, 1: 1}, repeats=None, entropy=0.9)
+    w = np.array([v**a for v in (100, 10, 10, 1)])
     w /= w.sum()
-    assert abs(-(w * np.log(w)).sum() - 0.9 * np.log(3)) < 1e-9
-    assert mixing.exponent({"a": 5}) == 1.0
+    assert abs(-(w * np.log(w)).sum() - 0.9 * np.log(4)) < 1e-9
+    assert mixing.exponent({5: 1}) == mixing.exponent({}) == 1.0
 
 
 # Secrets
@@ -164,6 +231,39 @@ def test_secrets_without_digits(spark):
     assert sum(found[i] == [("random", 4, 24)] for i in range(50)) >= 40 and not found[50] and not found[51]
 
 
+def test_secrets_of_many_matches(spark):
+    """Time grows with the text, not with the square of its matches."""
+    text = " ".join(f"token={i:08d}" for i in range(16_000))
+    start = time.monotonic()
+    found = secrets.scan(table(spark, [(1, text, "en", "a")])).first()["found"]
+    assert time.monotonic() - start < 30 and len(found) == 16_000 and found[-1]["end"] == len(text)
+
+
+def test_battery_by_hand(spark):
+    """Every p-value against the same three tests and Fisher's method in plain Python."""
+    rng = random.Random(12)
+    strings = ["".join(rng.choices("0123456789abcdef", k=rng.randint(24, 80))) for _ in range(30)] + ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=30)) for _ in range(10)] + ["".join(rng.choices("abcXYZ019", k=40)) for _ in range(10)]
+    upper = lambda z: 1 / (1 + math.exp(min(700.0, 1.5976 * z + 0.07056 * z**3)))
+    chi = lambda x, df: upper(((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+
+    def p_value(text, encoding):
+        alphabet, n = secrets.ALPHABETS[encoding], len(text)
+        x = [alphabet.index(c) for c in text]
+        cells = collections.Counter(v * secrets.CELLS // len(alphabet) for v in x)
+        uniform = sum((cells[k] - n / secrets.CELLS) ** 2 / (n / secrets.CELLS) for k in range(secrets.CELLS))
+        high = [v * 2 >= len(alphabet) for v in x]
+        ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+        expected = 1 + 2 * ones * (n - ones) / n
+        spread = max((expected - 1) * (expected - 2) / (n - 1), 1e-9) ** 0.5
+        mean = sum(x) / n
+        serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / max(sum((v - mean) ** 2 for v in x), 1e-9) * n**0.5
+        ps = [chi(uniform, secrets.CELLS - 1), 0.0 if expected < 2 else min(1, 2 * upper(abs((runs - expected) / spread))), min(1, 2 * upper(abs(serial)))]
+        return chi(sum(-2 * math.log(max(p, 1e-12)) for p in ps), 6)
+
+    for r in secrets.battery(spark.createDataFrame([(s,) for s in strings], "match string")).collect():
+        assert abs(r["p"] - p_value(r["match"], r["encoding"])) < 1e-9
+
+
 def test_battery_tells_random_strings(spark):
     rng = random.Random(4)
     strings = [("r", "".join(rng.choices("0123456789abcdef", k=40))) for _ in range(200)] + [("f", ("0123456789abcdef" * 3)[i % 16 :][:30]) for i in range(50)]
@@ -175,48 +275,110 @@ def test_battery_tells_random_strings(spark):
 
 
 def removed_by_hand(docs):
-    """Chunks by the same rule in plain Python, the first of each kept."""
-    seen, out = set(), {}
-    for key, text in sorted(docs, key=lambda d: d[0]):
-        lines = text.split("\n")
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for x in lines]
-        long = [x.count(" ") >= line_dedup.LONG - 1 for x in lines]
-        first = 0
+    """Lines that go, by the rule in plain Python: {(doc_id, text): numbers from 1}."""
+    seen, out = set(), collections.defaultdict(set)
+    keys = sorted({(line_dedup.LAST if i is None else i, hashlib.md5(t.encode()).hexdigest(), i, t) for i, t in docs if t is not None}, key=lambda k: k[:2])
+    for *_, doc, text in keys:
+        lines = [(n, x) for n, x in enumerate(text.split("\n"), 1) if x.strip(" ")]
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) for _, x in lines]
+        size = [x.count(" ") + 1 for _, x in lines]
+        chunks, first = [], 0
         for i in range(len(lines)):
-            if (h[i] ^ (h[i - 1] >> 1 if i else 0)) % line_dedup.DIVISOR == 0 or long[i] or i + 1 == len(lines) or long[i + 1]:
-                chunk = "\n".join(lines[first : i + 1])
-                if sum(x.strip(" ") != "" for x in lines[first : i + 1]) >= 2 or long[i]:
-                    if chunk in seen:
-                        out.setdefault(key, []).append((first + 1, i + 1))
-                    seen.add(chunk)
+            rolled = 0
+            for back in range(min(line_dedup.WINDOW, i + 1)):
+                rolled ^= h[i - back] >> back
+            if rolled % line_dedup.DIVISOR == 0 or size[i] >= line_dedup.ANCHOR or i + 1 == len(lines) or size[i + 1] >= line_dedup.ANCHOR:
+                chunks.append((first, i))
                 first = i + 1
+        pieces = [(a, b) for a, b in chunks if b > a or size[a] >= line_dedup.LONG] + [(a, d) for (a, _), (_, d) in zip(chunks, chunks[1:], strict=False)]
+        for a, b in sorted(pieces):
+            piece = "\n".join(x for _, x in lines[a : b + 1])
+            if piece in seen:
+                out[doc, text] |= set(range(lines[a][0], lines[b][0] + 1))
+            seen.add(piece)
     return out
 
 
-def test_line_dedup(spark, odd, empty):
-    rng = random.Random(6)
-    passage = [words(rng, 12) for _ in range(6)]
-    docs = [(i, "\n".join([words(rng, 5) for _ in range(rng.randint(0, 3))] + passage * (i % 2) + [words(rng, 70 if i % 5 == 0 else 6)] + (passage[:3] if i == 8 else []))) for i in range(40)]
-    done = {r["doc_id"]: r for r in line_dedup.remove_repeats(table(spark, [(i, t, "en", "a") for i, t in docs])).collect()}
+def check_lines(spark, docs):
+    """The result against the rule by hand; the texts that stay."""
     expected = removed_by_hand(docs)
-    assert expected and {i: [tuple(x) for x in r["_removed"]] for i, r in done.items() if r["_removed"]} == expected
+    made = table(spark, [(i, t, "en", "a") for i, t in docs])
+    done = line_dedup.remove_repeats(made)
+    assert done.columns[:-2] == made.columns and done.filter("_removed <> 'x' or _lines <> 'x' or key <> 'x'").isEmpty()
+    left = []
     for i, t in docs:
-        gone = {n for a, b in expected.get(i, []) for n in range(a, b + 1)}
-        assert done[i]["text"] == "\n".join(x for n, x in enumerate(t.split("\n"), 1) if n not in gone)
+        gone = expected.get((i, t), ())
+        left.append((i, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n"), 1) if n not in gone)))
+    assert sorted(map(str, left)) == sorted(str((r["doc_id"], r["text"])) for r in done.collect())
+    return left
+
+
+def test_line_dedup(spark, odd, empty):
+    rng = random.Random(6)
+    passage = [words(rng, n) for n in (12, 3, 2, 12, 4, 12)]
+    docs = [(i, "\n".join([words(rng, 5) for _ in range(rng.randint(0, 3))] + passage * (i % 2) + [""] * (i % 3) + [words(rng, 70 if i % 5 == 0 else 6)] + (passage[:3] if i == 8 else []) + ["la la"] * (i % 4))) for i in range(40)]
+    left = check_lines(spark, docs + docs[:3])
+    assert sum(t.count(passage[0]) for _, t in left) <= 3 and sum(t != d for (_, t), (_, d) in zip(left, docs, strict=False)) >= 20
     kept = line_dedup.remove_repeats(odd).collect()
     assert sorted((r["text"] is None, r["text"] or "") for r in kept) == sorted((r["text"] is None, r["text"] or "") for r in odd.collect())
     assert line_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(5, 9, 9), (None, None, None), (5, None, None)])
+def test_line_dedup_by_row(spark, ids):
+    """Rows that share an id, or have none, are documents of their own: what is in one text only stays."""
+    rng = random.Random(7)
+    a, b = ("\n".join(words(rng, 6) for _ in range(40)) for _ in range(2))
+    left = check_lines(spark, list(zip(ids, (a, a, b), strict=True)))
+    assert any(t == b for _, t in left) and any(t == a for _, t in left)
+
+
+def test_line_dedup_finds_passages(spark):
+    """Of passages over 50 words that two documents share little stays, however they are divided into lines."""
+    rng, docs, sizes = random.Random(8), [], [(1, 60), (2, 30), (3, 20), (4, 15), (6, 12), (10, 6), (20, 3)]
+    for k, (n, size) in enumerate(sizes * 15):
+        passage = [words(rng, size) for _ in range(n)]
+        docs += [(2 * k + j, "\n".join([words(rng, 9), words(rng, 4), *passage, words(rng, 5), words(rng, 11)])) for j in (0, 1)]
+    left = check_lines(spark, docs)
+    for m, (n, size) in enumerate(sizes):
+        own = [k for k in range(len(docs) // 2) if k % len(sizes) == m]
+        gone = [1 - (left[2 * k + 1][1].count("\n") + 1 - 4) / n for k in own]
+        assert np.mean(gone) > (0.99 if size >= line_dedup.ANCHOR else 0.75), (n, size, gone)
+
+
+def test_line_dedup_of_very_long_texts(spark):
+    rng = random.Random(9)
+    lines = [words(rng, 4) for _ in range(30_000)]
+    left = check_lines(spark, [(1, "\n".join(lines)), (2, "\n".join(["first here", *lines[5_000:]])), (3, "\n" * 20_000)])
+    assert len(left[1][1]) < 200 and left[0][1] == "\n".join(lines)
+
+
 # Toxicity and languages
 
 
 def test_grammar_marks_clauses():
-    read = toxicity.Model({w: (c, 1.0) for c, t in toxicity.SEED.items() for w in t.split()}).reader()
+    read = toxicity.Model({w: c for c, t in toxicity.SEED.items() for w in t.split()}).reader()
     at = lambda t: [i for i in range(1, 9) if read(t)[i] > 0]
     assert at("a moron here") == [1] and at("you are a moron") == [2] and at("this is not a moron") == [3]
-    assert at("he said moron") == [4] and at("I kill you") == [5] and at("not so. moron") == [1] and at("nothing") == []
-    assert at('"moron" you moron') == [2, 4]
+    assert at("moron, that is what you are") == [2] and at("a moron. you") == [1]
+    assert at("he said moron") == [4] and at("I kill you") == [6] and at("not so. moron") == [1] and at("nothing") == []
+    assert at('"moron" you moron') == [2, 4] and at("to kill time") == [5]
+
+
+def test_clauses_outweigh_words():
+    """Where labelled texts hold isolated insults only, a targeted one still weighs more; threats and reports are learned."""
+    rng = random.Random(10)
+    plain = [words(rng, 20) + " moron " + words(rng, 5) for _ in range(150)]
+    model = toxicity.train(plain + [words(rng, 26) for _ in range(300)], [1] * 150 + [0] * 300)
+    w, read = model.weights, model.reader()
+    assert w[2] > w[1] >= w[3] >= 0 and w[1] >= w[4] >= 0 and w[6] > w[5] >= w[7] >= 0
+    assert read("you moron") @ w > read("a moron") @ w > read("he said moron") @ w
+    threats = [f"{words(rng, 8)} zorblat you {words(rng, 8)}" for _ in range(120)]
+    reports = [f"{words(rng, 8)} she said zorblat them {words(rng, 8)}" for _ in range(10)]
+    model = toxicity.train(threats + reports + [words(rng, 20) + " you" for _ in range(200)], [1] * 120 + [0] * 210)
+    kinds = {k: c for k, (c, *_) in model.stems.items()}
+    assert kinds and all(c == toxicity.THREAT for c in kinds.values())
+    assert (model.weights != toxicity.weights_of(toxicity.MEANS))[[6, 8]].all() and model.weights[6] > model.weights[8]
 
 
 def test_toxicity(spark, odd, empty):
@@ -241,6 +403,8 @@ def test_language(spark, odd, empty):
     found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(odd, net).collect()}
     assert found[1] == found[2] == found[3] == "und" and found[5] == "en"
     assert language_id.identify(empty, net).count() == 0 and language_id.fit(empty) is None
+    many = language_id.fit(table(spark, [(i, f"text {i}", f"l{i % 80}", "a") for i in range(800)]))
+    assert len(many.langs) == 80
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
@@ -301,6 +465,24 @@ def test_minhash(spark, odd, empty, monkeypatch):
     assert minhash_dedup.near_duplicates(empty).count() == minhash_dedup.keep_one(empty).count() == 0
 
 
+def test_minhash_on_a_table(spark):
+    """Against all pairs of a table of the test data."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs).collect()}
+    expected = by_hand([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()])
+    assert all(found[i] >= expected[i] for i in found) and sum(found[i] != expected[i] for i in found) <= 2
+    assert sum(expected[i] != i for i in expected) > 3
+
+
+def test_minhash_of_repeated_ids(spark):
+    """One id with two texts: what either is near to is near to the document."""
+    rng = random.Random(11)
+    a, b = words(rng, 80), words(rng, 90)
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " more"), (9, a), (None, a)]
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in minhash_dedup.near_duplicates(table(spark, [(i, t, "en", "a") for i, t in rows])).collect())
+    assert found == [(0, 0), (5, 5), (5, 5), (7, 5), (8, 5), (9, 5)]
+
+
 def test_signatures_are_unbiased():
     """The mean of many estimates against the weighted Jaccard similarity of two multisets."""
     rng = np.random.default_rng(1)

@@ -72,6 +72,22 @@ def test_dedup_of_a_large_group(spark):
     assert (found["component_id"][:size][near > 0] == 0).mean() > 0.99
 
 
+def test_dedup_with_many_reference_points(spark, monkeypatch):
+    """Pairs just above the threshold among vectors without clusters, with 4,096 reference points."""
+    monkeypatch.setattr(vector_dedup, "ROWS_PER_PIVOT", 2)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((8_200, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(600):
+        step = rng.standard_normal(64)
+        step -= step @ x[i] * x[i]
+        x[4_000 + i] = x[i] * 0.953 + step / np.linalg.norm(step) * np.sqrt(1 - 0.953**2)
+    rows = pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float64()))})
+    found = vector_dedup.deduplicate(spark.createDataFrame(rows)).toPandas()
+    near = [(x[i : i + 1000] @ x.T >= vector_dedup.THRESHOLD).sum() - min(1000, len(x) - i) for i in range(0, len(x), 1000)]
+    assert 0.9 * sum(near) <= found["n_links"].sum() <= sum(near) and sum(near) >= 1200
+
+
 def by_hand(rows, asked, k=5):
     c, ids = cosines(rows), [i for i, _ in rows]
     out = {}
@@ -100,6 +116,16 @@ def test_relaxed_search(rows):
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(exact, relaxed, strict=True)]) > 0.5
 
 
+def test_search_in_blocks(spark, rows, monkeypatch):
+    """Blocks of queries and shards of candidates, and repeated ids, of which the smallest vector counts."""
+    monkeypatch.setattr(vector_search, "CHUNK", 20)
+    every = table(spark, [*rows, (1, [9.0] * 32), (51, [9.0] * 32)])
+    got = vector_search.nearest(every, every.filter("vec_id % 10 = 1"), shard_rows=200).orderBy("query_id", "rank").collect()
+    once = [(i, min(v, [9.0] * 32) if i in (1, 51) else v) for i, v in rows]
+    expected = by_hand(once, range(1, 900, 10))
+    assert {q: [r["vec_id"] for r in got if r["query_id"] == q] for q in expected} == expected
+
+
 def test_search_few_and_empty(spark, rows):
     few = table(spark, rows[:3] + rows[:1])
     assert [(r["rank"], r["query_id"]) for r in vector_search.nearest(few, few.filter("vec_id = 0")).orderBy("rank").collect()] == [(1, 0), (2, 0)]
