@@ -14,26 +14,35 @@ from nubla.llm.common import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the rows predicted toxic, by what the labels teach. Null and empty texts stay; repeated rows are judged alike;
+    an empty table stays empty, and without labels the seed grammar judges."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``n_chars`` follows the text that stays."""
+    """Without pieces of text that occurred before; ``n_chars`` follows the text that stays. Every row stays, and a null or
+    empty text as it is; rows equal in id and text are one document; an empty table stays empty."""
     out = line_dedup.remove_repeats(docs)
-    size = F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    size = F.when(F.col(out.columns[-1]).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.withColumn("n_chars", size).select(docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each near-duplicate group, once where rows repeat. Null texts are empty ones, which are
+    copies of each other; rows without an id stay; an empty table stays empty."""
     return minhash_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row once for each epoch of its source, once at least. A null source is one source; null texts and ids stay null;
+    an empty table stays empty."""
     return mixing.mix(docs).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences. Each row is a document of one token at least, whether its text is null, its id is
+    null or it repeats; an empty table gives none."""
     return packing.pack(docs)
 
 
