@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: A boundary between an ASCII word character and anything else; Java's own ``\\b`` also counts accented letters as words.
 ASCII_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-#: Numbers summed together in ``running``.
+#: Numbers summed together in ``running_sql``.
 BLOCK = 128
 
 _WORD_BEFORE = re.compile(r"(?:\\d|\[[A-Za-z0-9\-]+\]|[A-Za-z0-9])(?:\{[0-9,]+\}|\+)?$")
@@ -66,32 +66,49 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running(sizes: Column) -> Column:
-    """For each number of an array the sum of those before it, by sums of blocks: nearly linear in the array's length."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    block = lambda k: total(F.slice(sizes, k * BLOCK + 1, F.lit(BLOCK)))
-    base = lambda sums: F.transform(sums, lambda x, k: total(F.slice(sums, F.lit(1), k)))
-    inside = lambda i: total(F.slice(sizes, i - i % BLOCK + 1, i % BLOCK))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / BLOCK).cast("int")), block)
-    return let(let(blocks, base), lambda bases: F.transform(sizes, lambda x, i: bases[F.floor(i / BLOCK).cast("int")] + inside(i)))
+def quoted(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches; offsets in code points, ends exclusive.
+def among(words) -> str:
+    return "(" + ", ".join(quoted(w) for w in sorted(set(words))) + ")"
+
+
+def let_sql(name: str, value: str, body: str) -> str:
+    """SQL of ``body``, in which ``name`` is a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running_sql(sizes: str) -> str:
+    """SQL of an array: for each number of the array ``sizes`` (a name) the sum of those before it, by sums of blocks, which
+    is nearly linear in the array's length."""
+    total = lambda part: f"aggregate({part}, 0, (a, x) -> a + x)"
+    blocks = f"transform(sequence(0, int(size({sizes}) div {BLOCK})), k -> {total(f'slice({sizes}, k * {BLOCK} + 1, {BLOCK})')})"
+    before = f"transform(sums, (x, k) -> {total('slice(sums, 1, k)')})"
+    inside = total(f"slice({sizes}, i - i % {BLOCK} + 1, i % {BLOCK})")
+    return let_sql("sums", blocks, let_sql("bases", before, f"transform({sizes}, (x, i) -> bases[int(i div {BLOCK})] + {inside})"))
+
+
+def matches_sql(text: str, pattern: str) -> str:
+    """SQL of array<struct<start, end, match>>: the leftmost non-overlapping matches in the SQL ``text``; offsets in code
+    points, ends exclusive.
 
     What lies before a match is found by splitting at the pattern, so no function outside Catalyst is needed. A text
-    without a match costs one search, others two.
+    without a match costs one search, others two. (SQL rather than columns, as each column function is a call to the JVM,
+    and there are hundreds in a pattern's expression.)
     """
+    at = "ends[i] + length(gaps[i])"
+    spans = f"transform(found, (m, i) -> named_struct('start', {at}, 'end', {at} + length(m), 'match', m))"
+    located = let_sql("sizes", "transform(found, (m, i) -> length(gaps[i]) + length(m))", let_sql("ends", running_sql("sizes"), spans))
+    some = let_sql("gaps", f"split({text}, {quoted(pattern)}, -1)", located)
+    none = "from_json('[]', 'array<struct<start:int,end:int,match:string>>')"
+    return let_sql("found", f"regexp_extract_all({text}, {quoted(pattern)}, 0)", f"if(size(found) > 0, {some}, {none})")
 
-    def located(found: Column, gaps: Column, ends: Column) -> Column:
-        return F.transform(found, lambda m, i: F.struct((ends[i] + F.length(gaps[i])).alias("start"), (ends[i] + F.length(gaps[i]) + F.length(m)).alias("end"), m.alias("match")))
-
-    def spans(found: Column) -> Column:
-        sizes = lambda gaps: F.transform(found, lambda m, i: F.length(gaps[i]) + F.length(m))
-        some = let(F.split(text, pattern, -1), lambda gaps: let(let(sizes(gaps), running), lambda ends: located(found, gaps, ends)))
-        return F.when(F.size(found) > 0, some).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,end:int,match:string>>"))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
+def matches(text: str, pattern: str) -> Column:
+    """``matches_sql`` as a column."""
+    return F.expr(matches_sql(text, pattern))
 
 
 def alternation(words: list[str]) -> str:

@@ -1,95 +1,93 @@
-"""Span detection: note text -> array<struct<start, end, type, subtype, text, confidence, rule>>."""
+"""Span detection: note text -> array<struct<start, end, type, subtype, text, confidence, rule>>.
+
+The expressions are written as SQL: as columns they would take some 80,000 calls to the JVM, which is most of a small job.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubla.functions.regex import java, let, matches
-from nubla.functions.text import after, before, normalize, trim_space
+from nubla.functions.regex import among, java, let_sql, matches_sql, quoted
+from nubla.functions.text import ACCENTED, PLAIN
 from nubla.operators import rules as R
 from nubla.operators.dictionaries import Dictionaries, plain
 
-NO_SPANS = "array<struct<start:int,end:int,type:string,subtype:string,text:string,confidence:double,rule:int>>"
-
-
-def _clean_professional(text: Column, words: Dictionaries) -> Column:
-    """Title and name up to the first word that isn't one; empty unless a word is a known name, or there are two."""
-    title = F.regexp_extract(text, "^" + java(R.TITLES, True), 0)
-    known = {plain(w) for w in [*words.women, *words.men, *words.surnames]}
-
-    def cut(tokens: Column) -> Column:
-        stop = F.array_position(F.transform(tokens, lambda w: F.lower(w).isin(R.NOT_PROFESSIONAL)), True).cast("int")
-        kept = F.when(stop > 0, F.slice(tokens, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(tokens)
-        fit = lambda k: (F.size(k) >= 2) | F.exists(k, lambda w: normalize(w).isin(sorted(known)))
-        return let(kept, lambda k: F.when((F.size(k) > 0) & fit(k), F.concat(title, F.array_join(k, " "))).otherwise(""))
 
-    return let(F.split(F.substring(text, F.length(title) + 1, F.length(text)), r"\s+"), cut)
+def _trimmed(text: str) -> str:
+    return f"regexp_replace({text}, {quoted(r'^\s+|\s+$')}, '')"
 
 
-def clean_patient(text: Column) -> Column:
-    """A name of two words at least: particles in lower case, initials left out, cut at the first word that isn't a name."""
-    bare = F.filter(F.transform(F.split(trim_space(text), r"\s+"), lambda w: F.regexp_replace(w, "[^A-Za-zÁÉÍÓÚÑáéíóúñ]", "")), lambda w: w != "")
-    name = lambda w: w.rlike(f"^{R.NAME}$") & ~F.lower(w).isin(R.NOT_PATIENT + R.NOT_SURNAME)
-    particle = lambda w: F.lower(w).isin(R.NAME_PARTICLES)
+def _until(tokens: str, stops: str) -> str:
+    """The tokens before the first one for which ``stops``, a SQL condition on ``w`` and ``i``, holds."""
+    stop = f"array_position(transform({tokens}, (w, i) -> {stops}), true)"
+    return let_sql("stop", f"int({stop})", f"if(stop > 0, slice({tokens}, 1, stop - 1), {tokens})")
 
-    def cut(tokens: Column) -> Column:
-        stop = F.array_position(F.transform(tokens, lambda w, i: ~((name(w)) | (particle(w) & (i > 0)))), True).cast("int")
-        kept = F.when(stop > 0, F.slice(tokens, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(tokens)
-        joined = F.array_join(F.transform(kept, lambda w: F.when(particle(w), F.lower(w)).otherwise(w)), " ")
-        joined = F.regexp_replace(joined, f"( ({'|'.join(R.NAME_PARTICLES)}))+$", "")
-        return F.when(F.size(F.filter(kept, lambda w: ~particle(w))) >= 2, joined).otherwise("")
 
-    return let(F.filter(bare, lambda w: ~w.rlike(f"^{R.CAPITAL}$")), cut)
+def _clean_professional(text: str, words: Dictionaries) -> str:
+    """Title and name up to the first word that isn't one; empty unless a word is a known name, or there are two."""
+    known = among(plain(w) for w in [*words.women, *words.men, *words.surnames])
+    fit = f"size(kept) >= 2 or exists(kept, w -> lower(translate(w, {quoted(ACCENTED)}, {quoted(PLAIN)})) in {known})"
+    done = f"if(size(kept) > 0 and ({fit}), concat(title, array_join(kept, ' ')), '')"
+    named = let_sql("tokens", f"split(substring({text}, length(title) + 1, length({text})), {quoted(r'\s+')})", let_sql("kept", _until("tokens", f"lower(w) in {among(R.NOT_PROFESSIONAL)}"), done))
+    return let_sql("title", f"regexp_extract({text}, {quoted('^' + java(R.TITLES, True))}, 0)", named)
 
 
-def _clean(rule: R.Rule, text: Column, words: Dictionaries) -> Column:
-    """The span's text after what its rule checks; empty if it doesn't hold."""
-    lower = F.lower(text)
+def _clean_patient(text: str) -> str:
+    """A name of two words at least: particles in lower case, initials left out, cut at the first word that isn't a name."""
+    particle = f"lower(w) in {among(R.NAME_PARTICLES)}"
+    name = f"(w rlike {quoted(f'^{R.NAME}$')} and lower(w) not in {among(R.NOT_PATIENT + R.NOT_SURNAME)})"
+    bare = f"transform(split({_trimmed(text)}, {quoted(r'\s+')}), w -> regexp_replace(w, '[^A-Za-zÁÉÍÓÚÑáéíóúñ]', ''))"
+    bare = f"filter({bare}, w -> w <> '' and not w rlike {quoted(f'^{R.CAPITAL}$')})"
+    joined = f"array_join(transform(kept, w -> if({particle}, lower(w), w)), ' ')"
+    joined = f"regexp_replace({joined}, {quoted('( (' + '|'.join(R.NAME_PARTICLES) + '))+$')}, '')"
+    done = f"if(size(filter(kept, w -> not {particle})) >= 2, {joined}, '')"
+    return let_sql("tokens", bare, let_sql("kept", _until("tokens", f"not ({name} or ({particle} and i > 0))"), done))
+
+
+def _clean(rule: R.Rule, text: str, words: Dictionaries) -> str:
+    """SQL of the span's text after what its rule checks; empty if it doesn't hold. text: a name."""
     if rule.check == "postal":
-        return F.when(F.substring(text, -5, 5).cast("int").between(1000, 52999), text).otherwise("")
+        return f"if(int(substring({text}, -5, 5)) between 1000 and 52999, {text}, '')"
     if rule.check == "calendar":
-        number = lambda i: F.regexp_extract(text, r"^(\d+)[/\-](\d+)", i).cast("int")
-        return F.when(number(1).between(1, 31) & number(2).between(1, 12) & ~text.rlike(R.SCALE), text).otherwise("")
-    if rule.check == "hospital":
-        for pattern in R.PLACE_CUTS:
-            text = trim_space(F.regexp_replace(text, "(?iu)" + pattern, ""))
-        return F.when((F.length(text) >= 10) & ~text.rlike(r"(?iu)\s+(de|del|el|la)\z"), text).otherwise("")
-    if rule.check == "centre":
-        text = trim_space(F.regexp_replace(text, r"(?iu)\s+(?:en|con|por|para)\s+.*\z", ""))
-        return F.when(F.length(text) >= 8, text).otherwise("")
+        number = lambda i: f"int(regexp_extract({text}, {quoted(r'^(\d+)[/\-](\d+)')}, {i}))"
+        return f"if({number(1)} between 1 and 31 and {number(2)} between 1 and 12 and not {text} rlike {quoted(R.SCALE)}, {text}, '')"
+    if rule.check in ("hospital", "centre"):
+        out, least, ends = text, 8, "true"
+        for pattern in R.PLACE_CUTS if rule.check == "hospital" else [r"\s+(?:en|con|por|para)\s+.*\z"]:
+            out = _trimmed(f"regexp_replace({out}, {quoted('(?iu)' + pattern)}, '')")
+        if rule.check == "hospital":
+            least, ends = 10, f"not cut rlike {quoted(r'(?iu)\s+(de|del|el|la)\z')}"
+        return let_sql("cut", out, f"if(length(cut) >= {least} and {ends}, cut, '')")
     if rule.check == "professional":
         return _clean_professional(text, words)
     if rule.check == "patient":
-        return let(clean_patient(text), lambda t: F.when(F.lower(F.regexp_extract(t, r"^\S*", 0)).isin(R.NOT_PATIENT), "").otherwise(t))
+        return let_sql("name", _clean_patient(text), f"if(lower(regexp_extract(name, {quoted(r'^\S*')}, 0)) in {among(R.NOT_PATIENT)}, '', name)")
     if rule.check == "labelled":
-        return clean_patient(text)
+        return _clean_patient(text)
     if rule.check == "relative":
-        return F.when((F.length(text) >= 3) & ~lower.isin(R.NOT_RELATIVE) & text.rlike(f"^{R.CAPITAL}"), text).otherwise("")
+        return f"if(length({text}) >= 3 and lower({text}) not in {among(R.NOT_RELATIVE)} and {text} rlike {quoted(f'^{R.CAPITAL}')}, {text}, '')"
     if rule.check == "named_block":
-        return F.when(F.regexp_extract(text, r"\(([^)]+)\)", 1).rlike(R.NAME), text).otherwise("")
+        return f"if(regexp_extract({text}, {quoted(r'\(([^)]+)\)')}, 1) rlike {quoted(R.NAME)}, {text}, '')"
     return text
 
 
-def find(text: Column, rule: R.Rule, number: int = 0, words: Dictionaries | None = None, boundary: str = "ascii") -> Column:
-    """The spans of one rule, without the checks against other rules' spans."""
-    lead = f"^(?:{rule.lead})" if rule.lead else ""
-
-    def span(m: Column) -> Column:
-        size = F.length(F.regexp_extract(m["match"], java(lead, rule.ignore_case, boundary), 0)) if lead else F.lit(0)
-        body = F.substring(m["match"], size + 1, F.length(m["match"]))
-        body = F.regexp_replace(body, r"\s+$", "") if rule.trim else body
-        body = _clean(rule, body, words or Dictionaries())
-        start = m["start"] + size
-        full = lambda t: F.struct(start.alias("start"), (start + F.length(t)).alias("end"), F.lit(rule.type).alias("type"), F.lit(rule.subtype).alias("subtype"), t.alias("text"), F.lit(rule.confidence).alias("confidence"), F.lit(number).alias("rule"))
-        return let(body, full)
-
-    found = F.transform(matches(text, java(rule.lead + rule.body, rule.ignore_case, boundary)), span)
-    found = F.filter(found, lambda s: F.length(s["text"]) >= max(1, rule.least))
+def find(text: str, rule: R.Rule, number: int = 0, words: Dictionaries | None = None, boundary: str = "ascii") -> str:
+    """SQL of the spans of one rule in the SQL ``text``, without the checks against other rules' spans."""
+    lead = java(f"^(?:{rule.lead})", rule.ignore_case, boundary) if rule.lead else ""
+    body = "substring(m.match, lead + 1, length(m.match))"
+    body = f"regexp_replace({body}, {quoted(r'\s+$')}, '')" if rule.trim else body
+    start = "m.start + lead"
+    span = f"named_struct('start', {start}, 'end', {start} + length(t), 'type', {quoted(rule.type)}, 'subtype', {quoted(rule.subtype)}, 'text', t, 'confidence', {rule.confidence}D, 'rule', {number})"
+    cleaned = let_sql("b", body, let_sql("t", _clean(rule, "b", words or Dictionaries()), span))
+    size = f"length(regexp_extract(m.match, {quoted(lead)}, 0))" if lead else "0"
+    found = f"transform({matches_sql(text, java(rule.lead + rule.body, rule.ignore_case, boundary))}, m -> {let_sql('lead', size, cleaned)})"
+    found = f"filter({found}, s -> length(s.text) >= {max(1, rule.least)})"
     if rule.around:
         left, right, cue = rule.around
-        near = lambda s: F.concat(before(text, s["start"], left), s["text"], after(text, s["end"], right)).rlike(f"(?iu){cue}")
-        found = F.filter(found, near)
+        ahead = f"substring({text}, greatest(s.start - {left}, 0) + 1, least(s.start, {left}))"
+        around = f"concat({ahead}, s.text, substring({text}, s.`end` + 1, {right}))"
+        found = f"filter({found}, s -> {around} rlike {quoted('(?iu)' + cue)})"
     return found
 
 
@@ -99,18 +97,15 @@ def detect(notes: DataFrame, words: Dictionaries | None = None, text: str = "tex
     Partial dates and years don't repeat what an earlier date holds, and a name with an age nothing that an earlier
     relative touches. A null text has no candidates.
     """
-    all_rules = R.rules(words)
-    value = F.coalesce(F.col(text), F.lit(""))
-    every = [(i, r, f"_{r.name}") for i, r in enumerate(all_rules) if not only or r.name in only]
-    out = notes.withColumns({name: find(value, r, i, words, boundary) for i, r, name in every})
-    inside = lambda s, found: F.exists(found, lambda o: (o["start"] <= s["start"]) & (o["end"] >= s["end"]))
-    touches = lambda s, found: F.exists(found, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    words = words or Dictionaries()
+    every = [(i, r, f"_{r.name}") for i, r in enumerate(R.rules(words)) if not only or r.name in only]
+    value = f"coalesce(`{text}`, '')"
+    out = notes.withColumns({name: F.expr(find(value, r, i, words, boundary)) for i, r, name in every})
+    clash = {"uncontained": ("FECHA", "o.start <= s.start and o.`end` >= s.`end`"), "free": ("familiar", "o.start < s.`end` and s.start < o.`end`")}
     for i, r, name in every:
-        if r.check == "uncontained":
-            earlier = F.concat(*[F.col(n) for j, o, n in every if o.type == "FECHA" and j < i])
-            out = out.withColumn("_earlier", earlier).withColumn(name, F.filter(name, lambda s: ~inside(s, F.col("_earlier"))))
-        elif r.check == "free":
-            earlier = F.concat(*[F.col(n) for j, o, n in every if o.subtype == "familiar" and j < i])
-            out = out.withColumn("_earlier", earlier).withColumn(name, F.filter(name, lambda s: ~touches(s, F.col("_earlier"))))
+        if r.check in clash:
+            kind, test = clash[r.check]
+            earlier = ", ".join(n for j, o, n in every if kind in (o.type, o.subtype) and j < i)
+            out = out.withColumn(name, F.expr(f"filter({name}, s -> not exists(concat({earlier}), o -> {test}))"))
     names = [name for _, _, name in every]
-    return out.withColumn("candidates", F.concat(*names)).drop("_earlier", *names)
+    return out.withColumn("candidates", F.expr(f"concat({', '.join(names)})")).drop(*names)

@@ -1,49 +1,51 @@
-"""Dictionaries of names and places: small ones by default, any others as a parameter.
+"""Dictionaries of names and places: those in ``nubla/resources`` by default, any others as a parameter.
 
-The defaults hold the commonest Spanish names and places, so that rules work out of the box. For production load full
-lists (a text file of one entry a line, or any DataFrame) with ``load``.
+The resource files are fixed values, an entry a line: hospitals, districts, provinces, regions and names of both genders in
+full, and the 200 commonest names of women and men, surnames and cities. Longer lists are a parameter: ``load`` takes a text
+file of one entry a line, or any DataFrame.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nubla.functions.text import ACCENTED, PLAIN
 
-MOST_ENTRIES = 20_000
+RESOURCES = Path(__file__).parent.with_name("resources")
 
+# Words that the rules know.
+CENTRE_PREFIXES = ["Centro de Salud", "Consultorio", "Ambulatorio", "Centro de Especialidades", "Centro Médico", "Clínica", "Policlínica", "Centro de Atención Primaria", "CAP", "Unidad de Salud Mental", "USM", "Hospital de Día", "Centro de Diagnóstico"]
+ABBREVIATIONS = ["Mª", "M.", "Ma", "Ma.", "Fco", "Fco.", "Fdo", "Fdo.", "Jse", "J.", "Ant", "Ant.", "Anto", "Mig", "Mgl", "Cris", "Tere", "Paco", "Pepe", "Lola", "Concha", "Conchi", "Pili", "Maite", "Maribel", "Maricarmen", "Marisa", "Merche", "Charo", "Rafa", "Nacho", "Manolo", "Kiko", "Quique", "Juanjo", "Juanma", "Javi", "Dani", "Toni", "Santi", "Edu", "Fer", "Guille"]
 
-def _list(text: str) -> list[str]:
-    return [x.strip() for x in text.split(",") if x.strip()]
 
-
-# Common names and places, and words that the rules know.
-WOMEN = _list("María, Carmen, Ana, Isabel, Dolores, Pilar, Josefa, Teresa, Rosa, Cristina, Francisca, Laura, Antonia, Marta, Mercedes, Lucía, Luisa, Elena, Concepción, Rosario, Juana, Manuela, Raquel, Sara, Paula, Beatriz, Patricia, Julia, Andrea, Rocío, Encarnación, Silvia, Ángela, Margarita, Mónica, Eva, Rosa María, Amparo, Inmaculada, Nuria, Victoria, Sandra, Irene, Claudia, Alba, Natalia, Alicia, Sofía, Susana, Sonia, María del Carmen, Ana María, María Teresa, María Dolores")
-MEN = _list("Antonio, Manuel, José, Francisco, David, Juan, Javier, Daniel, Carlos, Jesús, Alejandro, Miguel, Rafael, Pedro, Pablo, Ángel, Sergio, Fernando, Jorge, Luis, Alberto, Álvaro, Diego, Adrián, Raúl, Enrique, Ramón, Vicente, Iván, Rubén, Óscar, Andrés, Joaquín, Eduardo, Santiago, Víctor, Mario, Roberto, Jaime, Ignacio, Marcos, Alfonso, Salvador, Ricardo, Jordi, Emilio, Guillermo, Gabriel, Julián, Julio, Tomás, José Luis, Juan Carlos, José María, Miguel Ángel, William")
-UNISEX = _list("Alex, Andrea, Cruz, Dani, Francis, Guadalupe, Jesús, Montserrat, Noel, Pau, Reyes, Rosario, Sagrario, Trinidad")
-SURNAMES = _list("García, González, Rodríguez, Fernández, López, Martínez, Sánchez, Pérez, Gómez, Martín, Jiménez, Ruiz, Hernández, Díaz, Moreno, Muñoz, Álvarez, Romero, Alonso, Gutiérrez, Navarro, Torres, Domínguez, Vázquez, Ramos, Gil, Ramírez, Serrano, Blanco, Molina, Morales, Suárez, Ortega, Delgado, Castro, Ortiz, Rubio, Marín, Sanz, Núñez, Iglesias, Medina, Garrido, Cortés, Castillo, Santos, Lozano, Guerrero, Cano, Prieto, Méndez, Cruz, Calvo, Gallego, Vidal, León, Márquez, Herrera, Peña, Flores, Cabrera, Campos, Vega, Fuentes, Carrasco, Diez, Caballero, Reyes, Nieto, Aguilar, Pascual, Santana, Toledo, Valencia, Barrera, Cabello")
-CITIES = _list("Madrid, Barcelona, Valencia, Sevilla, Zaragoza, Málaga, Murcia, Palma, Bilbao, Alicante, Córdoba, Valladolid, Vigo, Gijón, Granada, Elche, Oviedo, Badalona, Cartagena, Jerez de la Frontera, Sabadell, Móstoles, Almería, Fuenlabrada, Leganés, Burgos, Santander, Castellón de la Plana, Albacete, Alcorcón, Getafe, Salamanca, Logroño, San Sebastián, Badajoz, Huelva, Lleida, Marbella, León, Tarragona, Cádiz, Jaén, Ourense, Mataró, Lugo, Cáceres, Melilla, Ceuta, Girona, Toledo, Pontevedra, Palencia, Ávila, Cuenca, Zamora, Guadalajara, Segovia, Huesca, Soria, Teruel, Mérida, Santiago de Compostela, Pamplona, Vitoria, Andalucía, Aragón, Asturias, Canarias, Cantabria, Cataluña, Extremadura, Galicia, La Rioja, Navarra, País Vasco, Dos Hermanas, Úbeda")
-HOSPITALS = _list("Virgen del Rocío, Virgen Macarena, Virgen de Valme, Virgen de las Nieves, Carlos Haya, Reina Sofía, Puerta del Mar, Infanta Elena, La Paz, Gregorio Marañón, Doce de Octubre, Ramón y Cajal, Puerta de Hierro, La Princesa, Niño Jesús, Severo Ochoa, Sant Pau, Bellvitge, La Fe, Doctor Peset, Cruces, Basurto, Miguel Servet, Lozano Blesa, Río Hortega, Marqués de Valdecilla, Son Espases, Insular, Quirón")
-CENTRE_PREFIXES = _list("Centro de Salud, Consultorio, Ambulatorio, Centro de Especialidades, Centro Médico, Clínica, Policlínica, Centro de Atención Primaria, CAP, Unidad de Salud Mental, USM, Hospital de Día, Centro de Diagnóstico")
-DISTRICTS = _list("Salamanca, Chamberí, Argüelles, Moncloa, Tetuán, Chamartín, Hortaleza, Barajas, Vallecas, Villaverde, Usera, Carabanchel, Latina, Arganzuela, Retiro, Moratalaz, San Blas, Gràcia, Sants, Les Corts, Nou Barris, Eixample, Triana, Macarena, Nervión, Los Remedios, Russafa, Benimaclet")
-ABBREVIATIONS = _list("Mª, M., Ma, Ma., Fco, Fco., Fdo, Fdo., Jse, J., Ant, Ant., Anto, Mig, Mgl, Cris, Tere, Paco, Pepe, Lola, Concha, Conchi, Pili, Maite, Maribel, Maricarmen, Marisa, Merche, Charo, Rafa, Nacho, Manolo, Kiko, Quique, Juanjo, Juanma, Javi, Dani, Toni, Santi, Edu, Fer, Guille")
+def _resource(name: str):
+    return field(default_factory=lambda: (RESOURCES / f"{name}.txt").read_text(encoding="utf-8").splitlines())
 
 
 @dataclass(frozen=True)
 class Dictionaries:
-    women: list[str] = field(default_factory=lambda: WOMEN)
-    men: list[str] = field(default_factory=lambda: MEN)
-    unisex: list[str] = field(default_factory=lambda: UNISEX)
-    surnames: list[str] = field(default_factory=lambda: SURNAMES)
-    cities: list[str] = field(default_factory=lambda: CITIES)
-    hospitals: list[str] = field(default_factory=lambda: HOSPITALS)
+    """``places`` are cities, provinces and regions together."""
+
+    women: list[str] = _resource("women")
+    men: list[str] = _resource("men")
+    unisex: list[str] = _resource("unisex")
+    surnames: list[str] = _resource("surnames")
+    cities: list[str] = _resource("cities")
+    provinces: list[str] = _resource("provinces")
+    regions: list[str] = _resource("regions")
+    hospitals: list[str] = _resource("hospitals")
     centre_prefixes: list[str] = field(default_factory=lambda: CENTRE_PREFIXES)
-    districts: list[str] = field(default_factory=lambda: DISTRICTS)
+    districts: list[str] = _resource("districts")
     abbreviations: list[str] = field(default_factory=lambda: ABBREVIATIONS)
 
+    @property
+    def places(self) -> list[str]:
+        return [*self.cities, *self.provinces, *self.regions]
+
     def sizes(self) -> dict[str, int]:
         return {k: len(set(v)) for k, v in self.__dict__.items()}
 
@@ -56,14 +58,11 @@ def plain(word: str) -> str:
 def load(spark: SparkSession, **lists: str | DataFrame) -> Dictionaries:
     """Dictionaries from text files (a path) or DataFrames (first column); those not named keep their defaults.
 
-    They become patterns and sets inside the plan, so each may hold ``MOST_ENTRIES`` distinct entries at most.
+    They become patterns (trees of common beginnings) and hashed sets inside the plan, so the driver holds them: names and
+    places of a country, some 100,000 entries, are no trouble. Blank entries are left out, repeated ones count once.
     """
     found = {}
     for name, source in lists.items():
         rows = spark.read.text(source) if isinstance(source, str) else source.select(F.col(source.columns[0]).cast("string").alias("value"))
-        rows = rows.select(F.trim("value").alias("value")).filter("value <> ''").distinct()
-        got = [r["value"] for r in rows.limit(MOST_ENTRIES + 1).collect()]
-        if len(got) > MOST_ENTRIES:
-            raise ValueError(f"{name}: more than {MOST_ENTRIES} entries")
-        found[name] = sorted(got)
+        found[name] = sorted(r["value"] for r in rows.select(F.trim("value").alias("value")).filter("value <> ''").distinct().toLocalIterator())
     return replace(Dictionaries(), **found)

@@ -81,12 +81,12 @@ def rules(words: Dictionaries | None = None) -> list[Rule]:
     ]
     place = lambda name, subtype, confidence, body, lead="", i=True, **more: Rule(name, "UBICACION", subtype, confidence, body, lead, i, **more)
     two, care = rf"{NAME}(?:\s+{NAME})?", r"(hospital|h\.u\.|cl[ií]nica|centro\s+de\s+salud|ingresad[oa]|derivad[oa]|seguimiento|urgencias|consulta)"
-    unaccented = [plain(c) for c in words.cities if plain(c) != c.lower()]
+    unaccented = [plain(c) for c in words.places if plain(c) != c.lower()]
     found += [
         place("hospital_pattern", "hospital", 0.95, rf"\b(?:complejo hospitalario|hospital|clínica|clinica|centro de salud|consultorio|h\.u\.|h\.)\s+(?:(?:universitario|infantil|general|regional|comarcal|provincial|materno|clínico|clinico)\s+)*(?:de\s+(?:día\s+|dia\s+)?)?{NAME}(?:\s+(?:de\s+la\s+|del\s+|de\s+)?{NAME})*", check="hospital"),
         place("hospital_dict", "hospital", 0.91, rf"\b(?:{alternation(words.hospitals)})\b", around=(35, 25, care)),
         place("centre_prefix", "hospital", 0.90, rf"\b(?:{alternation(words.centre_prefixes)})\s+{CAPITAL}[^\n\r.;,]{{2,80}}", i=False, check="centre"),
-        place("city_dict", "ciudad", 0.90, rf"\b(?:{alternation(words.cities)})\b"),
+        place("city_dict", "ciudad", 0.90, rf"\b(?:{alternation(words.places)})\b"),
         place("city_unaccented", "ciudad", 0.85, rf"\b(?:{alternation(unaccented)})\b"),
         place("geo_context", "contexto", 0.85, two, r"\b(?:[Vv]ive?|[Vv]iven?|[Rr]eside|[Rr]esidente?|[Rr]esiden?|[Nn]atural(?:es)?|[Pp]rocedente|[Dd]omiciliado|[Dd]omiciliada|[Vv]ecino|[Vv]ecina)\s+(?:en\s+|de\s+)", i=False),
         place("admin_context", "contexto", 0.88, two, r"\b(?:[Mm]unicipio|[Ll]ocalidad|[Pp]rovincia|[Cc]omarca)\s+de\s+", i=False),

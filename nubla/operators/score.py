@@ -89,7 +89,7 @@ def professional_parts(tokens: Column, words: Dictionaries) -> list[tuple[str, C
 def place_score(text: Column, subtype: Column, ahead: Column, words: Dictionaries) -> Column:
     """A place's score by kind, known city, cue and number; the pipeline keeps a place's detected confidence instead."""
     base = F.when(subtype.isin("hospital", "direccion"), 0.5).when(subtype == "ciudad", 0.4).when(subtype == "contexto", 0.35).otherwise(0.0)
-    known = normalize(text).isin(sorted({plain(w) for w in words.cities}))
+    known = normalize(text).isin(sorted({plain(w) for w in words.places}))
     return _clamp(base + _if(known, 0.3) + _if(ahead.rlike(_end(PLACE_CUE)), 0.2) + _if(text.rlike(r"\d"), 0.3))
 
 

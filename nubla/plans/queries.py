@@ -129,7 +129,7 @@ def _documents(spark, sf_dir):
 
 def _emails(spark, sf_dir):
     pattern = next(r for r in rules() if r.name == "email")
-    found = _documents(spark, sf_dir).select("doc_id", F.explode_outer(matches(F.coalesce("text", F.lit("")), java(pattern.body))).alias("m")).filter("m is not null")
+    found = _documents(spark, sf_dir).select("doc_id", F.explode_outer(matches("coalesce(text, '')", java(pattern.body))).alias("m")).filter("m is not null")
     return found.select("doc_id", F.col("m.start").alias("span_start"), F.col("m.end").alias("span_end"), F.col("m.match").alias("span_text"))
 
 
