@@ -32,12 +32,12 @@ STEPS = 10_000
 BROADCAST_ROWS = 200_000
 
 
-def _spans(text: Column, pattern: str, kind: int) -> Column:
-    """array<struct<start, kind, end, match>> of the leftmost non-overlapping matches, in code points."""
+def _spans(text: str, pattern: str, kind: int) -> Column:
+    """array<struct<start, kind, end, match>> of the leftmost non-overlapping matches in a column, in code points."""
     return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["match"].alias("match")))
 
 
-def _base(text: Column) -> Column:
+def _base(text: str) -> Column:
     long_value = lambda s: F.length(F.regexp_replace(s["match"], ASSIGN_TAIL, "")) >= 6
     return F.concat(F.filter(_spans(text, ASSIGN, 0), long_value), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
 
@@ -102,8 +102,8 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     Offsets are code points, ends exclusive. A null text is empty; repeated rows each give a row, and weigh in the
     control as such; other columns are not read. An empty table gives an empty result.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("base", _base(F.col("text")))
-    free = F.filter(_spans(F.col("text"), CANDIDATE, 3), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("base", _base("text"))
+    free = F.filter(_spans("text", CANDIDATE, 3), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     short = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     rows = table(rows.select("doc_id", F.xxhash64("text").alias("mark"), short.alias("base"), free.alias("free")), "spans")
     loose = rows.filter(F.size("free") > 0).select("doc_id", "mark", F.explode("free").alias("s"))
