@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from nubla.functions.dates import age, table_date
 from nubla.functions.text import sample, trim_space
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 # What columns are called, what is done with them, and what code prefixes are made of.
 HEADERS = {
     "PATIENT_ID": r"^(nhc|n[º°]?_?hist|id_?pac|codigo_?pac|num_?pac|patient_?id)",
@@ -91,15 +91,15 @@ def key_of(value: Column) -> Column:
     return F.when(text != "", text)
 
 
-def number_globally(rows: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+def number_globally(rows: DataFrame, order: str, name: str, parts: int = 256) -> DataFrame:
     """``rows`` numbered from 1 by a numeric column without ties, in ranges that tasks number apart.
 
-    Quantiles bound the ranges, and a small table has how many rows come before each.
+    Quantiles bound the ranges, and a small table has how many rows come before each: both are computed inside the plan.
     """
     steps = [i / parts for i in range(1, parts)]
-    bounds = rows.agg(F.percentile_approx(F.col(order).cast("double"), steps, 10_000)).first()[0] or []
-    cuts = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.from_json(F.lit("[]"), "array<double>")
-    ranged = rows.withColumn("_part", F.size(F.filter(cuts, lambda b: b < F.col(order).cast("double"))))
+    value = F.col(order).cast("double")
+    cuts = rows.agg(F.coalesce(F.array_distinct(F.percentile_approx(value, steps, 10_000)), F.array().cast("array<double>")).alias("cuts")).scalar()
+    ranged = rows.withColumn("_cuts", cuts).withColumn("_part", F.size(F.filter("_cuts", lambda b: b < value))).drop("_cuts")
     sizes = ranged.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(order))
@@ -132,7 +132,17 @@ def codes(table: DataFrame, column: str, order: str) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, computed once and broadcast if it has ``BROADCAST_ROWS`` rows at most; as it is beyond that."""
+    got = df.limit(BROADCAST_ROWS + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)) if len(got) <= BROADCAST_ROWS else df
+
+
+def patient_of(actions: dict[str, str]) -> str:
+    """The column that has PATIENT_ID; an error if there is none."""
+    found = [c for c, a in actions.items() if a == "PATIENT_ID"]
+    if not found:
+        raise ValueError("no column has the action PATIENT_ID")
+    return found[0]
 
 
 def with_visits(table: DataFrame, patient: str, order: str) -> DataFrame:
@@ -147,9 +157,9 @@ def anonymise(table: DataFrame, actions: dict[str, str], order: str, reference:
     KEEP as it is; REMOVE gone; TO_AGE as ``Edad`` in full years at ``reference``; CODIFY as codes. Exactly one column has
     PATIENT_ID; rows where it is blank go. A column without an action is kept, but a further PATIENT_ID never is.
     """
-    patient = next(c for c, a in actions.items() if a == "PATIENT_ID")
+    patient = patient_of(actions)
     mapping = patient_mapping(table, patient, order, prefix).select(F.col("patient").alias("_patient"), F.col("study_id").alias("ID_ESTUDIO"))
-    out = with_visits(table, patient, order).join(_small(mapping), "_patient")
+    out = with_visits(table, patient, order).join(mapping, "_patient")
     for c in [c for c, a in actions.items() if a == "CODIFY"]:
         coded = codes(table, c, order).select(F.col("original").alias("_key"), F.col("code").alias("_code"))
         out = out.withColumn("_key", code_key(F.col(c))).join(_small(coded), "_key").withColumn(c, F.col("_code")).drop("_key", "_code")
@@ -163,7 +173,7 @@ def anonymise(table: DataFrame, actions: dict[str, str], order: str, reference:
 
 def correspondence(table: DataFrame, actions: dict[str, str], order: str, prefix: str = "PAC") -> DataFrame:
     """The table to keep apart: study id, visits, and what identifies a patient, from the first of the patient's rows."""
-    patient = next(c for c, a in actions.items() if a == "PATIENT_ID")
+    patient = patient_of(actions)
     names = [c for c, a in actions.items() if a in ("REMOVE", "PATIENT_ID")]
     first = table.withColumn("_patient", key_of(F.col(patient))).filter("_patient is not null")
     first = first.groupBy("_patient").agg(F.min_by(F.struct(*names), order).alias("r"))
@@ -183,7 +193,7 @@ def _one_digit(a: Column, b: Column) -> Column:
 
 def table_stats(table: DataFrame, actions: dict[str, str]) -> DataFrame:
     """Rows, patients, visits a patient (one digit), and columns removed, kept and transformed."""
-    patient = next(c for c, a in actions.items() if a == "PATIENT_ID")
+    patient = patient_of(actions)
     count = lambda *kinds: F.lit(sum(a in kinds for a in actions.values())).cast("long")
     out = table.agg(F.count("*").alias("rows"), F.count_distinct(key_of(F.col(patient))).alias("patients"))
     return out.select("rows", "patients", _one_digit(F.col("rows"), F.col("patients")).alias("visits_per_patient"), count("REMOVE").alias("removed"), count("KEEP", "CODIFY").alias("kept"), count("TO_AGE", "CODIFY").alias("transformed"))
@@ -214,10 +224,16 @@ def repeated_days(table: DataFrame, patient: str, day: str, order: str) -> DataF
 
 
 def validation_summary(table: DataFrame, patient: str, day: str, order: str) -> DataFrame:
-    """One row: patients, rows, visits a patient, and patients with one, several, unordered and repeated visits."""
-    visits = table.groupBy(key_of(F.col(patient)).alias("p")).agg(F.count("*").alias("n"))
-    base = visits.agg(F.count("p").alias("patients"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("p").isNotNull() & (F.col("n") == 1)).alias("single"), F.count_if(F.col("p").isNotNull() & (F.col("n") > 1)).alias("several"))
-    more = unordered_visits(table, patient, day, order).agg(F.count("*").alias("unordered"))
-    again = repeated_days(table, patient, day, order).agg(F.count("*").alias("repeated"))
-    out = base.join(more).join(again)
+    """One row: patients, rows, visits a patient, and patients with one, several, unordered and repeated visits.
+
+    One pass: rows meet by patient once; those without one are each a group of their own.
+    """
+    rows = table.select(key_of(F.col(patient)).alias("p"), F.col(order).alias("row"), F.trim(F.col(day).cast("string")).alias("raw"))
+    rows = rows.withColumn("day", table_date(F.col("raw"))).withColumn("key", F.coalesce("p", F.concat(F.lit("\0"), F.col("row").cast("string"))))
+    earlier = Window.partitionBy("key").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("last_day", F.last("day", ignorenulls=True).over(earlier))
+    days = F.size(F.collect_set(F.when(F.col("day").isNotNull(), F.col("raw"))))
+    each = rows.groupBy("key", "p").agg(F.count("*").alias("n"), F.count("day").alias("dated"), days.alias("days"), F.coalesce(F.bool_or(F.col("day") < F.col("last_day")), F.lit(False)).alias("unordered"))
+    known = F.col("p").isNotNull()
+    out = each.agg(F.count("p").alias("patients"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(known & (F.col("n") == 1)).alias("single"), F.count_if(known & (F.col("n") > 1)).alias("several"), F.count_if(known & F.col("unordered")).alias("unordered"), F.count_if(known & (F.col("days") < F.col("dated"))).alias("repeated"))
     return out.select("patients", "rows", _one_digit(F.col("rows"), F.col("patients")).alias("visits_per_patient"), "single", "several", "unordered", "repeated")
