@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ACCENTED, PLAIN = "áéíóúÁÉÍÓÚñÑüÜ", "aeiouAEIOUnNuU"
-LIMIT = 1_000_000
 
 
 def remove_accents(text: Column) -> Column:
@@ -33,7 +32,7 @@ def clean_spaces(text: Column) -> Column:
 
 def capitalize(text: Column) -> Column:
     """First letter upper case, the rest lower case."""
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, LIMIT)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
 def escape_html(text: Column) -> Column:

@@ -13,8 +13,10 @@ def apply_decisions(done: DataFrame, decisions: DataFrame, key: str, text: str =
     """``done`` (key, text, entities) with each entity reviewed and ``processed`` made anew.
 
     decisions: (key, idx, action, value, notes) with idx from 0 by start; ``accept`` keeps the label, ``restore`` and
-    ``delete`` put the original back, ``modify`` takes ``value``. At most one decision an entity; others stay as they are.
+    ``delete`` put the original back, ``modify`` takes ``value``. Of several decisions on an entity the largest counts, as
+    (action, value, notes) compare; entities without one stay as they are.
     """
+    decisions = decisions.groupBy(key, "idx").agg(F.max(F.struct("action", "value", "notes")).alias("d")).select(key, "idx", "d.*")
     mine = decisions.groupBy(key).agg(F.collect_list(F.struct("idx", "action", "value", "notes")).alias("_decisions"))
     out = done.join(mine, key, "left")
 
@@ -32,14 +34,19 @@ def progress(reviewed: F.Column, total: F.Column) -> F.Column:
     return F.when(total > 0, F.floor(100 * reviewed / total + 0.5)).otherwise(F.lit(0)).cast("long")
 
 
+def reviewed_documents(done: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """``done`` with ``reviewed``: whether its ``key`` is in ``seen``, the documents that a reviewer left or exported."""
+    mark = seen.select(key).distinct().withColumn("reviewed", F.lit(True))
+    return done.join(mark, key, "left").withColumn("reviewed", F.coalesce("reviewed", F.lit(False)))
+
+
 def highlighted(done: DataFrame, text: str = "text") -> DataFrame:
     """``done`` with ``html``: the text, escaped, with each entity marked."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    at = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("entities", F.greatest(i, F.lit(1)))["end"])
 
-    def step(a, s):
-        gap = escape_html(F.substring(F.col(text), a["at"] + 1, s["start"] - a["at"]))
-        mark = F.concat(F.lit('<mark data-type="'), s["type"], F.lit('">'), escape_html(s["text"]), F.lit("</mark>"))
-        return F.struct(s["end"].alias("at"), F.concat(a["out"], gap, mark).alias("out"))
+    def piece(s, i):
+        gap = escape_html(F.substring(F.col(text), at(i) + 1, s["start"] - at(i)))
+        return F.concat(gap, F.lit('<mark data-type="'), s["type"], F.lit('">'), escape_html(s["text"]), F.lit("</mark>"))
 
-    last = F.aggregate("entities", begin, step)
-    return done.withColumn("_last", last).withColumn("html", F.concat("_last.out", escape_html(F.substring(F.col(text), F.col("_last.at") + 1, F.length(text))))).drop("_last")
+    rest = escape_html(F.substring(F.col(text), at(F.size("entities")) + 1, F.length(text)))
+    return done.withColumn("html", F.concat(F.array_join(F.transform("entities", piece), ""), rest))

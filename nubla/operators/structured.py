@@ -76,13 +76,15 @@ def patient_column(profiled: DataFrame) -> DataFrame:
     return profiled.filter("detectedType = 'PATIENT_ID' and confidence > 0.7").orderBy(F.desc("confidence"), "originalName").limit(1).select("originalName", "confidence")
 
 
-def header_row(rows: DataFrame) -> DataFrame:
-    """(row, cells array<string>) of a sheet's first rows -> the number of the row that holds the headers."""
+def header_row(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(row, cells array<string>) of a sheet's first rows -> the number of the row that holds the headers, 0 where none seems
+    to; for each value of ``by``, such as the sheet's file, if given."""
     filled = F.filter("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")
     number = F.filter(filled, lambda c: c.try_cast("double").isNotNull())
     words = F.size(filled) - F.size(number)
     known = F.exists(filled, lambda c: c.rlike(HEADER_WORDS))
-    return rows.filter("row < 10").filter((words >= 3) & (known | (words > F.size(number)))).agg(F.coalesce(F.min("row"), F.lit(0)).alias("header"))
+    fits = (words >= 3) & (known | (words > F.size(number)))
+    return rows.filter("row < 10").groupBy(*(by or [])).agg(F.coalesce(F.min(F.when(fits, F.col("row"))), F.lit(0)).alias("header"))
 
 
 def key_of(value: Column) -> Column:

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from nubla.functions import dates as D
 from nubla.functions import text as X
 from nubla.functions.regex import java, matches
+from nubla.operators import score as S
 from nubla.operators import structured as G
 from nubla.operators import substitute as T
 from nubla.operators.detect import detect
+from nubla.operators.dictionaries import Dictionaries, plain
 from nubla.operators.resolve import resolve
-from nubla.operators.review import apply_decisions
+from nubla.operators.review import apply_decisions, highlighted, progress, reviewed_documents
 from nubla.operators.rules import rules
 from nubla.plans import oracle as O
 from nubla.plans.pipeline import Config, pseudonymise, scored, stats
 from nubla.plans.relations import NOTES, VISITS, notes, visits
+from nubla.sources.sinks import batch_summary, report, total_time
+from nubla.streaming.notes import entity_counts
 
 SPAN = ("note_id", "span_start", "span_end", "span_text")
 
@@ -144,14 +148,22 @@ def _profile(spark, sf_dir):
     return G.profile(spark.createDataFrame(CELLS, "name string, value string"))
 
 
-def _profile_sql() -> str:
-    cells = ", ".join(f"({O.q(n)}, {O.q(v) if v is not None else 'null'})" for n, v in CELLS)
+def _profile_visits(spark, sf_dir):
+    return G.profile(G.first_values(visits(spark, sf_dir), "fila"))
+
+
+LITERALS = "values " + ", ".join(f"({O.q(n)}, {O.q(v) if v is not None else 'null'})" for n, v in CELLS)
+#: The first row of the visits, a row for each of its cells.
+FIRST_ROW = f"with v as ({VISITS}), f as (select * from v order by fila limit 1) " + " union all ".join(f"select '{c}' as name, cast({c} as varchar) as value from f" for c in ("nhc", "nombre", "dni", "fecha_nacimiento", "fecha_visita", "valor", "centro"))
+
+
+def _profile_sql(cells: str = LITERALS) -> str:
     holds = lambda k: f"regexp_matches({'regexp_replace(t, %s, %s, %s)' % (O.q('[[:space:].-]'), O.q(''), O.q('g')) if k == 'PHONE' else 't'}, {O.q(G.CONTENTS[k])})"
     kind = "case " + " ".join(f"when regexp_matches(name, {O.q(p)}, 'i') then '{k}'" for k, p in G.HEADERS.items()) + " " + " ".join(f"when {holds(k)} then '{k}'" for k in G.CONTENTS) + " else 'UNKNOWN' end"
     action = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in G.ACTIONS.items()) + " end"
     named = "case kind " + " ".join(f"when '{k}' then regexp_matches(name, {O.q(p)}, 'i')" for k, p in G.HEADERS.items()) + " else false end"
     valued = "case kind " + " ".join(f"when '{k}' then {holds('VISIT_DATE' if k == 'BIRTHDATE' else k)}" for k in [*G.CONTENTS, "BIRTHDATE"]) + " else false end"
-    return f"""with c as (select name, value, trim(coalesce(value, '')) as t from (values {cells}) as c(name, value)), k as (select *, {kind} as kind from c)
+    return f"""with c as (select name, value, trim(coalesce(value, '')) as t from ({cells}) as c(name, value)), k as (select *, {kind} as kind from c)
 select name as "originalName", case when coalesce(value, '') = '' then '(vacío)' when length(value) > 30 then substr(value, 1, 27) || '...' else value end as sample, kind as "detectedType", {action} as "suggestedAction",
 case when kind = 'UNKNOWN' then 0.3e0 when {named} and {valued} then 0.95e0 when {named} or {valued} then 0.7e0 else 0.5e0 end as confidence from k"""
 
@@ -165,6 +177,86 @@ def _deltas(spark, sf_dir):
     return spark.sql(DELTAS)
 
 
+def _accepted(spark, sf_dir):
+    """Decisions that accept the first label of every note, given twice: nothing changes."""
+    done = pseudonymise(notes(spark, sf_dir))
+    decisions = done.select("note_id", F.explode(F.array(F.lit(0), F.lit(0))).alias("idx"), F.lit("accept").alias("action"), F.lit("x").alias("value"), F.lit("").alias("notes"))
+    return apply_decisions(done, decisions, "note_id").select("note_id", "processed")
+
+
+def _reviewed(spark, sf_dir):
+    every = notes(spark, sf_dir)
+    return reviewed_documents(every, every.filter("note_id % 3 = 0").unionByName(every.filter("note_id % 6 = 0")), "note_id").select("note_id", "reviewed")
+
+
+def _highlighted(spark, sf_dir):
+    return highlighted(pseudonymise(notes(spark, sf_dir))).select("note_id", "html")
+
+
+def _escaped(text: str) -> str:
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = f"replace({text}, {O.q(old)}, {O.q(new)})"
+    return text
+
+
+HIGHLIGHTED = f"""select n.note_id, coalesce(p.head, '') || {_escaped("substr(n.text, coalesce(p.last, 0) + 1)")} as html from notes n left join (
+  select note_id, max(span_end) as last, string_agg({_escaped("substr(text, from_ + 1, span_start - from_)")} || '<mark data-type="' || type || '">' || {_escaped("substr(text, span_start + 1, span_end - span_start)")} || '</mark>', '' order by span_start) as head
+  from (select l.*, n.text, coalesce(lag(l.span_end) over (partition by note_id order by l.span_start), 0) as from_ from labelled l join notes n using (note_id)) group by 1) p using (note_id)"""
+
+
+def _places(spark, sf_dir):
+    """Scores of the places among the resolved spans, by kind, dictionary, cue and number."""
+    found = detect(notes(spark, sf_dir)).withColumn("places", F.filter(resolve(F.col("candidates")), lambda s: s["type"] == "UBICACION"))
+    words = Dictionaries()
+    scores = F.transform("places", lambda s: s.withField("confidence", S.place_score(s["text"], s["subtype"], X.before(F.col("text"), s["start"], 50), words)))
+    return _rows(found.withColumn("places", scores), "places", "subtype", "confidence")
+
+
+def _places_sql() -> str:
+    known = f"{O.norm('span_text')} in {O.among(plain(w) for w in Dictionaries().places)}"
+    base = "case when subtype in ('hospital', 'direccion') then 0.5e0 when subtype = 'ciudad' then 0.4e0 when subtype = 'contexto' then 0.35e0 else 0e0 end"
+    parts = [O._part(known, 0.3), O._part(O.rx("ahead", S.PLACE_CUE), 0.2), O._part("regexp_matches(span_text, '[0-9]')", 0.3)]
+    ahead = "substr(n.text, greatest(span_start - 50, 0) + 1, least(span_start, 50)) as ahead"
+    return O.chain(NOTES, "resolved", f"select {', '.join(SPAN)}, subtype, {O._clamp(base + ' + ' + ' + '.join(parts))} as confidence from (select r.*, {ahead} from resolved r join notes n using (note_id) where type = 'UBICACION')")
+
+
+def _single(spark, sf_dir):
+    """Labels of entities by themselves."""
+    rows = _rows(pseudonymise(notes(spark, sf_dir)), "entities", "type", "subtype")
+    return rows.withColumn("label", T.transform_entity(F.col("span_text"), F.col("type"), F.col("subtype"), T.as_day("2026-01-01")))
+
+
+def _single_sql() -> str:
+    t, day = O.trim("span_text"), O.note_day(O.trim("span_text"))
+    dated = r"(subtype in ('fecha_completa', 'ano') or regexp_matches(span_text, '^\d{1,2}[/\-]'))"
+    odd = "case " + " ".join(f"when subtype = {O.q(k)} then {O.q(v)}" for k, v in T.ODD_LABELS.items()) + " else 'dato cuasi-identificador' end"
+    delta = "date_diff('day', day, " + O.AS_OF + ")"
+    label = f"""case when type = 'IDENTIFICADOR' then '' when subtype = 'profesional' then case when length({O.professional_key('span_text')}) < 3 then '' else 'Profesional Sanitario 1' end
+    when subtype = 'familiar' then 'Familiar 1' when type = 'NOMBRE' then case when {O.gender('span_text')} = 'F' then 'Paciente Mujer' else 'Paciente Hombre' end
+    when type = 'FECHA' and {dated} then case when day is null then span_text else 'Visita 1 (' || {O.relative(delta)} || ')' end
+    when type = 'UBICACION' then case when subtype = 'hospital' then 'Centro A' else 'Ciudad A' end when type = 'SOSPECHOSO' then {odd} else span_text end"""
+    return O.chain(NOTES, "labelled", f"select {', '.join(SPAN)}, type, subtype, {label} as label from (select *, case when type = 'FECHA' then {day} end as day from labelled)")
+
+
+SUMMARY = {"Entidades Detectadas": "total", "Nombres": "nombres", "Fechas": "fechas", "Ubicaciones": "ubicaciones", "Identificadores": "identificadores", "Sospechosos": "sospechosos"}
+
+
+def _summary(spark, sf_dir):
+    done = pseudonymise(notes(spark, sf_dir)).withColumns({"name": F.concat(F.lit("nota_"), F.col("note_id").cast("string")), "status": F.lit("completed"), "ms": F.col("note_id")})
+    return batch_summary(done)
+
+
+def _report(spark, sf_dir):
+    done = report(pseudonymise(notes(spark, sf_dir)), "note_id", most=3)
+    return done.select("note_id", "preview", F.size("entities").cast("long").alias("shown"), F.col("more").cast("long").alias("more"))
+
+
+def _windows(spark, sf_dir):
+    """Counts of entities by type in windows of ten minutes, as a stream's are; a note a minute."""
+    done = pseudonymise(notes(spark, sf_dir)).withColumn("at", F.timestamp_seconds(F.col("note_id") * 60))
+    return entity_counts(done, "at").select(F.unix_timestamp("window.start").alias("start_second"), "type", "n")
+
+
 PARTS = f"with n as ({NOTES})"
 #: name: (query, SQL)
 QUERIES = {
@@ -187,6 +279,17 @@ QUERIES = {
     "type_counts": (_types, O.chain(NOTES, "labelled", "select type, subtype, count(*) as n from labelled group by 1, 2")),
     "patient_name_mapping": (_mapping, O.chain(NOTES, "labelled", f"select {O.trim('lower(span_text)')} as patient, min(transformed) as label, count(distinct note_id) as notes from labelled where subtype = 'paciente' group by 1")),
     "apply_decisions": (_review, O.chain(NOTES, "labelled", REVIEWED)),
+    "accept_decisions": (_accepted, O.chain(NOTES, "labelled", "select note_id, processed from processed")),
+    "reviewed_documents": (_reviewed, f"{PARTS} select note_id, note_id % 3 = 0 as reviewed from n"),
+    "review_progress": (lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", progress(F.col("n_nationkey"), F.col("n_regionkey") * 9).alias("percent")), "select n_nationkey, (case when n_regionkey > 0 then floor(100e0 * n_nationkey / (n_regionkey * 9) + 0.5) else 0 end)::bigint as percent from nation"),
+    "highlighted_notes": (_highlighted, O.chain(NOTES, "labelled", HIGHLIGHTED)),
+    "score_places": (_places, _places_sql()),
+    "transform_entity": (_single, _single_sql()),
+    "batch_summary": (_summary, O.chain(NOTES, "labelled", "select 'nota_' || n.note_id as \"Nombre\", " + ", ".join(("count(l.note_id)" if v == "total" else f"count(*) filter (where {COUNTS[v]})") + f' as "{k}"' for k, v in SUMMARY.items()) + ", n.note_id as \"Tiempo (ms)\", 'completed' as \"Estado\" from notes n left join labelled l using (note_id) group by n.note_id")),
+    "total_time": (lambda s, d: total_time(_summary(s, d)), f"{PARTS} select sum(note_id)::bigint as total_ms from n"),
+    "report_preview": (_report, O.chain(NOTES, "labelled", "select note_id, substr(processed, 1, 2000) as preview, least(n_entities, 3)::bigint as shown, greatest(n_entities - 3, 0)::bigint as more from processed")),
+    "entity_windows": (_windows, O.chain(NOTES, "labelled", "select (note_id * 60 // 600 * 600)::bigint as start_second, type, count(*) as n from labelled group by 1, 2")),
+    "capitalize": (lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", X.capitalize(F.col("n_name")).alias("name")), "select n_nationkey, upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) as name from nation"),
     "email_documents": (_emails, EMAILS),
     "normalize_text": (lambda s, d: _documents(s, d).select("doc_id", F.md5(X.normalize(F.col("text")).cast("binary")).alias("md5")), f"select doc_id, md5({O.norm('text')}) as md5 from documents"),
     "clean_spaces": (lambda s, d: _documents(s, d).select("doc_id", F.md5(X.clean_spaces(F.col("text")).cast("binary")).alias("md5")), f"select doc_id, md5({O.trim(chr(114) + 'egexp_replace(text, ' + O.q(chr(92) + 's+') + ', ' + O.q(' ') + ', ' + O.q('g') + ')')}) as md5 from documents"),
@@ -196,6 +299,7 @@ QUERIES = {
     "gender_labels": (lambda s, d: notes(s, d).select("note_id", T.gender(F.col("text")).alias("gender")), f"{PARTS} select note_id, {O.gender('text')} as gender from n"),
     "column_profile": (_profile, _profile_sql()),
     "patient_column": (lambda s, d: G.patient_column(_profile(s, d)), f"select \"originalName\", confidence from ({_profile_sql()}) where \"detectedType\" = 'PATIENT_ID' and confidence > 0.7 order by confidence desc, 1 limit 1"),
+    "profile_visits": (_profile_visits, _profile_sql(FIRST_ROW)),
     "patient_mapping": (lambda s, d: G.patient_mapping(visits(s, d), "nhc", "fila"), TABLE + " select p as patient, first_row, study as study_id, n as visits from m"),
     "visit_number": (lambda s, d: G.with_visits(visits(s, d), "nhc", "fila").select("fila", "nhc", "Visita_Num"), TABLE + ' select fila, nhc, (row_number() over (partition by p order by fila))::int as "Visita_Num" from k where p is not null'),
     "codify": (lambda s, d: G.codes(visits(s, d), "centro", "fila"), TABLE + f", {CODES} select * from c"),

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nubla.operators.structured import header_row
@@ -24,19 +24,29 @@ def separator(line: str) -> str:
     return max(SEPARATORS, key=line.count)
 
 
+def _ordered(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with an ordinal by file name, part of the file and line: each part of a file is read as one run of rows."""
+    run = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    numbered = rows.select("*", run.alias("_run"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
+    runs = numbered.select("_run").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("_run")) - 1)
+    return numbered.join(F.broadcast(runs), "_run").withColumn(order, F.col("_nth") * (1 << 33) + F.col("_at")).drop("_run", "_nth", "_at")
+
+
 def read_csv(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
     """A table of strings with the header of its first line that isn't blank, and an ordinal ``order``.
 
-    Cells are trimmed, quoted ones too; blank lines are dropped; a short row is filled with nulls; a quoted cell holds no
-    line end. The ordinal follows the file's lines.
+    Cells are trimmed, quoted ones too; blank lines are dropped; a short row is filled with nulls, and what a row has beyond
+    the header is left out; a quoted cell holds no line end. The ordinal follows the files' names and their lines. All files
+    have the columns and the separator of the first by name.
     """
-    lines = spark.read.text(path).filter("trim(value) <> ''")
-    first = lines.limit(1).collect()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n")).filter("trim(value) <> ''")
+    first = lines.orderBy("path", "n").limit(1).collect()
     if not first:
         raise ValueError(f"{path}: empty")
     own = separator(first[0]["value"])
     read = spark.read.options(header=True, sep=own, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE").csv(path)
-    return read.select([F.trim(F.col(f"`{c}`")).alias(c.strip().lstrip("﻿")) for c in read.columns]).withColumn(order, F.monotonically_increasing_id())
+    names = [c.strip().lstrip("\ufeff") for c in read.columns]
+    return _ordered(read, order).select([F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(read.columns, names, strict=True)] + [order])
 
 
 def sheet_cells(content: bytes) -> list[list[str]]:
@@ -62,9 +72,10 @@ def sheet_cells(content: bytes) -> list[list[str]]:
 
 
 def read_xlsx(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
-    """The first sheet of each workbook at ``path`` as strings; the header row is looked for in the first ten rows.
+    """The first sheet of each workbook at ``path`` as strings, below its own header row (one of the first ten).
 
-    A workbook of more than ``TABLE_BYTES`` is an error.
+    Workbooks may differ in their columns: the table has all of them, in the order of files and sheets, and what a workbook
+    lacks is empty. The ordinal follows the files' names and their rows. A workbook of more than ``TABLE_BYTES`` is an error.
     """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,16 +88,30 @@ def read_xlsx(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
     large = [r["path"] for r in found.filter(F.col("length") > TABLE_BYTES).select("path").orderBy("path").collect()]
     if large:
         raise ValueError(f"more than {TABLE_BYTES} bytes: {', '.join(large)}")
-    files = found.select("path", "content")
-    table = files.mapInPandas(rows, "path string, row long, cells array<string>")
-    at = header_row(table).first()["header"]
-    head = table.filter(F.col("row") == at).orderBy("path").limit(1).collect()
-    if not head:
+    table = found.select("path", "content").mapInPandas(rows, "path string, row long, cells array<string>")
+    named = F.transform("cells", lambda c, i: F.when(F.trim(c) == "", F.concat(F.lit("columna_"), (i + 1).cast("string"))).otherwise(F.trim(c)))
+    once = F.transform("names", lambda n, i: F.when(F.array_contains(F.slice("names", 1, i), n), F.concat_ws("_", n, (i + 1).cast("string"))).otherwise(n))
+    heads = header_row(table, ["path"]).join(table, "path").filter("row = header")
+    heads = heads.withColumn("names", named).select("path", "header", once.alias("names"), (F.row_number().over(Window.orderBy("path")) - 1).alias("file"))
+    columns: dict[str, None] = {}
+    for r in heads.orderBy("path").select("names").toLocalIterator():
+        columns |= dict.fromkeys(r["names"])
+    if not columns:
         raise ValueError(f"{path}: empty")
-    names = [n.strip() or f"columna_{i + 1}" for i, n in enumerate(head[0]["cells"])]
-    names = [n if n not in names[:i] else f"{n}_{i + 1}" for i, n in enumerate(names)]
-    body = table.filter(F.col("row") > at)
-    return body.select(*[F.coalesce(F.try_element_at("cells", F.lit(i + 1)), F.lit("")).alias(n) for i, n in enumerate(names)], F.col("row").alias(order))
+    body = table.join(heads, "path").filter("row > header")
+    own = F.map_from_arrays("names", F.transform("names", lambda n, i: F.try_element_at("cells", i + 1)))
+    return body.withColumn("own", own).select(*[F.coalesce(F.try_element_at("own", F.lit(n)), F.lit("")).alias(n) for n in columns], (F.col("file") * (1 << 32) + F.col("row")).alias(order))
+
+
+def read_table(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
+    """A table by the extension of its path: .csv or .xlsx."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind not in TABLES:
+        raise ValueError(f"formato no soportado: {kind}")
+    return TABLES[kind](spark, path, order)
+
+
+TABLES = {"csv": read_csv, "xlsx": read_xlsx}
 
 
 def docx_text(content: bytes) -> str:

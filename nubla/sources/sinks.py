@@ -9,6 +9,7 @@ from nubla.operators import structured as G
 from nubla.plans.pipeline import stats
 
 FORMATS = ("parquet", "csv", "json", "orc")
+WARNING = ["DOCUMENTO CONFIDENCIAL", "Permite volver a identificar a los pacientes.", "Guárdelo separado de los datos y con acceso restringido."]
 
 
 def _write(df: DataFrame, path: str, form: str) -> None:
@@ -26,7 +27,8 @@ def write_anonymised(table: DataFrame, actions: dict[str, str], order: str, refe
 
 
 def write_correspondence(table: DataFrame, actions: dict[str, str], order: str, path: str, form: str = "csv", prefix: str = "PAC") -> None:
-    """What leads back to patients, for a folder of restricted access: correspondence, codes and column mapping."""
+    """What leads back to patients, for a folder of restricted access: a warning, correspondence, codes and column mapping."""
+    _write(table.sparkSession.createDataFrame([(w,) for w in WARNING], "aviso string").coalesce(1), f"{path}/aviso", form)
     _write(G.correspondence(table, actions, order, prefix), f"{path}/correspondencia", form)
     for c in [c for c, a in actions.items() if a == "CODIFY"]:
         _write(G.codes(table, c, order), f"{path}/cod_{c}"[: len(path) + 32], form)
@@ -35,10 +37,16 @@ def write_correspondence(table: DataFrame, actions: dict[str, str], order: str,
 
 
 def batch_summary(done: DataFrame) -> DataFrame:
-    """A row for each document of a batch: its counts and status."""
+    """A row for each document of a batch: its counts and status, and its time where ``done`` has one (``ms``)."""
     s = stats(F.col("entities"))
+    time = [F.col("ms").alias("Tiempo (ms)")] if "ms" in done.columns else []
     columns = {"Entidades Detectadas": "total", "Nombres": "nombres", "Fechas": "fechas", "Ubicaciones": "ubicaciones", "Identificadores": "identificadores", "Sospechosos": "sospechosos"}
-    return done.select(F.col("name").alias("Nombre"), *[s[v].alias(k) for k, v in columns.items()], F.col("status").alias("Estado"))
+    return done.select(F.col("name").alias("Nombre"), *[s[v].alias(k) for k, v in columns.items()], *time, F.col("status").alias("Estado"))
+
+
+def total_time(summary: DataFrame) -> DataFrame:
+    """The sum of a summary's times."""
+    return summary.agg(F.coalesce(F.sum("Tiempo (ms)"), F.lit(0)).cast("long").alias("total_ms"))
 
 
 def write_summary(done: DataFrame, path: str) -> None:

@@ -19,7 +19,8 @@ def pseudonymised(stream: DataFrame, config: Config | None = None, text: str = "
 
 def entity_counts(done: DataFrame, time: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Entities by type in each window of event time; what is later than ``late`` is left out."""
-    rows = done.withWatermark(time, late).select(time, F.explode("entities").alias("e"))
+    # Outer, so that Spark doesn't compute the entities a second time to see whether there are any.
+    rows = done.withWatermark(time, late).select(time, F.explode_outer("entities").alias("e")).filter("e is not null")
     return rows.groupBy(F.window(time, window), F.col("e.type").alias("type")).agg(F.count("*").alias("n"))
 
 
