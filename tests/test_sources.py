@@ -5,7 +5,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from nubla.operators.review import apply_decisions, highlighted
+from nubla.operators.review import apply_decisions, highlighted, reviewed_documents
+from nubla.operators.substitute import as_day, transform_entity
 from nubla.plans.batch import patient_names, process_folder, queue_status
 from nubla.plans.pipeline import pseudonymise
 from nubla.sources import readers, sinks
@@ -19,9 +20,29 @@ def test_csv(spark, tmp_path):
     assert readers.separator("a,b;c") == "," and readers.separator("a\tb\tc,d") == "\t"
 
 
-def _xlsx(path):
+def test_csv_files_in_order(spark, tmp_path):
+    for name, rows in (("b", "3;Eva\n4;Luz"), ("a", "1;Ana\n2;Luis")):
+        (tmp_path / f"{name}.csv").write_text("NHC;Nombre\n" + rows + "\n", encoding="utf-8")
+    rows = readers.read_csv(spark, str(tmp_path)).orderBy("_row").collect()
+    assert [r["NHC"] for r in rows] == ["1", "2", "3", "4"] and len({r["_row"] for r in rows}) == 4
+
+
+def test_table_by_extension(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("NHC,x\n1,2\n", encoding="utf-8")
+    _xlsx(tmp_path / "t.xlsx")
+    assert readers.read_table(spark, str(tmp_path / "t.csv")).first()["x"] == "2" and readers.read_table(spark, str(tmp_path / "t.xlsx")).first()["NHC"] == "77"
+    with pytest.raises(ValueError, match="formato no soportado"):
+        readers.read_table(spark, str(tmp_path / "t.ods"))
+
+
+def test_examples(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"id": 1, "texto": "DNI 12345678A"}', encoding="utf-8")
+    assert readers.read_examples(spark, str(tmp_path)).first()["text"] == "DNI 12345678A"
+
+
+def _xlsx(path, rows=None):
     cell = lambda ref, text: f'<c r="{ref}" t="inlineStr"><is><t>{text}</t></is></c>'
-    rows = [[("A1", "Informe")], [("A2", "NHC"), ("B2", "Nombre"), ("D2", "Fecha")], [("A3", "77"), ("B3", "Ana"), ("D3", "1/2/2024")]]
+    rows = rows or [[("A1", "Informe")], [("A2", "NHC"), ("B2", "Nombre"), ("D2", "Fecha")], [("A3", "77"), ("B3", "Ana"), ("D3", "1/2/2024")]]
     body = "".join(f"<row>{''.join(cell(*c) for c in r)}</row>" for r in rows)
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
@@ -33,6 +54,16 @@ def test_xlsx(spark, tmp_path):
     assert (row["NHC"], row["Nombre"], row["columna_3"], row["Fecha"]) == ("77", "Ana", "", "1/2/2024")
 
 
+def test_xlsx_files_with_own_headers(spark, tmp_path):
+    """Header rows and columns differ by workbook; the order is that of files and rows."""
+    _xlsx(tmp_path / "b.xlsx")
+    _xlsx(tmp_path / "a.xlsx", [[("A1", "Nombre"), ("B1", "NHC"), ("C1", "Edad"), ("D1", "Edad")], [("A2", "Luz"), ("B2", "5"), ("C2", "40"), ("D2", "41")], [("A3", "Eva"), ("B3", "6"), ("C3", "50")]])
+    table = readers.read_xlsx(spark, str(tmp_path))
+    assert table.columns == ["Nombre", "NHC", "Edad", "Edad_4", "columna_3", "Fecha", "_row"]
+    assert [tuple(r)[:6] for r in table.orderBy("_row").collect()] == [("Luz", "5", "40", "41", "", ""), ("Eva", "6", "50", "", "", ""), ("Ana", "77", "", "", "", "1/2/2024")]
+    assert table.select("_row").distinct().count() == 3
+
+
 def test_large_xlsx_is_an_error(spark, tmp_path, monkeypatch):
     _xlsx(tmp_path / "t.xlsx")
     _xlsx(tmp_path / "u.xlsx")
@@ -65,6 +96,21 @@ def test_review(spark):
     assert highlighted(done).first()["html"] == 'DNI <mark data-type="IDENTIFICADOR">12345678A</mark> &lt;b&gt; en <mark data-type="UBICACION">Sevilla</mark>'
 
 
+def test_review_status_and_single_labels(spark):
+    done = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+    assert [tuple(r) for r in reviewed_documents(done, done.filter("id = 2").unionByName(done.filter("id = 2")), "id").select("id", "reviewed").orderBy("id").collect()] == [(1, False), (2, True)]
+    rows = spark.createDataFrame([("Dr. Ruiz", "NOMBRE", "profesional"), ("Ana", "NOMBRE", "paciente"), ("01/01/2024", "FECHA", "fecha_completa"), ("Teruel", "UBICACION", "ciudad")], "text string, type string, subtype string")
+    assert [r[0] for r in rows.select(transform_entity(F.col("text"), F.col("type"), F.col("subtype"), as_day("2026-01-01"))).collect()] == ["Profesional Sanitario 1", "Paciente Mujer", "Visita 1 (hace 2 años)", "Ciudad A"]
+
+
+def test_correspondence_files(spark, tmp_path):
+    table = spark.createDataFrame([(1, "7", "Ana", "Sur"), (2, "7", "Ana", "Sur")], "_row int, nhc string, nombre string, centro string")
+    sinks.write_correspondence(table, {"nhc": "PATIENT_ID", "nombre": "REMOVE", "centro": "CODIFY"}, "_row", str(tmp_path / "c"))
+    read = lambda name: [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "c" / name)).collect()]
+    assert read("correspondencia") == [("PAC_001", "2", "Ana", "7")] or read("correspondencia") == [("PAC_001", "2", "7", "Ana")]
+    assert read("cod_centro") == [("sur", "CENTRO_01")] and len(read("aviso")) == len(sinks.WARNING)
+
+
 def test_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(1, "DNI 12345678A"), (2, None)], "id int, text string").write.parquet(source)

@@ -64,3 +64,13 @@ def test_unordered_and_repeated(spark):
 def test_empty_table(spark, actions):
     empty = spark.createDataFrame([], "_row long, " + ", ".join(f"{n} string" for n in NAMES))
     assert G.anonymise(empty, actions, "_row", "2024-12-15").count() == 0 and G.correspondence(empty, actions, "_row").count() == 0
+
+
+def test_missing_id_column(table):
+    with pytest.raises(ValueError, match="PATIENT_ID"):
+        G.anonymise(table, {"Nombre": "REMOVE"}, "_row", "2024-12-15")
+
+
+def test_header_row_by_file(spark):
+    rows = spark.createDataFrame([("a", 0, ["1", "2", "3"]), ("a", 1, ["NHC", "Nombre", "Fecha"]), ("b", 0, ["Edad", "x", "y"]), ("c", 0, ["", None, "z"])], "f string, row long, cells array<string>")
+    assert {tuple(r) for r in G.header_row(rows, ["f"]).collect()} == {("a", 1), ("b", 0), ("c", 0)}
