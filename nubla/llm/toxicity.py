@@ -15,6 +15,7 @@ each label outside the held-out fold, and ``MOST_CHARS`` characters of each.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from nubla.llm.common import byte_slices, held_out, release, sampled, small, table, within
 
-PER_LABEL, MOST_CHARS = 4000, 128 << 20
+PER_LABEL, MOST_CHARS = 3000, 24 << 20
 THRESHOLD = 0.7
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 SEED = {
@@ -40,8 +41,9 @@ TARGETS, CLASSED = frozenset(SEED[TARGET].split()), frozenset(" ".join(SEED.valu
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;\n\"“”«»]")
 KINDS = ("plain", "targeted", "negated", "reported")
 #: What the fit moves: the base, and for insults and threats the plain weight, what a target adds, and what negation and
-#: reported speech take away; the means of the prior (deviation 2) and the least values.
+#: reported speech take away; the means and deviation of the prior, and the least values.
 MEANS = np.array([-3.5, 6.0, 1.0, 1.0, 1.0, 6.0, 1.0, 2.0, 2.0])
+DEVIATION = 5.0
 LEAST = np.array([-np.inf, 0.5, 0.5, 0.0, 0.0, 0.5, 0.5, 0.0, 0.0])
 BY_CHANCE = (0.0, 0.002, 0.004, 0.008, 0.016)  # shares of a text's words
 EXTRA_WORDS = 30  # added to a text's length before shares are taken, as one word of a short text proves little
@@ -167,34 +169,45 @@ def learn_stems(toxic: list[str], clean: list[str], known, least: int = 3) -> di
     A clean text that it would explain, too, costs four toxic ones, and it must add ``least``. Frequent in toxic texts it
     must be at least three times as much as in clean ones, whatever the share.
     """
-    left = [t for t in dict.fromkeys(toxic) if not known(t)]
-    bags = [[Counter(TOKEN.findall(t.lower())) for t in texts] for texts in (left, dict.fromkeys(clean))]
-    of = {w: _features(w) for w in {w for bag in bags[0] for w in bag}}
-    seen = Counter(f for bag in bags[0] for f in {f for w in bag for f in of[w]})
-    often = {f for f, n in seen.items() if n >= least}
-    of = {w: kept for w, fs in of.items() if (kept := [f for f in fs if f in often])}
-    against = Counter(f for bag in bags[1] for f in {f for w in bag if w in of for f in of[w]})
-    fit = sorted(f for f in often if seen[f] * len(bags[1]) >= 3 * against[f] * len(bags[0]))
-    number = {f: i for i, f in enumerate(fit)}
-    if not fit:
+    left, others = [t for t in dict.fromkeys(toxic) if not known(t)], dict.fromkeys(clean)
+    seen = Counter()
+    for text in left:
+        seen.update({f for w in set(TOKEN.findall(text.lower())) for f in _features(w)})
+    stems = sorted(f for f, n in seen.items() if n >= least)
+    number, memo = {f: i for i, f in enumerate(stems)}, {}
+    if not stems:
         return {}
-    for_clean = set(of) | {w for bag in bags[1] for w in bag}
-    of = {w: kept for w in for_clean if (kept := [number[f] for f in _features(w) if f in number])}
 
-    def shares(bags) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = []
-        for i, bag in enumerate(bags):
-            n = Counter()
-            for w, k in bag.items():
-                for f in of.get(w, ()):
+    def shares(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, stem, share of the text's words) of all stems in the texts; arrays rather than counters, to spare memory."""
+        rows, columns, values = array("i"), array("i"), array("f")
+        for i, text in enumerate(texts):
+            words, n = Counter(TOKEN.findall(text.lower())), Counter()
+            if len(memo) > 100_000:
+                memo.clear()
+            for w, k in words.items():
+                if w not in memo:
+                    memo[w] = [number[f] for f in _features(w) if f in number]
+                for f in memo[w]:
                     n[f] += k
-            total = sum(bag.values()) + EXTRA_WORDS
-            rows += [(i, f, k / total) for f, k in n.items()]
-        table = np.array(rows, float).reshape(-1, 3)
-        return table[:, 0].astype(int), table[:, 1].astype(int), table[:, 2]
-
-    text, feature, share = shares(bags[0])
-    _, other, other_share = shares(bags[1])
+            total = sum(words.values()) + EXTRA_WORDS
+            rows.extend([i] * len(n))
+            columns.extend(n)
+            values.extend(k / total for k in n.values())
+        return np.array(rows), np.array(columns), np.array(values)
+
+    text, feature, share = shares(left)
+    _, other, other_share = shares(others)
+    against = np.bincount(other, minlength=len(stems))
+    fits = np.bincount(feature, minlength=len(stems)) * len(others) >= 3 * against * len(left)
+    place = np.cumsum(fits) - 1
+    fit = [f for f, ok in zip(stems, fits, strict=True) if ok]
+    some = fits[feature]
+    text, feature, share = text[some], place[feature[some]], share[some]
+    some = fits[other]
+    other, other_share = place[other[some]], other_share[some]
+    if not fit:
+        return {}
     cost = np.array([np.bincount(other[other_share > g], minlength=len(fit)) for g in BY_CHANCE])
     all_texts = np.array([np.bincount(feature[share > g], minlength=len(fit)) for g in BY_CHANCE])
     length = np.array([len(f) if f[0] != "=" else 0 for f in fit])
@@ -225,8 +238,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for _ in range(100):
         for j in range(9):
             p = 1 / (1 + np.exp(-np.clip(z @ moved, -30, 30)))
-            slope = z[:, j] @ (y - p) - (moved[j] - MEANS[j]) / 4
-            step = slope / ((z[:, j] ** 2) @ (p * (1 - p)) + 0.25)
+            slope = z[:, j] @ (y - p) - (moved[j] - MEANS[j]) / DEVIATION**2
+            step = slope / ((z[:, j] ** 2) @ (p * (1 - p)) + 1 / DEVIATION**2)
             most = np.inf if j not in (3, 4, 7, 8) else moved[1 if j < 5 else 5]
             moved[j] = min(max(moved[j] + np.clip(step, -1, 1), LEAST[j]), most)
     return weights_of(moved)
