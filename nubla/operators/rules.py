@@ -64,7 +64,10 @@ IDENTIFIERS = [
 
 
 def rules(words: Dictionaries | None = None) -> list[Rule]:
-    """All rules; ``check`` names what plain patterns can't say (see ``detect``)."""
+    """All rules; ``check`` names what plain patterns can't say (see ``detect``).
+
+    The patterns, subtypes and confidences below are fixed values.
+    """
     words = words or Dictionaries()
     found = []
     for name, subtype, confidence, lead, body, how in IDENTIFIERS:

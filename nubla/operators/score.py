@@ -59,30 +59,30 @@ def _surname(tokens: Column, words: Dictionaries) -> Column:
     return F.exists(F.slice(tokens, 2, 1000), lambda w: normalize(w).isin(known))
 
 
-def patient_parts(tokens: Column, ahead: Column, words: Dictionaries) -> list[tuple[str, Column]]:
-    """The factors of a patient's score, in the order in which they are added."""
+def patient_parts(tokens: Column, ahead: Column, words: Dictionaries) -> list[Column]:
+    """The parts of a patient's score, in the order in which they are added: fixed values."""
     shape = (F.size(tokens) >= 2) & (F.size(tokens) <= 4) & F.forall(tokens, lambda w: w.rlike(f"^{NAME}$"))
     professional, label = ahead.rlike(_end(PROFESSIONAL_CUE)), ahead.rlike(_end(LABEL_CUE))
     return [
-        ("nombre_conocido", _if(_given(tokens[0], words), 0.3)),
-        ("apellido_conocido", _if(_surname(tokens, words), 0.25)),
-        ("patron_nombre_apellido", _if(shape, 0.2)),
-        ("contexto_profesional", _if(professional, 0.3)),
-        ("contexto_paciente", _if(ahead.rlike(_end(PATIENT_CUE)), 0.25)),
-        ("etiqueta", _if(label, 0.35)),
-        ("palabra_excluida", _if(F.lower(tokens[0]).isin(COMMON_WORDS), -0.3)),
-        ("sin_contexto_corto", _if((F.size(tokens) == 1) & ~professional & ~label, -0.2)),
+        _if(_given(tokens[0], words), 0.3),
+        _if(_surname(tokens, words), 0.25),
+        _if(shape, 0.2),
+        _if(professional, 0.3),
+        _if(ahead.rlike(_end(PATIENT_CUE)), 0.25),
+        _if(label, 0.35),
+        _if(F.lower(tokens[0]).isin(COMMON_WORDS), -0.3),
+        _if((F.size(tokens) == 1) & ~professional & ~label, -0.2),
     ]
 
 
-def professional_parts(tokens: Column, words: Dictionaries) -> list[tuple[str, Column]]:
-    """The factors of a professional's score; the title is the first word."""
+def professional_parts(tokens: Column, words: Dictionaries) -> list[Column]:
+    """The parts of a professional's score, as above; the title is the first word."""
     return [
-        ("prefijo_profesional", F.lit(0.3)),
-        ("nombre_conocido", _if(_given(tokens[0], words), 0.3)),
-        ("apellido_conocido", _if(_surname(tokens, words), 0.25)),
-        ("nombre_completo", _if(F.size(tokens) >= 2, 0.15)),
-        ("es_especialidad", _if(F.lower(tokens[0]).isin(SPECIALTIES), -0.4)),
+        F.lit(0.3),
+        _if(_given(tokens[0], words), 0.3),
+        _if(_surname(tokens, words), 0.25),
+        _if(F.size(tokens) >= 2, 0.15),
+        _if(F.lower(tokens[0]).isin(SPECIALTIES), -0.4),
     ]
 
 
@@ -96,7 +96,7 @@ def place_score(text: Column, subtype: Column, ahead: Column, words: Dictionarie
 def score(span: Column, text: Column, words: Dictionaries) -> Column:
     """The span's confidence: names are scored anew, others keep what their rule gives."""
     tokens, ahead = F.split(span["text"], r"\s+"), before(text, span["start"], 50)
-    named = lambda c: F.when(span["subtype"] == "profesional", _clamp(_added([v for _, v in professional_parts(c["tokens"], words)]))).otherwise(_clamp(_added([v for _, v in patient_parts(c["tokens"], c["ahead"], words)])))
+    named = lambda c: F.when(span["subtype"] == "profesional", _clamp(_added(professional_parts(c["tokens"], words)))).otherwise(_clamp(_added(patient_parts(c["tokens"], c["ahead"], words))))
     fresh = (span["type"] == "NOMBRE") & (span["subtype"] != "familiar")
     return F.when(fresh, let(F.struct(tokens.alias("tokens"), ahead.alias("ahead")), named)).otherwise(span["confidence"])
 
