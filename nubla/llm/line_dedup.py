@@ -87,15 +87,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     """Rows (key, first, last): the lines of each document that go, by their numbers from 1."""
     keyed = _keyed(docs)
     hashed = _let(_full(F.col("text")), lambda lines: F.transform(_places(lines), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.xxhash64(_text(lines, p["a"], p["b"])).alias("h"))))
-    narrow = table(keyed.select("key", F.inline(hashed)).distinct(), "pieces")
-    twice = table(narrow.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
-    marked = table(join_counted(narrow, twice, ["h"], narrow.count()).groupBy("key").agg(F.collect_list(F.struct("a", "b", "h")).alias("marks")), "marks")
+    narrow = table(keyed.select("key", F.inline(hashed)), "pieces")
+    places = {"id": F.col("key.id"), "text": F.xxhash64("key.digest"), "a": F.col("a")}
+    spread = [f(c).alias(f"{n}_{name}") for name, c in places.items() for n, f in (("low", F.min), ("high", F.max))]
+    # In two places at least: rows that are equal in id and text are one place.
+    twice = narrow.groupBy("h").agg(F.count("*").alias("n"), *spread).filter(" or ".join(f"low_{p} < high_{p}" for p in places))
+    twice = table(twice.select("h", "n"), "twice")
+    marked = table(join_counted(narrow, twice, ["h"], narrow.count()).groupBy("key").agg(F.collect_set(F.struct("a", "b", "h")).alias("marks")), "marks")
     marked = marked.select(F.col("key").alias("_key"), "marks")
-    texts = keyed.dropDuplicates(["key"]).join(small(marked, "marks"), F.col("key") == F.col("_key"))
+    texts = keyed.join(small(marked, "marks"), F.col("key") == F.col("_key"))
     spans = _let(_full(F.col("text")), lambda lines: F.transform("marks", lambda m: F.struct(m["h"].alias("h"), F.element_at(lines, m["a"])["i"].alias("first"), F.element_at(lines, m["b"])["i"].alias("last"), _text(lines, m["a"], m["b"]).alias("piece"))))
     found = table(texts.select("key", F.inline(spans)), "repeats")
     place = F.struct("key", "first")
-    stays = table(found.groupBy("h", "piece").agg(F.min(place).alias("stays"), F.count("*").alias("n")).filter("n > 1"), "stays")
+    stays = table(found.groupBy("h", "piece").agg(F.min(place).alias("stays"), F.max(place).alias("last_place"), F.count("*").alias("n")).filter("stays < last_place").drop("last_place"), "stays")
     return join_counted(found, stays, ["h", "piece"], found.count(), f"length(piece) <= {HOT_CHARS}").filter(place != F.col("stays")).select("key", "first", "last")
 
 
@@ -125,7 +129,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     and each keeps what that keeps. A very long text is handled within its row, in time and memory that grow with its length.
     Other columns pass through, whatever they are called. An empty table gives an empty result.
     """
-    order = F.array_sort(F.collect_list(F.struct("first", "last")))
+    order = F.array_sort(F.collect_set(F.struct("first", "last")))
     gone = table(repeated(docs).groupBy("key").agg(_merged(order).alias("spans")), "removed")
     own, other, found, lines = (new_name(docs, n) for n in ("_id", "_gone", "_removed", "_lines"))
     gone = gone.select(F.col("key").alias(other), F.col("spans").alias(found))
