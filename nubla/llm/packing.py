@@ -15,6 +15,7 @@ of each (partition, queue) are summed.
 from __future__ import annotations
 
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,15 @@ def encoder(path: str):
     Where the same vocabulary lies beside it as ranks, the faster library reads those, but for texts with very long runs, on
     which it recurses; special tokens' strings count as these tokens in both.
     """
-    from pathlib import Path
+    model = []
 
-    from tokenizers import Tokenizer
+    def slow(text: str) -> np.ndarray:
+        if not model:
+            from tokenizers import Tokenizer
+
+            model.append(Tokenizer.from_file(path))
+        return np.array(model[0].encode(text, add_special_tokens=False).ids, np.uint16)
 
-    model = Tokenizer.from_file(path)
-    slow = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, np.uint16)
     ranks = Path(path).with_suffix(".tiktoken")
     if not ranks.exists():
         return slow
