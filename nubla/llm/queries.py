@@ -15,6 +15,7 @@ NAMES = {
     "op8_language_id": "language_id",
     "op9_vector_search": "vector_search",
     "op10_minhash_dedup": "minhash_dedup",
+    "op11_infill": "infill",
 }
 
 
