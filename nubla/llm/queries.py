@@ -16,6 +16,7 @@ NAMES = {
     "op9_vector_search": "vector_search",
     "op10_minhash_dedup": "minhash_dedup",
     "op11_infill": "infill",
+    "op12_phrases": "phrases",
 }
 
 
