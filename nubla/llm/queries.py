@@ -17,6 +17,7 @@ NAMES = {
     "op10_minhash_dedup": "minhash_dedup",
     "op11_infill": "infill",
     "op12_phrases": "phrases",
+    "op13_quality": "quality",
 }
 
 
