@@ -32,7 +32,7 @@ COVER = 80
 SCALE = 2_000_000
 HOT_ROWS, HOT_SHARE = 1_000_000, 2000
 FILTER_BITS = 1 << 28
-SLICE = 8 << 20
+SLICE = 2 << 20
 GROUP_ROWS = 1 << 18
 SALTS = 64
 STEP = U64(0x9E3779B97F4A7C15 | 1)
@@ -69,7 +69,7 @@ def words_of(text: pa.Array, lang: pa.Array):
     s = np.flatnonzero(word & (begins[:n] | ~np.concatenate([[False], word[:-1]])))
     e = np.flatnonzero(word & (begins[1:] | ~np.concatenate([word[1:], [False]]))) + 1
     row = np.searchsorted(offsets, s, side="right") - 1
-    piece = np.cumsum(kind == BREAK, dtype=np.int64)[s] + row if len(s) else np.zeros(0, np.int64)
+    piece = np.cumsum(kind == BREAK, dtype=np.int32)[s] + row if len(s) else np.zeros(0, np.int64)
     bounds = np.append(np.column_stack([s, e]).ravel(), n).astype(np.int64)
     every = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
     coded = every.take(pa.array(np.arange(len(s)) * 2)).dictionary_encode()
