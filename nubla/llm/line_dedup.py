@@ -1,27 +1,28 @@
 """Removal of repeated multi-line chunks whose boundaries follow from the content.
 
-Blank lines aside, a hash of each line feeds a rolling (cyclic polynomial) hash over ``WINDOW`` lines; a chunk ends where
-that is 0 modulo ``DIVISOR``, and a line of ``ANCHOR`` words or more is a chunk of its own. So boundaries follow from the
-lines beside them, and an insertion moves only those. What can go is a chunk of two lines or more, a line of ``LONG``
-words, and two neighbouring chunks together: those that repeat by hash are compared byte by byte, and the first occurrence
-(smallest doc_id, then digest of the text, then position) stays. A line goes if it lies in such a piece that occurred
-before, so every line's first occurrence stays, and of a passage that documents share only short lines at its ends can.
-DataFrame functions only.
+Blank lines aside, a hash of each line feeds a rolling (cyclic polynomial) hash over ``WINDOW`` lines, and a chunk ends
+where that is 0 modulo ``DIVISOR``. So every boundary follows from the lines before it, and an insertion moves only those
+near it. Chunks of two lines or more with ``LEAST`` words, and lines of ``LONG`` words, that repeat by hash are compared
+byte by byte; the first occurrence (smallest doc_id, then digest of the text, then position) stays, later ones go.
+
+A repeated chunk is extended to its neighbours: two neighbouring lines that stood together before are linked, and a run of
+linked lines goes with the chunk in it. As a short passage may hold no whole chunk, a run of ``RUN`` words goes without
+one, too; a shorter run without a chunk, such as an ordinary pair of lines, stays. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nubla.llm.common import join_counted, new_name, small, table
 
-WINDOW = 3
+WINDOW = 2
 DIVISOR = 2
-ANCHOR = 5
+LEAST = 20
+RUN = 30
 LONG = 50
 LAST = (1 << 63) - 1
-HOT_CHARS = 16_384
 
 
 def _line_hash(line: Column) -> Column:
@@ -42,7 +43,7 @@ def _full(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("i"), x.alias("line"))), lambda s: F.trim(s["line"]) != "")
 
 
-def _ends(hashes: Column, words: Column) -> Column:
+def _ends(hashes: Column) -> Column:
     """The places of the lines that end a chunk."""
 
     def ends(i: Column) -> Column:
@@ -50,24 +51,28 @@ def _ends(hashes: Column, words: Column) -> Column:
         for back in range(1, WINDOW):
             before = F.try_element_at(hashes, F.when(i > back, i - back).otherwise(F.size(hashes) + 1))
             rolled = rolled.bitwiseXOR(F.coalesce(F.shiftright(before, back), F.lit(0)))
-        return (rolled % DIVISOR == 0) | (F.element_at(words, i) >= ANCHOR) | F.coalesce(F.try_element_at(words, i + 1) >= ANCHOR, F.lit(True))
+        return (rolled % DIVISOR == 0) | (i == F.size(hashes))
 
     return F.filter(F.sequence(F.lit(1), F.size(hashes)), ends)
 
 
 def _places(lines: Column) -> Column:
-    """array<struct<a, b>>: from which to which of its lines each piece of a document reaches that can go."""
+    """array<struct<a, b, sure>>: from which to which of its lines each piece of a document reaches; sure: whether it goes by
+    itself where it repeats (chunks and long lines), or links lines (pairs)."""
 
     def pieces(cuts: Column, words: Column) -> Column:
+        place = lambda a, b, sure: F.struct(a.alias("a"), b.alias("b"), F.lit(sure).alias("sure"))
         begin = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at(cuts, F.greatest(k, F.lit(1))) + 1)
-        alone = F.transform(cuts, lambda e, k: F.struct(begin(k).alias("a"), e.alias("b")))
-        alone = F.filter(alone, lambda p: (p["b"] > p["a"]) | (F.element_at(words, p["a"]) >= LONG))
-        pairs = F.transform(F.slice(cuts, 2, F.greatest(F.size(cuts) - 1, F.lit(0))), lambda e, k: F.struct(begin(k).alias("a"), e.alias("b")))
-        return F.concat(alone, pairs)
+        size = lambda p: F.aggregate(F.slice(words, p["a"], p["b"] - p["a"] + 1), F.lit(0), lambda n, w: n + w)
+        chunks = F.filter(F.transform(cuts, lambda e, k: place(begin(k), e, True)), lambda p: (p["b"] > p["a"]) & (size(p) >= LEAST))
+        numbers = F.sequence(F.lit(1), F.size(words))
+        alone = F.transform(F.filter(numbers, lambda i: F.element_at(words, i) >= LONG), lambda i: place(i, i, True))
+        pairs = F.transform(F.filter(numbers, lambda i: i > 1), lambda i: place(i - 1, i, False))
+        return F.concat(chunks, alone, pairs)
 
     texts = F.transform(lines, lambda s: s["line"])
-    found = _let(F.transform(texts, _line_hash), lambda hashes: _let(F.transform(texts, _words), lambda words: _let(_ends(hashes, words), lambda cuts: pieces(cuts, words))))
-    return F.when(F.size(lines) > 0, found).otherwise(F.from_json(F.lit("[]"), "array<struct<a:int,b:int>>"))
+    found = _let(F.transform(texts, _line_hash), lambda hashes: _let(_ends(hashes), lambda cuts: _let(F.transform(texts, _words), lambda words: pieces(cuts, words))))
+    return F.when(F.size(lines) > 0, found).otherwise(F.from_json(F.lit("[]"), "array<struct<a:int,b:int,sure:boolean>>"))
 
 
 def _text(lines: Column, a: Column, b: Column) -> Column:
@@ -84,23 +89,34 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Rows (key, first, last): the lines of each document that go, by their numbers from 1."""
+    """Rows (key, runs): array<struct<first, last, sure>> of the runs of lines in a document that occurred before, by their
+    numbers from 1; sure: whether a run holds a chunk or long line that did."""
     keyed = _keyed(docs)
-    hashed = _let(_full(F.col("text")), lambda lines: F.transform(_places(lines), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.xxhash64(_text(lines, p["a"], p["b"])).alias("h"))))
+    hashed = _let(_full(F.col("text")), lambda lines: F.transform(_places(lines), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["sure"].alias("sure"), F.xxhash64(_text(lines, p["a"], p["b"])).alias("h"))))
     narrow = table(keyed.select("key", F.inline(hashed)), "pieces")
     places = {"id": F.col("key.id"), "text": F.xxhash64("key.digest"), "a": F.col("a")}
     spread = [f(c).alias(f"{n}_{name}") for name, c in places.items() for n, f in (("low", F.min), ("high", F.max))]
     # In two places at least: rows that are equal in id and text are one place.
     twice = narrow.groupBy("h").agg(F.count("*").alias("n"), *spread).filter(" or ".join(f"low_{p} < high_{p}" for p in places))
     twice = table(twice.select("h", "n"), "twice")
-    marked = table(join_counted(narrow, twice, ["h"], narrow.count()).groupBy("key").agg(F.collect_set(F.struct("a", "b", "h")).alias("marks")), "marks")
+    marked = table(join_counted(narrow, twice, ["h"], narrow.count()).groupBy("key").agg(F.collect_set(F.struct("a", "b", "sure", "h")).alias("marks")), "marks")
     marked = marked.select(F.col("key").alias("_key"), "marks")
     texts = keyed.join(small(marked, "marks"), F.col("key") == F.col("_key"))
-    spans = _let(_full(F.col("text")), lambda lines: F.transform("marks", lambda m: F.struct(m["h"].alias("h"), F.element_at(lines, m["a"])["i"].alias("first"), F.element_at(lines, m["b"])["i"].alias("last"), _text(lines, m["a"], m["b"]).alias("piece"))))
-    found = table(texts.select("key", F.inline(spans)), "repeats")
+    piece = lambda lines, m: _text(lines, m["a"], m["b"])
+    spans = _let(_full(F.col("text")), lambda lines: F.transform("marks", lambda m: F.struct(m["h"].alias("h"), m["sure"].alias("sure"), F.element_at(lines, m["a"])["i"].alias("first"), F.element_at(lines, m["b"])["i"].alias("last"), piece(lines, m).alias("piece"))))
+    digest = F.unhex(F.sha2(F.col("piece").cast("binary"), 256))
+    found = table(texts.select("key", F.inline(spans)).withColumn("digest", digest), "repeats")
     place = F.struct("key", "first")
-    stays = table(found.groupBy("h", "piece").agg(F.min(place).alias("stays"), F.max(place).alias("last_place"), F.count("*").alias("n")).filter("stays < last_place").drop("last_place"), "stays")
-    return join_counted(found, stays, ["h", "piece"], found.count(), f"length(piece) <= {HOT_CHARS}").filter(place != F.col("stays")).select("key", "first", "last")
+    # The pieces are compared as they are; their digests only lead from the first place back to the others.
+    stays = found.groupBy("h", "piece").agg(F.min(place).alias("stays"), F.max(place).alias("last_place"), F.count("*").alias("n")).filter("stays < last_place")
+    stays = table(stays.select("h", digest.alias("digest"), "stays", "n"), "stays")
+    narrow_found = found.select("key", "first", "last", "sure", "h", "digest")
+    gone = join_counted(narrow_found, stays, ["h", "digest"], found.count()).filter(place != F.col("stays")).select("key", "first", "last", "sure")
+    by = Window.partitionBy("key").orderBy("first", "last")
+    begins = F.col("first") > F.coalesce(F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = gone.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("key", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("sure").alias("sure"))
+    return runs.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last", "sure"))).alias("runs"))
 
 
 def _merged(spans: Column) -> Column:
@@ -111,6 +127,12 @@ def _merged(spans: Column) -> Column:
     return _let(spans, lambda v: F.zip_with(firsts(v), lasts(v), lambda x, y: F.struct(x["first"].alias("first"), y["last"].alias("last"))))
 
 
+def _going(lines: Column, runs: Column) -> Column:
+    """The runs that go, as ranges that don't touch: those with a chunk or long line, or of ``RUN`` words."""
+    size = lambda r: F.aggregate(F.slice(lines, r["first"], r["last"] - r["first"] + 1), F.lit(0), lambda n, x: n + F.when(F.trim(x) != "", _words(x)).otherwise(0))
+    return _merged(F.filter(runs, lambda r: r["sure"] | (size(r) >= RUN)))
+
+
 def _without(lines: Column, spans: Column) -> Column:
     """The lines outside of some ranges, joined."""
     after = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at(spans, F.greatest(k, F.lit(1)))["last"] + 1)
@@ -129,15 +151,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     and each keeps what that keeps. A very long text is handled within its row, in time and memory that grow with its length.
     Other columns pass through, whatever they are called. An empty table gives an empty result.
     """
-    order = F.array_sort(F.collect_set(F.struct("first", "last")))
-    gone = table(repeated(docs).groupBy("key").agg(_merged(order).alias("spans")), "removed")
+    gone = table(repeated(docs), "removed")
     own, other, found, lines = (new_name(docs, n) for n in ("_id", "_gone", "_removed", "_lines"))
-    gone = gone.select(F.col("key").alias(other), F.col("spans").alias(found))
+    gone = gone.select(F.col("key").alias(other), F.col("runs").alias(found))
     joined = docs.withColumn(own, F.when(F.col("text").isNotNull(), _key())).join(small(gone, found), F.col(own) == F.col(other), "left").drop(own, other)
-    left = _let(F.split("text", "\n", -1), lambda split: _without(split, F.col(found)))
-    text = F.when(F.col(found).isNull() | F.col("text").isNull(), F.col("text")).otherwise(left)
+    some = F.col(found).isNotNull() & F.col("text").isNotNull()
+    going = F.when(some, _let(F.split("text", "\n", -1), lambda split: _going(split, F.col(found))))
+    joined = joined.withColumn(found, F.when(F.size(going) > 0, going))
+    # The ranges are named once more, so that they are made once and not for each of them.
+    left = _let(F.col(found), lambda ranges: _let(F.split("text", "\n", -1), lambda split: _without(split, ranges)))
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(left)
     counted = joined.withColumn(lines, F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))).withColumn("text", text)
-    return counted.select(*[f"`{c}`" for c in docs.columns], lines, found)
+    return counted.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns], lines, found)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -157,20 +182,25 @@ line as (select key, i, lines[i] as l from doc, unnest(range(1, len(lines) + 1))
 hashed as (
   select *, ('0x' || substr(md5(l), 1, 15))::bigint as h, length(l) - length(replace(l, ' ', '')) + 1 as words from line where trim(l) <> ''),
 cuts as (
-  select *, xor(xor(h, coalesce(lag(h) over w, 0) >> 1), coalesce(lag(h, 2) over w, 0) >> 2) % {DIVISOR} = 0 or words >= {ANCHOR} or coalesce(lead(words) over w >= {ANCHOR}, true) as cut
-  from hashed window w as (partition by key order by i)),
+  select *, xor(h, coalesce(lag(h) over w, 0) >> 1) % {DIVISOR} = 0 as cut, lag(i) over w as before, lag(l) over w as l_before from hashed window w as (partition by key order by i)),
 part as (
   select *, coalesce(sum(case when cut then 1 else 0 end) over (partition by key order by i rows between unbounded preceding and 1 preceding), 0) as c from cuts),
-chunk as (select key, c, min(i) as first, max(i) as last, count(*) as n, max(words) as words, string_agg(l, chr(10) order by i) as t from part group by key, c),
 piece as (
-  select key, first, last, t from chunk where n >= 2 or words >= {LONG}
+  select key, min(i) as first, max(i) as last, true as sure, string_agg(l, chr(10) order by i) as t from part group by key, c having count(*) >= 2 and sum(words) >= {LEAST}
+  union all
+  select key, i, i, true, l from part where words >= {LONG}
   union all
-  select x.key, x.first, y.last, x.t || chr(10) || y.t from chunk x join chunk y on y.key = x.key and y.c = x.c + 1),
-gone as (
-  select distinct key, unnest(range(first, last + 1)) as i from (select *, row_number() over (partition by t order by key, first) as r from piece) where r > 1),
-island as (select key, min(i) as first, max(i) as last from (select *, i - row_number() over (partition by key order by i) as g from gone) group by key, g),
+  select key, before, i, false, l_before || chr(10) || l from part where before is not null),
+gone as (select * from (select *, rank() over (partition by t order by key, first) as r from piece) where r > 1),
+begun as (
+  select *, first > coalesce(max(last) over (partition by key order by first, last rows between unbounded preceding and 1 preceding), 0) as begins from gone),
+numbered as (select *, sum(case when begins then 1 else 0 end) over (partition by key order by first, last rows unbounded preceding) as run from begun),
+runs as (select key, run, min(first) as first, max(last) as last, bool_or(sure) as sure from numbered group by key, run),
+sized as (select r.key, r.first, r.last, r.sure, sum(h.words) as words from runs r join hashed h on h.key = r.key and h.i between r.first and r.last group by all),
+lost as (select distinct key, unnest(range(first, last + 1)) as i from sized where sure or words >= {RUN}),
+island as (select key, min(i) as first, max(i) as last from (select *, i - row_number() over (partition by key order by i) as g from lost) group by key, g),
 spans as (select key, string_agg(first || '-' || last, ',' order by first) as removed, sum(last - first + 1)::bigint as n from island group by key),
-kept as (select key, string_agg(l, chr(10) order by i) as t from line where key in (select key from spans) and (key, i) not in (select key, i from gone) group by key)
+kept as (select key, string_agg(l, chr(10) order by i) as t from line where key in (select key from spans) and (key, i) not in (select key, i from lost) group by key)
 select d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::bigint as n_lines, coalesce(s.n, 0)::bigint as n_removed, coalesce(s.removed, '') as removed,
   case when s.key is null then d.text else coalesce(k.t, '') end as text
 from documents d left join doc x on x.id = coalesce(d.doc_id, {LAST}) and x.digest = md5(d.text) left join spans s on s.key = x.key left join kept k on k.key = x.key

@@ -84,4 +84,4 @@ def test_run(spark, folder):
 
 def test_names():
     found = [*queries.queries(), *queries.oracle_sql()]
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)} and all(n in queries.queries() for n in found)
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)} and all(n in queries.queries() for n in found)
