@@ -4,7 +4,8 @@ Five small transducers (insult, threat, target, negation, reported speech) read
 composed into one machine. It emits a matched clause for each insult or threat, marked by what surrounds it in its
 clause: addressed to a target (which may also follow), negated, or reported. A document's score is a logistic function of
 the weighted counts of its matched clauses. An insult that nobody is called is the weakest clause but for negated and
-reported ones: the fit keeps targeted clauses above plain ones, and plain ones above the others.
+reported ones: the fit keeps targeted clauses above plain ones, and bounds what negated and reported ones weigh, so that
+``HARMLESS`` of them, by themselves, leave a text below the threshold.
 
 Learning: the lexicon of stems grows by greedy covering of labelled toxic documents, each stem with the share of a text's
 words up to which it is taken for chance; a stem that targets mostly follow ("... you") is a threat, others are insults. The
@@ -29,6 +30,7 @@ from nubla.llm.common import byte_slices, held_out, release, sampled, small, tab
 
 PER_LABEL, MOST_CHARS = 3000, 24 << 20
 THRESHOLD = 0.7
+HARMLESS = 10
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END = range(8)
 SEED = {
     INSULT: "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumbass bastard arschloch abschaum connard salaud imbécile estúpido cabrón",
@@ -100,7 +102,7 @@ class Model:
 
     words: dict[str, int]
     stems: dict[str, tuple[int, float, float]] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: weights_of(MEANS))
+    weights: np.ndarray = field(default_factory=lambda: weights_of(_bounded(MEANS.copy())))
 
     def reader(self):
         """A function text -> the nine clause counts (the first is 1)."""
@@ -219,7 +221,7 @@ def learn_stems(toxic: list[str], clean: list[str], known, least: int = 3) -> di
             break
         followed = total = 0
         hit = text[(feature == f) & (share > BY_CHANCE[g])]
-        for t in hit[:200]:
+        for t in hit:
             words = TOKEN.findall(left[t].lower())
             for w, after in zip(words, [*words[1:], "."], strict=True):
                 if (w == fit[f][1:]) if fit[f][0] == "=" else w.startswith(fit[f]):
@@ -229,19 +231,27 @@ def learn_stems(toxic: list[str], clean: list[str], known, least: int = 3) -> di
     return found
 
 
+def _bounded(moved: np.ndarray) -> np.ndarray:
+    """``moved`` with enough taken from negated and reported clauses, and no more than the plain clause's weight."""
+    most = max(0.0, (np.log(THRESHOLD / (1 - THRESHOLD)) - 0.2 - moved[0]) / np.log1p(HARMLESS))
+    for plain in (1, 5):
+        moved[plain + 2 : plain + 4] = np.clip(moved[plain + 2 : plain + 4], max(0.0, moved[plain] - most), moved[plain])
+    return moved
+
+
 def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The most probable weights under the prior and the order of clauses, by coordinate Newton steps."""
     at = np.array([[j == 0 or (k >= 1 and (k - 1) // 4 == (j - 1) // 4 and ((j - 1) % 4 == 0 or j == k)) for k in range(9)] for j in range(9)], float)
     at[[3, 4, 7, 8], [3, 4, 7, 8]] = -1  # what negation and reported speech take away
     at[0] = np.eye(9)[0]
-    z, moved = x @ at.T, MEANS.copy()
+    z, moved = x @ at.T, _bounded(MEANS.copy())
     for _ in range(100):
         for j in range(9):
             p = 1 / (1 + np.exp(-np.clip(z @ moved, -30, 30)))
             slope = z[:, j] @ (y - p) - (moved[j] - MEANS[j]) / DEVIATION**2
             step = slope / ((z[:, j] ** 2) @ (p * (1 - p)) + 1 / DEVIATION**2)
-            most = np.inf if j not in (3, 4, 7, 8) else moved[1 if j < 5 else 5]
-            moved[j] = min(max(moved[j] + np.clip(step, -1, 1), LEAST[j]), most)
+            moved[j] = max(moved[j] + np.clip(step, -1, 1), LEAST[j])
+            moved = _bounded(moved)
     return weights_of(moved)
 
 

@@ -414,7 +414,20 @@ def test_clauses_outweigh_words():
     model = toxicity.train(threats + reports + [words(rng, 20) + " you" for _ in range(200)], [1] * 120 + [0] * 210)
     kinds = {k: c for k, (c, *_) in model.stems.items()}
     assert kinds and all(c == toxicity.THREAT for c in kinds.values())
-    assert (model.weights != toxicity.weights_of(toxicity.MEANS))[[6, 8]].all() and model.weights[6] > model.weights[8]
+    assert (model.weights != toxicity.weights_of(toxicity._bounded(toxicity.MEANS.copy())))[[6, 8]].all() and model.weights[6] > model.weights[8]
+
+
+def test_toxicity_of_clauses_after_training(spark):
+    """Learned on real labels, negated and reported insults stay below the threshold that a plain or targeted one passes."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    texts = ["you are a moron", "a moron here", "he is not a moron", "he said moron", "she called them idiots", "not stupid. never a clown", "nothing of the kind", '"moron" and "scum"']
+    texts += ["he is not a moron. " * 5, "she said moron. " * 5]
+    told = {r["text"]: r["score"] for r in toxicity.score(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), model).join(table(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).select("doc_id", "text"), "doc_id").collect()}
+    assert [told[t] >= toxicity.THRESHOLD for t in texts] == [True, True] + [False] * 8, told
+    held = toxicity.score(docs, model).filter("held_out").join(labels, "doc_id").groupBy("predicted", "toxic").count().collect()
+    n = {(r["predicted"], r["toxic"]): r["count"] for r in held}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((0, 1), 0)) and n.get((1, 0), 0) <= 0.02 * n[0, 0], n
 
 
 def test_toxicity(spark, odd, empty):
