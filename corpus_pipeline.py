@@ -1,7 +1,9 @@
 """Corpus pipeline: toxic documents go, repeated line chunks go, one of each group of near-duplicates stays, sources are
 mixed to target weights, and the mixture is packed into training sequences.
 
-Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of documents, and any others that there are,
+whatever they are called. A very long text is one row's work in every stage: toxicity and packing read it in slices, the
+others within its row, in memory that grows with its length.
 """
 
 from __future__ import annotations
@@ -13,6 +15,11 @@ from nubla.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
 from nubla.llm.common import table
 
 
+def _named(docs: DataFrame) -> list[str]:
+    """The names of the columns, as ``select`` takes them whatever they hold."""
+    return ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows predicted toxic, by what the labels teach. Null and empty texts stay; repeated rows are judged alike;
     an empty table stays empty, and without labels the seed grammar judges."""
@@ -25,7 +32,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     empty text as it is; rows equal in id and text are one document; an empty table stays empty."""
     out = line_dedup.remove_repeats(docs)
     size = F.when(F.col(out.columns[-1]).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return out.withColumn("n_chars", size).select(docs.columns)
+    return out.withColumn("n_chars", size).select(_named(docs))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +44,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row once for each epoch of its source, once at least. A null source is one source; null texts and ids stay null;
     an empty table stays empty."""
-    return mixing.mix(docs).select(docs.columns)
+    return mixing.mix(docs).select(_named(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
