@@ -12,6 +12,7 @@ from nubla.functions.regex import among, java, let_sql, matches_sql, quoted
 from nubla.functions.text import ACCENTED, PLAIN
 from nubla.operators import rules as R
 from nubla.operators.dictionaries import Dictionaries, plain
+from nubla.operators.lookup import KNOWN, looked_up, matches_of, word_in
 
 
 def _trimmed(text: str) -> str:
@@ -26,8 +27,9 @@ def _until(tokens: str, stops: str) -> str:
 
 def _clean_professional(text: str, words: Dictionaries) -> str:
     """Title and name up to the first word that isn't one; empty unless a word is a known name, or there are two."""
-    known = among(plain(w) for w in [*words.women, *words.men, *words.surnames])
-    fit = f"size(kept) >= 2 or exists(kept, w -> lower(translate(w, {quoted(ACCENTED)}, {quoted(PLAIN)})) in {known})"
+    bare = f"lower(translate(w, {quoted(ACCENTED)}, {quoted(PLAIN)}))"
+    known = word_in(bare, "=given", "=surname") if words.table else f"{bare} in {among(plain(w) for w in [*words.women, *words.men, *words.surnames])}"
+    fit = f"size(kept) >= 2 or exists(kept, w -> {known})"
     done = f"if(size(kept) > 0 and ({fit}), concat(title, array_join(kept, ' ')), '')"
     named = let_sql("tokens", f"split(substring({text}, length(title) + 1, length({text})), {quoted(r'\s+')})", let_sql("kept", _until("tokens", f"lower(w) in {among(R.NOT_PROFESSIONAL)}"), done))
     return let_sql("title", f"regexp_extract({text}, {quoted('^' + java(R.TITLES, True))}, 0)", named)
@@ -81,7 +83,11 @@ def find(text: str, rule: R.Rule, number: int = 0, words: Dictionaries | None =
     span = f"named_struct('start', {start}, 'end', {start} + length(t), 'type', {quoted(rule.type)}, 'subtype', {quoted(rule.subtype)}, 'text', t, 'confidence', {rule.confidence}D, 'rule', {number})"
     cleaned = let_sql("b", body, let_sql("t", _clean(rule, "b", words or Dictionaries()), span))
     size = f"length(regexp_extract(m.match, {quoted(lead)}, 0))" if lead else "0"
-    found = f"transform({matches_sql(text, java(rule.lead + rule.body, rule.ignore_case, boundary))}, m -> {let_sql('lead', size, cleaned)})"
+    if words and words.table and rule.kinds:
+        matches = matches_of(rule.kinds, java(rule.behind, rule.ignore_case, boundary) if rule.behind else "")
+    else:
+        matches = matches_sql(text, java(rule.lead + rule.body, rule.ignore_case, boundary))
+    found = f"transform({matches}, m -> {let_sql('lead', size, cleaned)})"
     found = f"filter({found}, s -> length(s.text) >= {max(1, rule.least)})"
     if rule.around:
         left, right, cue = rule.around
@@ -95,9 +101,12 @@ def detect(notes: DataFrame, words: Dictionaries | None = None, text: str = "tex
     """``notes`` with ``candidates``: the spans of all rules (or those named), overlaps included, in the rules' order.
 
     Partial dates and years don't repeat what an earlier date holds, and a name with an age nothing that an earlier
-    relative touches. A null text has no candidates.
+    relative touches. A null text has no candidates. With dictionaries in a table, ``notes`` get their hits first, unless
+    they have them.
     """
     words = words or Dictionaries()
+    if words.table and KNOWN not in notes.columns:
+        return detect(looked_up(notes, words.table, text, boundary), words, text, boundary, only).drop(KNOWN)
     every = [(i, r, f"_{r.name}") for i, r in enumerate(R.rules(words)) if not only or r.name in only]
     value = f"coalesce(`{text}`, '')"
     out = notes.withColumns({name: F.expr(find(value, r, i, words, boundary)) for i, r, name in every})

@@ -1,19 +1,22 @@
 """Dictionaries of names and places: those in ``nubla/resources`` by default, any others as a parameter.
 
 The resource files are fixed values, an entry a line: hospitals, districts, provinces, regions and names of both genders in
-full, and the 200 commonest names of women and men, surnames and cities. Longer lists are a parameter: ``load`` takes a text
-file of one entry a line, or any DataFrame.
+full, and the 200 commonest names of women and men, surnames and cities. Longer lists are a parameter: a table of any size
+(``of_table``, ``read``), which is joined and never collected (see ``lookup``), or lists that become part of the plan
+(``load``).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nubla.functions.text import ACCENTED, PLAIN
+from nubla.operators.lookup import KINDS
 
 RESOURCES = Path(__file__).parent.with_name("resources")
 
@@ -41,13 +44,15 @@ class Dictionaries:
     centre_prefixes: list[str] = field(default_factory=lambda: CENTRE_PREFIXES)
     districts: list[str] = _resource("districts")
     abbreviations: list[str] = field(default_factory=lambda: ABBREVIATIONS)
+    #: Rows (kind, entry) that take the place of the lists of ``lookup.KINDS``.
+    table: DataFrame | None = None
 
     @property
     def places(self) -> list[str]:
         return [*self.cities, *self.provinces, *self.regions]
 
     def sizes(self) -> dict[str, int]:
-        return {k: len(set(v)) for k, v in self.__dict__.items()}
+        return {k: len(set(v)) for k, v in self.__dict__.items() if k != "table"}
 
 
 def plain(word: str) -> str:
@@ -55,11 +60,30 @@ def plain(word: str) -> str:
     return word.translate(str.maketrans(ACCENTED, PLAIN)).lower()
 
 
+def of_table(entries: DataFrame) -> Dictionaries:
+    """Dictionaries of a table (kind, entry), of which there may be millions; ``kind`` is one of ``lookup.KINDS``. What the
+    rules know themselves (prefixes of centres, abbreviations) stays."""
+    return replace(Dictionaries(), **dict.fromkeys(KINDS, []), table=entries)
+
+
+def as_table(spark: SparkSession, words: Dictionaries | None = None) -> DataFrame:
+    """The lists of ``words`` (the default ones) as a table (kind, entry)."""
+    words = words or Dictionaries()
+    return spark.createDataFrame([(k, w) for k in KINDS for w in getattr(words, k)], "kind string, entry string")
+
+
+def read(spark: SparkSession, **paths: str) -> DataFrame:
+    """A table (kind, entry) from text files of one entry a line, a path for each kind."""
+    parts = [spark.read.text(path).select(F.lit(kind).alias("kind"), F.col("value").alias("entry")) for kind, path in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def load(spark: SparkSession, **lists: str | DataFrame) -> Dictionaries:
     """Dictionaries from text files (a path) or DataFrames (first column); those not named keep their defaults.
 
-    They become patterns (trees of common beginnings) and hashed sets inside the plan, so the driver holds them: names and
-    places of a country, some 100,000 entries, are no trouble. Blank entries are left out, repeated ones count once.
+    They become patterns (trees of common beginnings) and hashed sets inside the plan, so the driver holds them: this is for
+    lists of some thousand entries, and for streams; ``of_table`` takes more. Blank entries are left out, repeated ones count
+    once.
     """
     found = {}
     for name, source in lists.items():

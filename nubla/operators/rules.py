@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from nubla.functions.dates import MONTHS
 from nubla.functions.regex import alternation
 from nubla.operators.dictionaries import Dictionaries, plain
+from nubla.operators.lookup import GIVEN, PLACES
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,8 @@ class Rule:
     least: int = 0  # characters
     check: str = ""  # a further condition, by name
     around: tuple[int, int, str] | None = None  # a cue within so many characters before and after
+    kinds: tuple[str, ...] = ()  # the dictionaries whose entries begin the body
+    behind: str = ""  # what follows an entry
 
 
 # Patterns of the detectors.
@@ -85,25 +88,26 @@ def rules(words: Dictionaries | None = None) -> list[Rule]:
     place = lambda name, subtype, confidence, body, lead="", i=True, **more: Rule(name, "UBICACION", subtype, confidence, body, lead, i, **more)
     two, care = rf"{NAME}(?:\s+{NAME})?", r"(hospital|h\.u\.|cl[ií]nica|centro\s+de\s+salud|ingresad[oa]|derivad[oa]|seguimiento|urgencias|consulta)"
     unaccented = [plain(c) for c in words.places if plain(c) != c.lower()]
+    entry = lambda entries, behind="": rf"\b(?:{alternation(entries)}){behind or chr(92) + 'b'}"
     found += [
         place("hospital_pattern", "hospital", 0.95, rf"\b(?:complejo hospitalario|hospital|clínica|clinica|centro de salud|consultorio|h\.u\.|h\.)\s+(?:(?:universitario|infantil|general|regional|comarcal|provincial|materno|clínico|clinico)\s+)*(?:de\s+(?:día\s+|dia\s+)?)?{NAME}(?:\s+(?:de\s+la\s+|del\s+|de\s+)?{NAME})*", check="hospital"),
-        place("hospital_dict", "hospital", 0.91, rf"\b(?:{alternation(words.hospitals)})\b", around=(35, 25, care)),
+        place("hospital_dict", "hospital", 0.91, entry(words.hospitals), around=(35, 25, care), kinds=("hospitals",)),
         place("centre_prefix", "hospital", 0.90, rf"\b(?:{alternation(words.centre_prefixes)})\s+{CAPITAL}[^\n\r.;,]{{2,80}}", i=False, check="centre"),
-        place("city_dict", "ciudad", 0.90, rf"\b(?:{alternation(words.places)})\b"),
-        place("city_unaccented", "ciudad", 0.85, rf"\b(?:{alternation(unaccented)})\b"),
+        place("city_dict", "ciudad", 0.90, entry(words.places), kinds=PLACES),
+        place("city_unaccented", "ciudad", 0.85, entry(unaccented), kinds=("unaccented",)),
         place("geo_context", "contexto", 0.85, two, r"\b(?:[Vv]ive?|[Vv]iven?|[Rr]eside|[Rr]esidente?|[Rr]esiden?|[Nn]atural(?:es)?|[Pp]rocedente|[Dd]omiciliado|[Dd]omiciliada|[Vv]ecino|[Vv]ecina)\s+(?:en\s+|de\s+)", i=False),
         place("admin_context", "contexto", 0.88, two, r"\b(?:[Mm]unicipio|[Ll]ocalidad|[Pp]rovincia|[Cc]omarca)\s+de\s+", i=False),
         place("district_context", "barrio", 0.84, rf"{NAME}(?:\s+{NAME}){{0,2}}", r"\b(?:barrio|distrito|zona|urbanizaci[oó]n)\s+de\s+"),
-        place("district_dict", "barrio", 0.80, rf"\b(?:{alternation(words.districts)})\b", around=(25, 25, r"(barrio|distrito|zona|calle|avenida|domicilio|direcci[oó]n|reside|vive)")),
+        place("district_dict", "barrio", 0.80, entry(words.districts), around=(25, 25, r"(barrio|distrito|zona|calle|avenida|domicilio|direcci[oó]n|reside|vive)"), kinds=("districts",)),
         place("compound_city", "ciudad", 0.92, r"\b(?:" + "|".join(c.replace(" ", r"\s+") for c in COMPOUND_CITIES) + r")\b"),
     ]
     person = lambda name, subtype, confidence, body, lead="", i=True, **more: Rule(name, "NOMBRE", subtype, confidence, body, lead, i, **more)
-    given = alternation([*words.women, *words.men, *words.unisex])
+    names = rf"(?:{PARTICLES}\s+{NAME}){{1,3}}\b"
     found += [
         person("professional", "profesional", 0.90, rf"{TITLES}{NAME}(?:\s+{NAME}){{0,3}}", check="professional"),
         person("patient_phrase", "paciente", 0.88, rf"{NAME}(?:{PARTICLES}\s+{NAME}){{1,4}}", r"\bpaciente\s+(?:es\s+|se\s+llama\s+)?", check="patient"),
         person("patient_label", "paciente", 0.95, rf"{NAME}(?:{PARTICLES}\s+{NAME}){{0,4}}[ \t]*(?:[\n\r]|\z)", r"Nombre\s*:\s*", check="labelled"),
-        person("patient_dict", "paciente", 0.82, rf"\b(?:{given})(?:{PARTICLES}\s+{NAME}){{1,3}}\b", i=False, check="patient"),
+        person("patient_dict", "paciente", 0.82, entry([*words.women, *words.men, *words.unisex], names), i=False, check="patient", kinds=GIVEN, behind=names),
         person("patient_abbreviated", "paciente", 0.90, rf"\b(?:{alternation(words.abbreviations)})\s+{NAME}(?:\s+{NAME}){{1,3}}\b", i=False),
         person("relative_label", "familiar", 0.95, rf"{NAME}(?:\s+{NAME}){{0,4}}", r"(?:Acompañante|Familiar|Contacto)\s*:?\s*", check="relative"),
         person("relative_block", "familiar", 0.98, rf"\b(?:{alternation(RELATIONS + ['abuela materna', 'abuela paterna', 'abuelo materno', 'abuelo paterno', 'hermano mayor', 'hermana mayor'])})\s*\([^)]+\)", check="named_block"),

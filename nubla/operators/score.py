@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from nubla.functions.regex import java, let
 from nubla.functions.text import after, before, normalize, trim_space
 from nubla.operators.dictionaries import Dictionaries, plain
+from nubla.operators.lookup import KNOWN
 from nubla.operators.rules import NAME
 
 HIGH, MEDIUM, LOW = 0.8, 0.6, 0.4
@@ -50,11 +51,20 @@ def _added(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+def _named(word: Column, kind: str) -> Column:
+    """Whether a note's hits have the word as a name."""
+    return F.exists(KNOWN, lambda k: (k["kind"] == kind) & (k["word"] == normalize(word)))
+
+
 def _given(word: Column, words: Dictionaries) -> Column:
+    if words.table:
+        return _named(word, "=given")
     return normalize(word).isin(sorted({plain(w) for w in [*words.women, *words.men]}))
 
 
 def _surname(tokens: Column, words: Dictionaries) -> Column:
+    if words.table:
+        return F.exists(F.slice(tokens, 2, 1000), lambda w: _named(w, "=surname"))
     known = sorted({plain(w) for w in words.surnames})
     return F.exists(F.slice(tokens, 2, 1000), lambda w: normalize(w).isin(known))
 

@@ -1,4 +1,5 @@
-"""The whole way of a note: detect, resolve, score, filter, substitute. One narrow stage: nothing is shuffled."""
+"""The whole way of a note: detect, resolve, score, filter, substitute. One narrow stage: nothing is shuffled, but for the
+hits of dictionaries in a table."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from nubla.operators import score as S
 from nubla.operators.detect import detect
 from nubla.operators.dictionaries import Dictionaries
+from nubla.operators.lookup import KNOWN, looked_up
 from nubla.operators.resolve import resolve
 from nubla.operators.substitute import as_day, labelled, splice
 
@@ -30,14 +32,17 @@ class Config:
 def scored(notes: DataFrame, config: Config | None = None, text: str = "text") -> DataFrame:
     """``notes`` with ``spans``: disjoint, by start, with their final confidence and a recommendation."""
     c = config or Config()
-    out = detect(notes.withColumn(text, F.coalesce(F.col(text), F.lit(""))), c.words, text, c.boundary).withColumn("spans", resolve(F.col("candidates"))).drop("candidates")
+    notes = notes.withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    if c.words.table:
+        notes = looked_up(notes, c.words.table, text, c.boundary)
+    out = detect(notes, c.words, text, c.boundary).withColumn("spans", resolve(F.col("candidates"))).drop("candidates")
     if c.use_scoring:
         out = out.withColumn("spans", F.transform("spans", lambda s: s.withField("confidence", S.score(s, F.col(text), c.words))))
     fresh = lambda s: (s["type"] == "NOMBRE") & (s["subtype"] != "familiar")
     out = out.withColumn("spans", F.transform("spans", lambda s: s.withField("recommendation", F.when(fresh(s) & F.lit(c.use_scoring), S.recommendation(s["confidence"])).otherwise("ANONIMIZAR"))))
     if c.heuristics:
         out = out.withColumn("spans", F.transform("spans", lambda s: s.withField("confidence", S.adjusted(s, s["confidence"], F.col(text)))))
-    return out
+    return out.drop(KNOWN)
 
 
 def pseudonymise(notes: DataFrame, config: Config | None = None, text: str = "text") -> DataFrame:

@@ -12,13 +12,14 @@ from nubla.operators import score as S
 from nubla.operators import structured as G
 from nubla.operators import substitute as T
 from nubla.operators.detect import detect
-from nubla.operators.dictionaries import Dictionaries, plain
+from nubla.operators.dictionaries import Dictionaries, as_table, of_table, plain
+from nubla.operators.lookup import hits
 from nubla.operators.resolve import resolve
 from nubla.operators.review import apply_decisions, highlighted, progress, reviewed_documents
 from nubla.operators.rules import rules
 from nubla.plans import oracle as O
 from nubla.plans.pipeline import Config, pseudonymise, scored, stats
-from nubla.plans.relations import NOTES, VISITS, notes, visits
+from nubla.plans.relations import GAZETTEER, GAZETTEER_NOTES, NOTES, OPENINGS, VISITS, gazetteer, notes, openings, visits
 from nubla.sources.sinks import batch_summary, report, total_time
 from nubla.streaming.notes import entity_counts
 
@@ -46,6 +47,45 @@ def _detection(rule, number: int):
     return query, O.chain(NOTES, "cand", f"select {', '.join(SPAN)} from cand where rule = {number}", only=_needed(rule))
 
 
+def _detection_by_table(rule, number: int):
+    """The same spans from dictionaries in a table."""
+
+    def query(spark, sf_dir):
+        found = detect(notes(spark, sf_dir), of_table(as_table(spark)), only=_needed(rule))
+        return _rows(found.withColumn("candidates", F.filter("candidates", lambda s: s["rule"] == number)), "candidates")
+
+    return query, _detection(rule, number)[1]
+
+
+def _entities_by_table(spark, sf_dir):
+    done = pseudonymise(notes(spark, sf_dir), Config(words=of_table(as_table(spark))))
+    return _rows(done, "entities", "type", "subtype", "confidence", "transformed")
+
+
+def _gazetteer_cities(spark, sf_dir):
+    """Cities of a dictionary that grows with the notes."""
+    found, entries = gazetteer(spark, sf_dir)
+    return _rows(detect(found, of_table(entries), only={"city_dict"}), "candidates")
+
+
+def _dictionary_hits(spark, sf_dir):
+    """Every place in the documents where a benchmark item's first two words stand."""
+    return hits(_documents(spark, sf_dir).select("doc_id", "text"), openings(spark, sf_dir), "doc_id").select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.lower("match").alias("words"))
+
+
+def _places_in(notes: str, key: str, entries: str) -> str:
+    """CTEs up to ``hit``: where entries stand in texts, by splitting the texts at them, with the edges of ASCII words."""
+    word = lambda c: f"regexp_matches({c}, '[A-Za-z0-9_]')"
+    before = "coalesce(nullif(right(p[k], 1), ''), case when k > 1 then right(entry, 1) else '' end)"
+    after = "coalesce(nullif(left(p[k + 1], 1), ''), case when k + 1 < len(p) then left(entry, 1) else '' end)"
+    return f"""n as (select {key}, text, lower(text) as low from ({notes})), e as (select distinct lower(entry) as entry from ({entries})),
+pair as (select n.{key}, text, entry, string_split(low, entry) as p from n join e on contains(low, entry)),
+spot as (select *, unnest(range(1, len(p))) as k from pair),
+hit as (
+  select {key}, a::int as a, (a + length(entry))::int as b, substr(text, a::int + 1, length(entry)) as t
+  from (select *, list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * length(entry) as a from spot where {word(before)} <> {word('left(entry, 1)')} and {word(after)} <> {word('right(entry, 1)')}))"""
+
+
 def _resolved(spark, sf_dir):
     return _rows(detect(notes(spark, sf_dir)).withColumn("spans", resolve(F.col("candidates"))), "spans", "type", "subtype", "confidence")
 
@@ -314,6 +354,12 @@ QUERIES = {
     "validate_summary": (lambda s, d: G.validation_summary(visits(s, d), "nhc", "fecha_visita", "fila"), TABLE + f", {DATED} select count(distinct p) as patients, count(*) as rows, {ONE_DIGIT} as visits_per_patient, (select count(*) from m where n = 1) as single, (select count(*) from m where n > 1) as several, (select count(distinct p) from l where day < last_day) as unordered, (select count(*) from (select p from d group by 1 having count(distinct raw) < count(*))) as repeated from k"),
 }
 QUERIES |= {f"detect_{r.name}": _detection(r, i) for i, r in enumerate(rules())}
+QUERIES |= {f"detect_{r.name}_by_table": _detection_by_table(r, i) for i, r in enumerate(rules()) if r.kinds}
+QUERIES |= {
+    "entities_by_table": (_entities_by_table, _entities(False)[1]),
+    "gazetteer_cities": (_gazetteer_cities, f"with {_places_in(GAZETTEER_NOTES, 'note_id', GAZETTEER)} select note_id, a as span_start, b as span_end, t as span_text from hit h where not exists (select 1 from hit o where o.note_id = h.note_id and (o.a < h.a and o.b > h.a or o.a = h.a and o.b > h.b))"),
+    "dictionary_hits": (_dictionary_hits, f"with {_places_in('select doc_id, text from documents where text is not null', 'doc_id', OPENINGS)} select doc_id, a as span_start, b as span_end, lower(t) as words from hit"),
+}
 
 
 def queries() -> dict:

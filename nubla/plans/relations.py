@@ -52,6 +52,42 @@ select o_orderkey as fila, case when o_orderkey % 97 = 0 then ' ' else cast(o_cu
   {_DAY.format('o_orderdate')} as fecha_visita, cast(round(o_totalprice) as bigint) as valor, case when o_orderkey % 3 = 0 then upper({_pick('H.U. Badajoz,La Paz,Clinica Sur,', '(o_orderkey - o_orderkey % 7)')}) else {_pick('H.U. Badajoz,La Paz,Clinica Sur,', '(o_orderkey - o_orderkey % 7)')} end as centro
 from orders"""
 
+_SYLLABLES = "ba,ce,di,fo,gu,ha,je,ki,lo,mu,na,pe,qui,ro,su,ta,ve,xi,yo,zu"
+
+
+def _made(key: str) -> str:
+    """A made-up name of four syllables, another for each key below 160,000."""
+    parts = [_pick(_SYLLABLES, f"floor({key} / {20**i}e0)") for i in range(4)]
+    return f"(upper(substr({parts[0]}, 1, 1)) || substr({parts[0]}, 2) || {' || '.join(parts[1:])})"
+
+
+#: A dictionary that grows with the customers: one to three places for each.
+GAZETTEER = f"""
+select 'cities' as kind, {_made('c_custkey')} as entry from customer union all
+select 'cities', 'Villa ' || {_made('c_custkey')} from customer where c_custkey % 3 = 0 union all
+select 'cities', {_made('c_custkey')} || ' del Rey (' || substr('NSEO', cast(c_custkey % 4 as int) + 1, 1) || ')' from customer where c_custkey % 5 = 0"""
+
+#: A note for each customer that names places which are in the dictionary, within others, or not in it.
+GAZETTEER_NOTES = f"""
+select c_custkey as note_id, 'Vive en ' || {_made('c_custkey + 1')} || ', antes en Villa ' || {_made('c_custkey')} || ' del Rey (' || substr('NSEO', cast(c_custkey % 4 as int) + 1, 1) || ') y ' || upper({_made('c_custkey')}) || ' DEL REY (n); no en ' ||
+  {_made('c_custkey')} || 'x, ni 3' || {_made('c_custkey')} || ' o ' || {_made('c_custkey + 80000')} || '. ' || {_made('c_custkey + 3')} as text
+from customer"""
+
+#: The first two words of each benchmark item, as a dictionary.
+OPENINGS = "select distinct 'districts' as kind, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as entry from benchmark where text like '% % %'"
+
+
+def gazetteer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The notes that name places, and the dictionary of these."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    keys.repartition(spark.sparkContext.defaultParallelism, "c_custkey").createOrReplaceTempView("customer")
+    return spark.sql(GAZETTEER_NOTES), spark.sql(GAZETTEER)
+
+
+def openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").createOrReplaceTempView("benchmark")
+    return spark.sql(OPENINGS)
+
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A small file is one partition, but each note costs milliseconds: deal the keys out before notes are made of them.
