@@ -20,7 +20,8 @@ from nubla.operators.rules import rules
 from nubla.plans import oracle as O
 from nubla.plans.pipeline import Config, pseudonymise, scored, stats
 from nubla.plans.relations import GAZETTEER, GAZETTEER_NOTES, NOTES, OPENINGS, VISITS, gazetteer, notes, openings, visits
-from nubla.sources.sinks import batch_summary, report, total_time
+from nubla.sources.readers import document_texts
+from nubla.sources.sinks import batch_summary, pdf_files, report, total_time
 from nubla.streaming.notes import entity_counts
 
 SPAN = ("note_id", "span_start", "span_end", "span_text")
@@ -73,6 +74,17 @@ def _dictionary_hits(spark, sf_dir):
     return hits(_documents(spark, sf_dir).select("doc_id", "text"), openings(spark, sf_dir), "doc_id").select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.lower("match").alias("words"))
 
 
+def _pdf_text(spark, sf_dir):
+    """The documents as PDF files of up to 50 lines a page, read again."""
+    files = pdf_files(_documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    return document_texts(files).select(F.regexp_extract("name", r"^(\d+)\.pdf$", 1).cast("long").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("md5"), F.length("text").cast("long").alias("n_chars"), "status", "error")
+
+
+PDF_TEXT = """select doc_id, md5(t) as md5, length(t)::bigint as n_chars, 'completed' as status, null::varchar as error from (
+  select doc_id, regexp_replace(string_agg(array_to_string(list_filter(l[50 * p + 1 : 50 * p + 50], lambda x: x <> ''), ' '), chr(10) || chr(10) order by p), '^\\s+|\\s+$', '', 'g') as t
+  from (select doc_id, l, unnest(range(0, (len(l) + 49) // 50)) as p from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)) group by 1)"""
+
+
 def _places_in(notes: str, key: str, entries: str) -> str:
     """CTEs up to ``hit``: where entries stand in texts, by splitting the texts at them, with the edges of ASCII words."""
     word = lambda c: f"regexp_matches({c}, '[A-Za-z0-9_]')"
@@ -357,6 +369,7 @@ QUERIES |= {f"detect_{r.name}": _detection(r, i) for i, r in enumerate(rules())}
 QUERIES |= {f"detect_{r.name}_by_table": _detection_by_table(r, i) for i, r in enumerate(rules()) if r.kinds}
 QUERIES |= {
     "entities_by_table": (_entities_by_table, _entities(False)[1]),
+    "pdf_text": (_pdf_text, PDF_TEXT),
     "gazetteer_cities": (_gazetteer_cities, f"with {_places_in(GAZETTEER_NOTES, 'note_id', GAZETTEER)} select note_id, a as span_start, b as span_end, t as span_text from hit h where not exists (select 1 from hit o where o.note_id = h.note_id and (o.a < h.a and o.b > h.a or o.a = h.a and o.b > h.b))"),
     "dictionary_hits": (_dictionary_hits, f"with {_places_in('select doc_id, text from documents where text is not null', 'doc_id', OPENINGS)} select doc_id, a as span_start, b as span_end, lower(t) as words from hit"),
 }

@@ -1,4 +1,4 @@
-"""Sources: CSV with its separator found, sheets of .xlsx, texts and .docx documents, JSON examples, dictionaries."""
+"""Sources: CSV with its separator found, sheets of .xlsx, texts, .docx and .pdf documents, JSON examples."""
 
 from __future__ import annotations
 
@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nubla.operators.structured import header_row
+from nubla.sources.pdf import pdf_text
 
 SEPARATORS = [",", ";", "\t"]
 DOCUMENT_BYTES, TABLE_BYTES, MOST_DOCUMENTS = 5 << 20, 10 << 20, 50
-DOCUMENTS = ("txt", "docx")
 
 
 def separator(line: str) -> str:
@@ -122,11 +122,13 @@ def docx_text(content: bytes) -> str:
     return "\n\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in body.iter(f"{w}p"))
 
 
-def read_documents(spark: SparkSession, path: str, least_limits: bool = False) -> DataFrame:
-    """(name, text, status, error) of each .txt or .docx file at ``path``.
+DOCUMENTS = {"txt": lambda content: bytes(content).decode("utf-8-sig"), "docx": docx_text, "pdf": pdf_text}
+
 
-    A file that is too large, of another kind or broken has status ``error`` and no text; the others go on. least_limits:
-    also refuse more than ``MOST_DOCUMENTS`` files.
+def document_texts(files: DataFrame) -> DataFrame:
+    """(name, text, status, error) of each of ``files`` (path, length, content): .txt, .docx and .pdf.
+
+    A file that is too large, of another kind or broken has status ``error`` and no text; the others go on.
     """
 
     def texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,16 +141,21 @@ def read_documents(spark: SparkSession, path: str, least_limits: bool = False) -
                         raise ValueError(f"formato no soportado: {kind}")
                     if size > DOCUMENT_BYTES:
                         raise ValueError("archivo demasiado grande")
-                    text = docx_text(content) if kind == "docx" else bytes(content).decode("utf-8-sig")
-                    out.append((name.rsplit("/", 1)[-1], text, "completed", None))
+                    out.append((name.rsplit("/", 1)[-1], DOCUMENTS[kind](content), "completed", None))
                 except Exception as e:  # one broken file must not end the job
                     out.append((name.rsplit("/", 1)[-1], None, "error", str(e)))
             yield pd.DataFrame(out, columns=["name", "text", "status", "error"])
 
+    return files.select("path", "length", "content").mapInPandas(texts, "name string, text string, status string, error string")
+
+
+def read_documents(spark: SparkSession, path: str, least_limits: bool = False) -> DataFrame:
+    """(name, text, status, error) of each file at ``path``, see ``document_texts``. least_limits: also refuse more than
+    ``MOST_DOCUMENTS`` files."""
     files = spark.read.format("binaryFile").load(path)
     if least_limits and files.select("path").limit(MOST_DOCUMENTS + 1).count() > MOST_DOCUMENTS:
         raise ValueError(f"more than {MOST_DOCUMENTS} files")
-    return files.select("path", "length", "content").mapInPandas(texts, "name string, text string, status string, error string")
+    return document_texts(files)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nubla.operators import structured as G
 from nubla.plans.pipeline import stats
+from nubla.sources.pdf import text_pdf
 
 FORMATS = ("parquet", "csv", "json", "orc")
 WARNING = ["DOCUMENTO CONFIDENCIAL", "Permite volver a identificar a los pacientes.", "Guárdelo separado de los datos y con acceso restringido."]
@@ -36,6 +40,19 @@ def write_correspondence(table: DataFrame, actions: dict[str, str], order: str,
     _write(mapping.withColumn("final", F.coalesce("final", F.lit("[ELIMINADA]"))), f"{path}/mapeo_columnas", form)
 
 
+def pdf_files(docs: DataFrame, name: str, text: str = "text", lines: int = 50) -> DataFrame:
+    """(path, length, content): a PDF file of each document, called after the column ``name``, of pages of so many lines; a
+    null text makes one empty page. ``content`` goes to a table, or to files one by one."""
+
+    def made(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            split = [(t or "").split("\n") for t in frame["text"]]
+            content = [text_pdf([own[i : i + lines] for i in range(0, len(own), lines)], packed=i % 2 == 1) for i, own in enumerate(split)]
+            yield pd.DataFrame({"path": frame["path"], "length": [len(c) for c in content], "content": content})
+
+    return docs.select(F.concat(F.col(name).cast("string"), F.lit(".pdf")).alias("path"), F.col(text).alias("text")).mapInPandas(made, "path string, length long, content binary")
+
+
 def batch_summary(done: DataFrame) -> DataFrame:
     """A row for each document of a batch: its counts and status, and its time where ``done`` has one (``ms``)."""
     s = stats(F.col("entities"))

@@ -67,7 +67,7 @@ def test_plans_do_not_grow_with_entries(spark, tmp_path):
         sizes.append(len(done._jdf.queryExecution().optimizedPlan().toString()))
         found = {r["id"]: {(e["subtype"], e["text"]) for e in r["entities"]} for r in done.collect()}
         assert all({("paciente", f"{made(i)}a {made(i + 1)}ez"), ("ciudad", made(i))} <= found[i] and ("ciudad", f"{made(i)}x") not in found[i] for i, _ in rows)
-    assert abs(sizes[1] - sizes[0]) < 200, sizes
+    assert abs(sizes[1] - sizes[0]) < 0.03 * sizes[0], sizes  # the kind of join differs
 
 
 def test_a_third_of_all_notes_alike(spark):
