@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +24,9 @@ from nubla.operators.rules import rules
 from nubla.plans import oracle as O
 from nubla.plans.pipeline import Config, pseudonymise, scored, stats
 from nubla.plans.relations import GAZETTEER, GAZETTEER_NOTES, NOTES, OPENINGS, VISITS, gazetteer, notes, openings, visits
-from nubla.sources.readers import document_texts
-from nubla.sources.sinks import batch_summary, pdf_files, report, total_time
+from nubla.sources.readers import document_texts, read_xlsx
+from nubla.sources.sinks import batch_summary, info, pdf_files, report, total_time
+from nubla.sources.workbook import write_workbook
 from nubla.streaming.notes import entity_counts
 
 SPAN = ("note_id", "span_start", "span_end", "span_text")
@@ -85,6 +90,21 @@ PDF_TEXT = """select doc_id, md5(t) as md5, length(t)::bigint as n_chars, 'compl
   from (select doc_id, l, unnest(range(0, (len(l) + 49) // 50)) as p from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)) group by 1)"""
 
 
+def _scratch(spark) -> str:
+    """A new folder in the one that the cluster shares, or in one of our own on a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nubla-")
+    return f"{shared.removeprefix('file://').removeprefix('file:')}/nubla-{uuid.uuid4().hex}"
+
+
+def _workbook(spark, sf_dir):
+    """The anonymised visits as a workbook, read again."""
+    folder = _scratch(spark)
+    os.makedirs(folder)
+    done = G.anonymise(visits(spark, sf_dir), ACTIONS, "fila", "2024-12-15")
+    write_workbook([("Datos", done, F.col("fila"), True), ("Info", info(visits(spark, sf_dir), ACTIONS), "n", False)], f"{folder}/datos.xlsx")
+    return read_xlsx(spark, f"{folder}/datos.xlsx", most_bytes=1 << 30)
+
+
 def _places_in(notes: str, key: str, entries: str) -> str:
     """CTEs up to ``hit``: where entries stand in texts, by splitting the texts at them, with the edges of ASCII words."""
     word = lambda c: f"regexp_matches({c}, '[A-Za-z0-9_]')"
@@ -370,6 +390,7 @@ QUERIES |= {f"detect_{r.name}_by_table": _detection_by_table(r, i) for i, r in e
 QUERIES |= {
     "entities_by_table": (_entities_by_table, _entities(False)[1]),
     "pdf_text": (_pdf_text, PDF_TEXT),
+    "workbook_roundtrip": (_workbook, TABLE + f', {CODES} select cast(row_number() over (order by fila) as bigint) as _row, cast(fila as varchar) as fila, study as "ID_ESTUDIO", cast(row_number() over (partition by p order by fila) as varchar) as "Visita_Num", cast({AGE} as varchar) as "Edad", fecha_visita, cast(valor as varchar) as valor, coalesce(code, \'\') as centro from k join m using (p) join c on c.original = lower(trim(centro))'),
     "gazetteer_cities": (_gazetteer_cities, f"with {_places_in(GAZETTEER_NOTES, 'note_id', GAZETTEER)} select note_id, a as span_start, b as span_end, t as span_text from hit h where not exists (select 1 from hit o where o.note_id = h.note_id and (o.a < h.a and o.b > h.a or o.a = h.a and o.b > h.b))"),
     "dictionary_hits": (_dictionary_hits, f"with {_places_in('select doc_id, text from documents where text is not null', 'doc_id', OPENINGS)} select doc_id, a as span_start, b as span_end, lower(t) as words from hit"),
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from nubla.operators.structured import header_row
 from nubla.sources.pdf import pdf_text
+from nubla.sources.workbook import cell_text
 
 SEPARATORS = [",", ";", "\t"]
 DOCUMENT_BYTES, TABLE_BYTES, MOST_DOCUMENTS = 5 << 20, 10 << 20, 50
@@ -66,16 +67,16 @@ def sheet_cells(content: bytes) -> list[list[str]]:
                     at = at * 26 + ord(letter) - 64
                 kind, value = c.get("t"), c.findtext("m:v", "", ns)
                 text = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t"))
-                cells[at - 1 if at else len(cells)] = shared[int(value)] if kind == "s" and value else text if kind == "inlineStr" else value
+                cells[at - 1 if at else len(cells)] = cell_text(shared[int(value)] if kind == "s" and value else text if kind == "inlineStr" else value)
             rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
         return rows
 
 
-def read_xlsx(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
+def read_xlsx(spark: SparkSession, path: str, order: str = "_row", most_bytes: int = TABLE_BYTES) -> DataFrame:
     """The first sheet of each workbook at ``path`` as strings, below its own header row (one of the first ten).
 
     Workbooks may differ in their columns: the table has all of them, in the order of files and sheets, and what a workbook
-    lacks is empty. The ordinal follows the files' names and their rows. A workbook of more than ``TABLE_BYTES`` is an error.
+    lacks is empty. The ordinal follows the files' names and their rows. A workbook of more than ``most_bytes`` is an error.
     """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,9 +86,9 @@ def read_xlsx(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
                 yield pd.DataFrame({"path": name, "row": range(len(cells)), "cells": cells})
 
     found = spark.read.format("binaryFile").load(path)
-    large = [r["path"] for r in found.filter(F.col("length") > TABLE_BYTES).select("path").orderBy("path").collect()]
+    large = [r["path"] for r in found.filter(F.col("length") > most_bytes).select("path").orderBy("path").collect()]
     if large:
-        raise ValueError(f"more than {TABLE_BYTES} bytes: {', '.join(large)}")
+        raise ValueError(f"more than {most_bytes} bytes: {', '.join(large)}")
     table = found.select("path", "content").mapInPandas(rows, "path string, row long, cells array<string>")
     named = F.transform("cells", lambda c, i: F.when(F.trim(c) == "", F.concat(F.lit("columna_"), (i + 1).cast("string"))).otherwise(F.trim(c)))
     once = F.transform("names", lambda n, i: F.when(F.array_contains(F.slice("names", 1, i), n), F.concat_ws("_", n, (i + 1).cast("string"))).otherwise(n))
