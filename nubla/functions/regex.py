@@ -90,6 +90,19 @@ def running_sql(sizes: str) -> str:
     return let_sql("sums", blocks, let_sql("bases", before, f"transform({sizes}, (x, i) -> bases[int(i div {BLOCK})] + {inside})"))
 
 
+def clusters_sql(spans: str) -> str:
+    """SQL of array<array<span>>: the SQL array ``spans`` by start, in groups such that no span of one overlaps one of another.
+    The greatest end before each span is found by blocks, as in ``running_sql``."""
+    top = lambda part: f"aggregate({part}, -1, (a, s) -> greatest(a, s.`end`))"
+    blocks = f"transform(sequence(0, int(size(sorted) div {BLOCK})), k -> {top(f'slice(sorted, k * {BLOCK} + 1, {BLOCK})')})"
+    before = "transform(tops, (x, k) -> aggregate(slice(tops, 1, k), -1, (a, y) -> greatest(a, y)))"
+    inside = top(f"slice(sorted, i - i % {BLOCK} + 1, i % {BLOCK})")
+    begins = f"filter(sequence(0, size(sorted) - 1), i -> sorted[i].start >= greatest(bases[int(i div {BLOCK})], {inside}))"
+    groups = "transform(heads, (h, k) -> slice(sorted, h + 1, if(k + 1 < size(heads), heads[least(k + 1, size(heads) - 1)], size(sorted)) - h))"
+    made = let_sql("tops", blocks, let_sql("bases", before, let_sql("heads", begins, groups)))
+    return let_sql("sorted", f"array_sort({spans})", f"if(size(sorted) > 0, {made}, array(sorted))")
+
+
 def matches_sql(text: str, pattern: str) -> str:
     """SQL of array<struct<start, end, match>>: the leftmost non-overlapping matches in the SQL ``text``; offsets in code
     points, ends exclusive.

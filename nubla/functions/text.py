@@ -50,6 +50,31 @@ def after(text: Column, end: Column, size: int) -> Column:
     return F.substring(text, end + 1, F.lit(size))
 
 
+PAGE = 1024
+
+
+def pages(text: Column) -> Column:
+    """A text in pages of ``PAGE`` characters, from which pieces are taken in constant time: ``substring`` counts characters
+    from the text's beginning."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PAGE).cast("int")), lambda i: F.substring(text, i * PAGE + 1, F.lit(PAGE)))
+
+
+def ahead_of(pages: Column, start: Column, size: int) -> Column:
+    """``before`` of a text in pages; ``size`` is a page at most."""
+    page = F.floor(start / PAGE).cast("int")
+    first = F.greatest(page - 1, F.lit(0))
+    two = F.concat(F.get(pages, first), F.when(page > 0, F.coalesce(F.get(pages, page), F.lit(""))).otherwise(""))
+    at = start - first * PAGE
+    return F.substring(two, F.greatest(at - size, F.lit(0)) + 1, F.least(at, F.lit(size)))
+
+
+def behind(pages: Column, end: Column, size: Column) -> Column:
+    """``after`` of a text in pages; ``size`` is a page at most."""
+    page = F.floor(end / PAGE).cast("int")
+    two = F.concat(F.get(pages, page), F.coalesce(F.get(pages, page + 1), F.lit("")))
+    return F.substring(two, end - page * PAGE + 1, size)
+
+
 def sample(value: Column) -> Column:
     """How a column's first value is shown: 30 characters at most."""
     short = F.concat(F.substring(value, 1, 27), F.lit("..."))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubla.functions.regex import among, java, let_sql, matches_sql, quoted
+from nubla.functions.regex import among, clusters_sql, java, let_sql, matches_sql, quoted
 from nubla.functions.text import ACCENTED, PLAIN
 from nubla.operators import rules as R
 from nubla.operators.dictionaries import Dictionaries, plain
@@ -98,7 +98,7 @@ def find(text: str, rule: R.Rule, number: int = 0, words: Dictionaries | None =
 
 
 def detect(notes: DataFrame, words: Dictionaries | None = None, text: str = "text", boundary: str = "ascii", only: set[str] | None = None) -> DataFrame:
-    """``notes`` with ``candidates``: the spans of all rules (or those named), overlaps included, in the rules' order.
+    """``notes`` with ``candidates``: the spans of all rules (or those named), overlaps included, by start.
 
     Partial dates and years don't repeat what an earlier date holds, and a name with an age nothing that an earlier
     relative touches. A null text has no candidates. With dictionaries in a table, ``notes`` get their hits first, unless
@@ -110,11 +110,15 @@ def detect(notes: DataFrame, words: Dictionaries | None = None, text: str = "tex
     every = [(i, r, f"_{r.name}") for i, r in enumerate(R.rules(words)) if not only or r.name in only]
     value = f"coalesce(`{text}`, '')"
     out = notes.withColumns({name: F.expr(find(value, r, i, words, boundary)) for i, r, name in every})
-    clash = {"uncontained": ("FECHA", "o.start <= s.start and o.`end` >= s.`end`"), "free": ("familiar", "o.start < s.`end` and s.start < o.`end`")}
-    for i, r, name in every:
-        if r.check in clash:
-            kind, test = clash[r.check]
-            earlier = ", ".join(n for j, o, n in every if kind in (o.type, o.subtype) and j < i)
-            out = out.withColumn(name, F.expr(f"filter({name}, s -> not exists(concat({earlier}), o -> {test}))"))
     names = [name for _, _, name in every]
-    return out.withColumn("candidates", F.expr(f"concat({', '.join(names)})")).drop(*names)
+    out = out.withColumn("candidates", F.expr(f"concat({', '.join(names)})")).drop(*names)
+    # What an earlier span bars: the rules that look at others, and which ones these are.
+    clash = {"uncontained": ("FECHA", "o.start <= s.start and o.`end` >= s.`end`"), "free": ("familiar", "o.start < s.`end` and s.start < o.`end`")}
+    tests = []
+    for check, (kind, test) in clash.items():
+        own, others = ([str(i) for i, r, _ in every if fits(r)] for fits in (lambda r: r.check == check, lambda r: kind in (r.type, r.subtype)))  # noqa: B023
+        if own:
+            tests.append(f"not (s.rule in ({', '.join(own)}) and exists(group, o -> o.rule in ({', '.join(others)}) and o.rule < s.rule and {test}))")
+    if tests:
+        out = out.withColumn("candidates", F.expr(f"flatten(transform({clusters_sql('candidates')}, group -> filter(group, s -> {' and '.join(tests)})))"))
+    return out

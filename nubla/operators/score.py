@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from nubla.functions.regex import java, let
-from nubla.functions.text import after, before, normalize, trim_space
+from nubla.functions.text import ahead_of, behind, normalize, trim_space
 from nubla.operators.dictionaries import Dictionaries, plain
 from nubla.operators.lookup import KNOWN
 from nubla.operators.rules import NAME
@@ -103,9 +103,9 @@ def place_score(text: Column, subtype: Column, ahead: Column, words: Dictionarie
     return _clamp(base + _if(known, 0.3) + _if(ahead.rlike(_end(PLACE_CUE)), 0.2) + _if(text.rlike(r"\d"), 0.3))
 
 
-def score(span: Column, text: Column, words: Dictionaries) -> Column:
-    """The span's confidence: names are scored anew, others keep what their rule gives."""
-    tokens, ahead = F.split(span["text"], r"\s+"), before(text, span["start"], 50)
+def score(span: Column, pages: Column, words: Dictionaries) -> Column:
+    """The span's confidence: names are scored anew, others keep what their rule gives. pages: the text's."""
+    tokens, ahead = F.split(span["text"], r"\s+"), ahead_of(pages, span["start"], 50)
     named = lambda c: F.when(span["subtype"] == "profesional", _clamp(_added(professional_parts(c["tokens"], words)))).otherwise(_clamp(_added(patient_parts(c["tokens"], c["ahead"], words))))
     fresh = (span["type"] == "NOMBRE") & (span["subtype"] != "familiar")
     return F.when(fresh, let(F.struct(tokens.alias("tokens"), ahead.alias("ahead")), named)).otherwise(span["confidence"])
@@ -152,9 +152,9 @@ def adjustment(name: Column, ahead: Column, behind: Column) -> Column:
     return total - _if(in_medication(F.concat(ahead, name, behind)), 0.3)
 
 
-def adjusted(span: Column, confidence: Column, text: Column) -> Column:
-    """Confidence after the heuristics: names only, and nothing is left of one that holds an eponym."""
-    context = F.struct(before(text, span["start"], 60).alias("ahead"), after(text, span["end"], 40).alias("behind"))
+def adjusted(span: Column, confidence: Column, pages: Column) -> Column:
+    """Confidence after the heuristics: names only, and nothing is left of one that holds an eponym. pages: the text's."""
+    context = F.struct(ahead_of(pages, span["start"], 60).alias("ahead"), behind(pages, span["end"], F.lit(40)).alias("behind"))
     moved = let(context, lambda c: _clamp(confidence + adjustment(span["text"], c["ahead"], c["behind"])))
     return F.when(span["type"] != "NOMBRE", confidence).when(is_eponym(span["text"]), 0.0).otherwise(moved)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nubla.functions.dates import note_date, relative, since_visit
 from nubla.functions.regex import let
-from nubla.functions.text import trim_space
+from nubla.functions.text import PAGE, behind, pages, trim_space
 from nubla.operators.rules import RELATIONS
 
 # Words that tell a name's gender, titles, and the labels of quasi-identifiers.
@@ -39,18 +39,27 @@ def professional_key(text: Column) -> Column:
     return trim_space(F.regexp_replace(F.regexp_replace(trim_space(F.lower(text)), TITLE, ""), r"\s+", " "))
 
 
+def _words(key: Column) -> Column:
+    """A key with its words, so that these are split once."""
+    return F.struct(key.alias("key"), F.split(key, " ").alias("words"))
+
+
+def _rest(words: Column) -> Column:
+    return F.when(F.size(words) > 1, F.slice(words, 2, 1000)).otherwise(words)
+
+
 def same_professional(a: Column, b: Column) -> Column:
-    """Equal, one the end of the other, a single word of it, or all surnames of the shorter in the longer."""
+    """Of two keys with their words: equal, one the end of the other, a single word of it, or all surnames of the shorter in
+    the longer."""
 
-    def compare(c: Column) -> Column:
-        rest = lambda t: F.when(F.size(t) > 1, F.slice(t, 2, 1000)).otherwise(t)
-        short, long = c["short"], c["long"]
-        common = F.filter(rest(long), lambda w: F.array_contains(rest(short), w))
-        return F.endswith(F.array_join(long, " "), F.array_join(short, " ")) | ((F.size(short) == 1) & F.array_contains(long, short[0])) | ((F.size(common) == F.size(rest(short))) & (F.size(common) > 0))
+    def compare(short: Column, long: Column) -> Column:
+        common = F.filter(_rest(long["words"]), lambda w: F.array_contains(_rest(short["words"]), w))
+        alone = (F.size(short["words"]) == 1) & F.array_contains(long["words"], short["words"][0])
+        # Some word is in both where surnames are: cheaper to see than which ones.
+        surnames = F.arrays_overlap(short["words"], long["words"]) & let(common, lambda c: (F.size(c) == F.size(_rest(short["words"]))) & (F.size(c) > 0))
+        return F.endswith(long["key"], short["key"]) | alone | surnames
 
-    x, y = F.split(a, " "), F.split(b, " ")
-    ordered = F.size(x) <= F.size(y)
-    return (a == b) | let(F.struct(F.when(ordered, x).otherwise(y).alias("short"), F.when(ordered, y).otherwise(x).alias("long")), compare)
+    return (a["key"] == b["key"]) | F.when(F.size(a["words"]) <= F.size(b["words"]), compare(a, b)).otherwise(compare(b, a))
 
 
 def relative_key(text: Column) -> Column:
@@ -69,25 +78,28 @@ def centre_key(text: Column) -> Column:
 
 
 def _like(a: Column, b: Column) -> Column:
-    return F.contains(a, b) | F.contains(b, a)
+    return F.contains(a["key"], b["key"]) | F.contains(b["key"], a["key"])
 
 
 def numbered(keys: Column, same) -> Column:
-    """A number for each key in order: that of the first earlier key that is the same, else the next one."""
-    none = F.from_json(F.lit("[]"), "array<struct<key:string,number:int>>")
+    """struct<keys, numbers>: the distinct keys in order, and a number for each: that of the first earlier key that is the
+    same, else the next one. ``same`` takes keys with their words."""
+
+    def numbers(known: Column) -> Column:
+        with_words = lambda w: F.transform(w, lambda x, i: F.try_element_at(F.filter(F.slice(w, 1, i), lambda o: same(x, o)), F.lit(1))["key"])
+        first = let(F.transform(known, _words), with_words)
+
+        def number(first: Column) -> Column:
+            step = lambda done, i: F.concat(done, F.array(F.when(first[i].isNull(), F.coalesce(F.array_max(done), F.lit(0)) + 1).otherwise(F.element_at(done, F.greatest(F.array_position(known, first[i]), F.lit(1)).cast("int")))))
+            return F.aggregate(F.sequence(F.lit(0), F.size(known) - 1), F.from_json(F.lit("[]"), "array<int>"), step)
 
-    def step(known: Column, key: Column) -> Column:
-        found = F.filter(known, lambda k: k["key"] == key)
-        near = F.filter(known, lambda k: same(key, k["key"]))
-        next_number = F.coalesce(F.array_max(F.transform(known, lambda k: k["number"])), F.lit(0)) + 1
-        number = F.coalesce(F.try_element_at(found, F.lit(1))["number"], F.try_element_at(near, F.lit(1))["number"], next_number)
-        return F.concat(known, F.array(F.struct(key.alias("key"), number.alias("number"))))
+        return F.when(F.size(known) > 0, let(first, number)).otherwise(F.from_json(F.lit("[]"), "array<int>"))
 
-    return F.aggregate(keys, none, step)
+    return let(F.array_distinct(keys), lambda known: F.struct(known.alias("keys"), numbers(known).alias("numbers")))
 
 
 def _number(known: Column, key: Column) -> Column:
-    return F.filter(known, lambda k: k["key"] == key)[0]["number"]
+    return F.try_element_at(known["numbers"], F.nullif(F.array_position(known["keys"], key), F.lit(0)).cast("int"))
 
 
 def letter(number: Column) -> Column:
@@ -100,21 +112,21 @@ def dated(span: Column) -> Column:
 
 
 def visits(spans: Column, today: Column) -> Column:
-    """array<struct<key, label>>: distinct dates in order, the first told from today, each other from the one before."""
-    parsed = F.transform(F.filter(spans, dated), lambda s, i: F.struct(note_date(trim_space(s["text"])).alias("day"), i.alias("i"), trim_space(s["text"]).alias("key")))
-    known = F.array_sort(F.filter(parsed, lambda v: v["day"].isNotNull()))
-    once = lambda vs: F.filter(vs, lambda v, i: ~F.exists(F.slice(vs, 1, i), lambda o: o["key"] == v["key"]))
-
-    def labels(vs: Column) -> Column:
-        def label(v: Column, i: Column) -> Column:
-            first = relative(F.datediff(today, v["day"]))
-            gap = since_visit(F.datediff(v["day"], F.element_at(vs, F.greatest(i, F.lit(1)))["day"]))
+    """struct<keys, labels>: distinct dates in order, the first told from today, each other from the one before."""
+    parsed = F.transform(F.filter(spans, dated), lambda s, i: let(trim_space(s["text"]), lambda t: F.struct(note_date(t).alias("day"), i.alias("i"), t.alias("key"))))
+    keys = F.array_distinct(F.transform(F.array_sort(F.filter(parsed, lambda v: v["day"].isNotNull())), lambda v: v["key"]))
+
+    def labels(keys: Column) -> Column:
+        def label(days: Column, i: Column) -> Column:
+            first = relative(F.datediff(today, days[i]))
+            gap = since_visit(F.datediff(days[i], F.element_at(days, F.greatest(i, F.lit(1)))))
             later = F.concat(gap, F.lit(" Visita "), i.cast("string"))
-            return F.struct(v["key"].alias("key"), F.concat(F.lit("Visita "), (i + 1).cast("string"), F.lit(" ("), F.when(i == 0, first).otherwise(later), F.lit(")")).alias("label"))
+            return F.concat(F.lit("Visita "), (i + 1).cast("string"), F.lit(" ("), F.when(i == 0, first).otherwise(later), F.lit(")"))
 
-        return F.transform(vs, label)
+        told = let(F.transform(keys, lambda k: note_date(k)), lambda days: F.transform(days, lambda d, i: label(days, i)))
+        return F.struct(keys.alias("keys"), told.alias("labels"))
 
-    return let(let(known, once), labels)
+    return let(keys, labels)
 
 
 def labelled(spans: Column, today: Column, strict: bool = False) -> Column:
@@ -138,7 +150,7 @@ def labelled(spans: Column, today: Column, strict: bool = False) -> Column:
         number = lambda n: n.cast("string")
         professional = F.when(F.length(professional_key(name)) < 3, "").otherwise(F.concat(F.lit("Profesional Sanitario "), number(_number(k["professionals"], professional_key(name)))))
         relative_ = F.concat(F.lit("Familiar "), number(F.array_position(k["relatives"], relative_key(name))))
-        visit = F.try_element_at(F.filter(k["visits"], lambda v: v["key"] == trim_space(name)), F.lit(1))["label"]
+        visit = F.try_element_at(k["visits"]["labels"], F.nullif(F.array_position(k["visits"]["keys"], trim_space(name)), F.lit(0)).cast("int"))
         centre = F.lit("Centro Sanitario") if strict else F.concat(F.lit("Centro "), letter(_number(k["centres"], centre_key(name))))
         city = F.lit("Zona Geografica") if strict else F.concat(F.lit("Ciudad "), letter(F.array_position(k["cities"], city_key(name))))
         odd = F.lit("[dato_sensible]") if strict else F.coalesce(*[F.when(s["subtype"] == x, F.lit(v)) for x, v in ODD_LABELS.items()], F.lit("dato cuasi-identificador"))
@@ -164,14 +176,16 @@ def transform_entity(text: Column, kind: Column, subtype: Column, today: Column,
 
 
 def splice(text: Column, spans: Column, field: str = "transformed") -> Column:
-    """``text`` with each of the disjoint ``spans`` (by start) replaced: the pieces are made apart and joined once."""
+    """``text`` with each of the disjoint ``spans`` (by start) replaced: the pieces are made apart and joined once. Long pieces,
+    of which there are few, are cut from the text, others from its pages."""
 
-    def joined(s: Column) -> Column:
+    def joined(s: Column, paged: Column) -> Column:
         at = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(s, F.greatest(i, F.lit(1)))["end"])
-        pieces = F.transform(s, lambda x, i: F.concat(F.substring(text, at(i) + 1, x["start"] - at(i)), x[field]))
+        piece = lambda begin, size: F.when(size <= PAGE, behind(paged, begin, size)).otherwise(F.substring(text, begin + 1, size))
+        pieces = F.transform(s, lambda x, i: F.concat(let(at(i), lambda begin: piece(begin, x["start"] - begin)), x[field]))
         return F.concat(F.array_join(pieces, ""), F.substring(text, at(F.size(s)) + 1, F.length(text)))
 
-    return let(spans, joined)
+    return let(spans, lambda s: let(pages(text), lambda paged: joined(s, paged)))
 
 
 def as_day(value: str | date | Column) -> Column:

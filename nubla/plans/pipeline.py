@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nubla.functions.regex import let
+from nubla.functions.text import pages
 from nubla.operators import score as S
 from nubla.operators.detect import detect
 from nubla.operators.dictionaries import Dictionaries
@@ -35,13 +37,13 @@ def scored(notes: DataFrame, config: Config | None = None, text: str = "text") -
     notes = notes.withColumn(text, F.coalesce(F.col(text), F.lit("")))
     if c.words.table:
         notes = looked_up(notes, c.words.table, text, c.boundary)
-    out = detect(notes, c.words, text, c.boundary).withColumn("spans", resolve(F.col("candidates"))).drop("candidates")
+    out = detect(notes, c.words, text, c.boundary).withColumn("spans", resolve("candidates")).drop("candidates")
     if c.use_scoring:
-        out = out.withColumn("spans", F.transform("spans", lambda s: s.withField("confidence", S.score(s, F.col(text), c.words))))
+        out = out.withColumn("spans", let(pages(F.col(text)), lambda p: F.transform("spans", lambda s: s.withField("confidence", S.score(s, p, c.words)))))
     fresh = lambda s: (s["type"] == "NOMBRE") & (s["subtype"] != "familiar")
     out = out.withColumn("spans", F.transform("spans", lambda s: s.withField("recommendation", F.when(fresh(s) & F.lit(c.use_scoring), S.recommendation(s["confidence"])).otherwise("ANONIMIZAR"))))
     if c.heuristics:
-        out = out.withColumn("spans", F.transform("spans", lambda s: s.withField("confidence", S.adjusted(s, s["confidence"], F.col(text)))))
+        out = out.withColumn("spans", let(pages(F.col(text)), lambda p: F.transform("spans", lambda s: s.withField("confidence", S.adjusted(s, s["confidence"], p)))))
     return out.drop(KNOWN)
 
 

@@ -119,7 +119,7 @@ hit as (
 
 
 def _resolved(spark, sf_dir):
-    return _rows(detect(notes(spark, sf_dir)).withColumn("spans", resolve(F.col("candidates"))), "spans", "type", "subtype", "confidence")
+    return _rows(detect(notes(spark, sf_dir)).withColumn("spans", resolve("candidates")), "spans", "type", "subtype", "confidence")
 
 
 def _confidence(spark, sf_dir):
@@ -278,7 +278,7 @@ HIGHLIGHTED = f"""select n.note_id, coalesce(p.head, '') || {_escaped("substr(n.
 
 def _places(spark, sf_dir):
     """Scores of the places among the resolved spans, by kind, dictionary, cue and number."""
-    found = detect(notes(spark, sf_dir)).withColumn("places", F.filter(resolve(F.col("candidates")), lambda s: s["type"] == "UBICACION"))
+    found = detect(notes(spark, sf_dir)).withColumn("places", F.filter(resolve("candidates"), lambda s: s["type"] == "UBICACION"))
     words = Dictionaries()
     scores = F.transform("places", lambda s: s.withField("confidence", S.place_score(s["text"], s["subtype"], X.before(F.col("text"), s["start"], 50), words)))
     return _rows(found.withColumn("places", scores), "places", "subtype", "confidence")

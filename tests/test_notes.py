@@ -1,11 +1,16 @@
 """Notes: worked examples, negative cases and invariants."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from nubla.operators.detect import find
 from nubla.operators.dictionaries import load
+from nubla.operators.resolve import resolve
 from nubla.operators.rules import rules
+from nubla.operators.substitute import _like, numbered, same_professional
 from nubla.plans.pipeline import Config, pseudonymise, stats
 
 NOTES = {
@@ -115,3 +120,73 @@ def test_whole_long_note(spark):
     text = "dolor leve. " * 84_000 + "DNI 12345678Z."
     done = pseudonymise(spark.createDataFrame([(1, text)], "note_id long, text string")).select("processed").first()["processed"]
     assert len(text) > 1_000_000 and done.startswith("dolor leve. ") and len(done) > 1_000_000 and "DNI" in done[-40:] and "12345678Z" not in done
+
+
+def long_note(lines):
+    syllables = "ba ce di fo gu ha je ki lo mu".split()
+    made = lambda i: "".join(syllables[int(d)] for d in f"{i:04d}").capitalize()
+    people, names = "Ana Luis Carmen Pedro".split(), "García López Sánchez Ruiz Gómez".split()
+    return "\n".join(f"Paciente {people[i % 4]} {names[i % 5]}, DNI {10000000 + i}A, acude el {i % 28 + 1:02d}/{i % 12 + 1:02d}/{1950 + i % 70} con Dr. {made(i)} {names[i % 3]}. Vive en Sevilla, Hospital {made(i * 7 % 9999)}." for i in range(lines))
+
+
+def test_long_notes_take_linear_time(spark):
+    """Nearly 8,000 entities, of them 1,300 professionals, hospitals and dates each: seconds beyond planning, and the labels of a
+    note's end, from which numbers run, are those of its last lines by themselves."""
+    took, rows = {}, {}
+    for lines in (20, 1300):
+        df = spark.createDataFrame([(1, long_note(1300).split("\n", 1300 - lines)[-1])], "id int, text string")
+        query = pseudonymise(df).select("processed", "entities")
+        query._jdf.queryExecution().executedPlan()
+        start = time.time()
+        rows[lines] = query.first()
+        took[lines] = time.time() - start
+    assert len(rows[20]["entities"]) == 120 and len(rows[1300]["entities"]) == 7800
+    assert took[1300] - took[20] < 8, took  # 5 s on a free machine
+    last = [[(e["text"], e["transformed"]) for e in rows[n]["entities"][-120:] if e["subtype"] in ("profesional", "paciente")] for n in rows]
+    assert last[0] == last[1] and "Profesional Sanitario 1" in dict(map(reversed, last[0]))
+
+
+def packed_by_hand(spans):
+    rank = lambda s: (-(3 if s[2] == "UBICACION" else 2 if s[2] == "IDENTIFICADOR" or s[3] == "familiar" else 1 if s[2] == "SOSPECHOSO" or s[3] == "profesional" else 0), -s[4], s[0] - s[1], s[5], s[0])
+    kept = []
+    for s in sorted((s for s in spans if 0 <= s[0] < s[1]), key=rank):
+        if all(s[1] <= k[0] or k[1] <= s[0] for k in kept):
+            kept.append(s)
+    return sorted(k[:2] for k in kept)
+
+
+def test_packing_by_hand(spark):
+    """Chains of overlaps, nested, equal and touching spans, across more blocks than one."""
+    rng = random.Random(4)
+    kinds = [("UBICACION", "ciudad"), ("IDENTIFICADOR", "dni"), ("NOMBRE", "familiar"), ("NOMBRE", "paciente"), ("NOMBRE", "profesional"), ("FECHA", "ano"), ("SOSPECHOSO", "x")]
+    notes = []
+    for n, width in ((0, 9), (1, 9), (30, 40), (400, 900), (400, 3000), (1000, 20_000)):
+        starts = [rng.randint(-1, width) for _ in range(n)]
+        notes.append([(a, a + rng.randint(0, 12), *rng.choice(kinds), rng.choice([0.5, 0.9]), i % 9) for i, a in enumerate(starts)])
+    schema = "id int, candidates array<struct<start:int,end:int,type:string,subtype:string,confidence:double,rule:int>>"
+    got = spark.createDataFrame(list(enumerate(notes)), schema).select("id", resolve("candidates").alias("r")).collect()
+    for r in got:
+        assert [(s["start"], s["end"]) for s in r["r"]] == packed_by_hand(notes[r["id"]])
+
+
+def test_numbers_of_professionals_and_centres(spark):
+    keys = ["juan perez gil", "gil", "ana gil", "perez", "j perez gil", "ez", "ana", "mariana", "rosa ruiz", "ruiz rosa", "rosa ruiz", "x gil perez"]
+
+    def by_hand(same):
+        known, out = [], {}
+        for k in keys:
+            near = [n for o, n in known if o == k] or [n for o, n in known if same(k, o)] or [max((n for _, n in known), default=0) + 1]
+            known.append((k, near[0]))
+            out.setdefault(k, near[0])
+        return out
+
+    def same(a, b):
+        short, long = sorted((a.split(), b.split()), key=len) if len(a.split()) != len(b.split()) else (a.split(), b.split())
+        rest = lambda t: t[1:] or t
+        common = [w for w in rest(long) if w in rest(short)]
+        return a == b or " ".join(long).endswith(" ".join(short)) or (len(short) == 1 and short[0] in long) or (len(common) == len(rest(short)) and bool(common))
+
+    row = spark.createDataFrame([(keys,), ([],)], "k array<string>")
+    for rule, own in ((same_professional, same), (_like, lambda a, b: a in b or b in a)):
+        got = [(r[0]["keys"], r[0]["numbers"]) for r in row.select(numbered(F.col("k"), rule)).collect()]
+        assert dict(zip(*got[0], strict=True)) == by_hand(own) and got[1] == ([], [])
