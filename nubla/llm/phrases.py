@@ -32,8 +32,8 @@ COVER = 80
 SCALE = 2_000_000
 HOT_ROWS, HOT_SHARE = 1_000_000, 2000
 FILTER_BITS = 1 << 28
-SLICE = 2 << 20
-GROUP_ROWS = 1 << 18
+SLICE = 1 << 20
+GROUP_ROWS = 1 << 16
 SALTS = 64
 STEP = U64(0x9E3779B97F4A7C15 | 1)
 INVERSE = U64(pow(int(STEP), -1, 1 << 64))
