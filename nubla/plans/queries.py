@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,12 @@ from nubla.operators.review import apply_decisions, highlighted, progress, revie
 from nubla.operators.rules import rules
 from nubla.plans import oracle as O
 from nubla.plans.pipeline import Config, pseudonymise, scored, stats
-from nubla.plans.relations import GAZETTEER, GAZETTEER_NOTES, NOTES, OPENINGS, VISITS, gazetteer, notes, openings, visits
-from nubla.sources.readers import document_texts, read_xlsx
+from nubla.plans.relations import CELLS, CSV_CELLS, GAZETTEER, GAZETTEER_NOTES, NOTES, OPENINGS, VISITS, cells, csv_lines, gazetteer, notes, openings, visits
+from nubla.sources.readers import document_texts, read_csv, read_xlsx
 from nubla.sources.sinks import batch_summary, info, pdf_files, report, total_time
 from nubla.sources.workbook import write_workbook
-from nubla.streaming.notes import entity_counts
+from nubla.streaming.notes import entity_counts, pseudonymised, read_notes
+from nubla.streaming.patients import patient_map, read_patient_map, write_patient_map
 
 SPAN = ("note_id", "span_start", "span_end", "span_text")
 
@@ -105,6 +107,40 @@ def _workbook(spark, sf_dir):
     return read_xlsx(spark, f"{folder}/datos.xlsx", most_bytes=1 << 30)
 
 
+def _csv(spark, sf_dir):
+    """The visits as CSV files with hostile cells, read again."""
+    folder = _scratch(spark)
+    lines = csv_lines(spark, sf_dir).repartitionByRange(4, "fila").sortWithinPartitions("fila")
+    with_head = lines.mapInPandas(_headed, "line string")
+    with_head.write.text(folder)
+    return read_csv(spark, folder, extra="_extra").select("fila", F.col("`nom;bre`"), "dni", "centro", F.size("_extra").alias("beyond"))
+
+
+def _headed(frames):
+    """The lines of a file below its header."""
+    for i, frame in enumerate(frames):
+        lines = frame["line"].tolist()
+        yield pd.DataFrame({"line": lines if i else ['fila;"nom;bre" ; dni;centro', *lines]})
+
+
+def _suggested_mapping(spark, sf_dir):
+    """What would become of the visits' columns by what their names and first values suggest."""
+    found = _profile_visits(spark, sf_dir)
+    final = F.when(F.col("suggestedAction") == "PATIENT_ID", "ID_ESTUDIO").when(F.col("suggestedAction") == "TO_AGE", "Edad").when(F.col("suggestedAction") != "REMOVE", F.col("originalName"))
+    return found.select(F.col("originalName").alias("original"), F.col("suggestedAction").alias("action"), final.alias("final"))
+
+
+def _stream_patients(spark, sf_dir):
+    """The patients of the notes as a stream that is split into batches and started twice."""
+    folder = _scratch(spark)
+    found = notes(spark, sf_dir)
+    for part in (0, 1):
+        found.filter(F.col("note_id") % 2 == part).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        stream = pseudonymised(read_notes(spark, f"{folder}/in", "note_id long, text string", files_per_trigger=1))
+        write_patient_map(patient_map(stream, "note_id"), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return read_patient_map(spark, f"{folder}/out").withColumnRenamed("documents", "notes")
+
+
 def _places_in(notes: str, key: str, entries: str) -> str:
     """CTEs up to ``hit``: where entries stand in texts, by splitting the texts at them, with the edges of ASCII words."""
     word = lambda c: f"regexp_matches({c}, '[A-Za-z0-9_]')"
@@ -213,23 +249,21 @@ EMAILS = r"""select doc_id, s::int as span_start, (s + length(m[i]))::int as spa
   select doc_id, m, i, list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: length(v))), 0) as s
   from (select doc_id, regexp_extract_all(text, p, 0) as m, regexp_split_to_array(text, p) as g from documents, (select '\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b' as p)), unnest(range(1, len(m) + 1)) as u(i))"""
 
-CELLS = [("NHC", "4521987"), ("Nombre", "María"), ("Apellidos", "García López"), ("nombre_completo", "x"), ("DNI", "12345678A"), ("Fecha_Nacimiento", "15/06/1970"), ("Fecha_Visita", "15/01/2024"), ("PASI", "12.5"), ("Tratamiento", "Adalimumab y otros treinta caracteres más"), ("Centro", "H.U. Badajoz"), ("Medico", "Dr. Pérez"), ("a", "612 345 678"), ("b", "x@y.es"), ("c", "1/2/24"), ("d", "123456"), ("e", ""), ("f", None), ("Teléfono", "600"), ("cp", "28013"), ("mail", "no")]
-
-
 def _profile(spark, sf_dir):
-    return G.profile(spark.createDataFrame(CELLS, "name string, value string"))
+    return G.profile(cells(spark, sf_dir))
 
 
 def _profile_visits(spark, sf_dir):
-    return G.profile(G.first_values(visits(spark, sf_dir), "fila"))
+    """The columns of the visits, by the first of these."""
+    found = visits(spark, sf_dir).withColumn("nhc", F.lpad(F.trim("nhc"), 7, "0"))
+    return G.profile(G.first_values(found, "fila"))
 
 
-LITERALS = "values " + ", ".join(f"({O.q(n)}, {O.q(v) if v is not None else 'null'})" for n, v in CELLS)
 #: The first row of the visits, a row for each of its cells.
-FIRST_ROW = f"with v as ({VISITS}), f as (select * from v order by fila limit 1) " + " union all ".join(f"select '{c}' as name, cast({c} as varchar) as value from f" for c in ("nhc", "nombre", "dni", "fecha_nacimiento", "fecha_visita", "valor", "centro"))
+FIRST_ROW = f"with v as (select * replace (lpad(trim(nhc), 7, '0') as nhc) from ({VISITS})), f as (select * from v order by fila limit 1) " + " union all ".join(f"select '{c}' as name, cast({c} as varchar) as value from f" for c in ("nhc", "nombre", "dni", "fecha_nacimiento", "fecha_visita", "valor", "centro"))
 
 
-def _profile_sql(cells: str = LITERALS) -> str:
+def _profile_sql(cells: str = CELLS) -> str:
     holds = lambda k: f"regexp_matches({'regexp_replace(t, %s, %s, %s)' % (O.q('[[:space:].-]'), O.q(''), O.q('g')) if k == 'PHONE' else 't'}, {O.q(G.CONTENTS[k])})"
     kind = "case " + " ".join(f"when regexp_matches(name, {O.q(p)}, 'i') then '{k}'" for k, p in G.HEADERS.items()) + " " + " ".join(f"when {holds(k)} then '{k}'" for k in G.CONTENTS) + " else 'UNKNOWN' end"
     action = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in G.ACTIONS.items()) + " end"
@@ -370,7 +404,6 @@ QUERIES = {
     "relative_time": (lambda s, d: _deltas(s, d).select("days", D.relative(F.col("days")).alias("told"), D.since_visit(F.abs("days")).alias("since")), f"select days, {O.relative('days')} as told, {O.since('abs(days)')} as since from ({DELTAS})"),
     "gender_labels": (lambda s, d: notes(s, d).select("note_id", T.gender(F.col("text")).alias("gender")), f"{PARTS} select note_id, {O.gender('text')} as gender from n"),
     "column_profile": (_profile, _profile_sql()),
-    "patient_column": (lambda s, d: G.patient_column(_profile(s, d)), f"select \"originalName\", confidence from ({_profile_sql()}) where \"detectedType\" = 'PATIENT_ID' and confidence > 0.7 order by confidence desc, 1 limit 1"),
     "profile_visits": (_profile_visits, _profile_sql(FIRST_ROW)),
     "patient_mapping": (lambda s, d: G.patient_mapping(visits(s, d), "nhc", "fila"), TABLE + " select p as patient, first_row, study as study_id, n as visits from m"),
     "visit_number": (lambda s, d: G.with_visits(visits(s, d), "nhc", "fila").select("fila", "nhc", "Visita_Num"), TABLE + ' select fila, nhc, (row_number() over (partition by p order by fila))::int as "Visita_Num" from k where p is not null'),
@@ -378,7 +411,6 @@ QUERIES = {
     "age": (lambda s, d: visits(s, d).select("fila", D.age(D.table_date(F.col("fecha_nacimiento")), F.lit("2024-12-15").cast("date")).alias("edad")), TABLE + f" select fila, {AGE} as edad from v"),
     "anonymised_table": (lambda s, d: G.anonymise(visits(s, d), ACTIONS, "fila", "2024-12-15"), TABLE + f', {CODES} select fila, study as "ID_ESTUDIO", (row_number() over (partition by p order by fila))::int as "Visita_Num", {AGE} as "Edad", fecha_visita, valor, code as centro from k join m using (p) join c on c.original = lower(trim(centro))'),
     "correspondence": (lambda s, d: G.correspondence(visits(s, d), ACTIONS, "fila"), TABLE + ' select study as "ID_ESTUDIO", n as "Total_Visitas", nhc, nombre, dni from m join k on k.p = m.p and k.fila = m.first_row'),
-    "column_mapping": (lambda s, d: G.column_mapping(visits(s, d), ACTIONS), "select * from (values ('nhc', 'PATIENT_ID', 'ID_ESTUDIO'), ('nombre', 'REMOVE', null), ('dni', 'REMOVE', null), ('fecha_nacimiento', 'TO_AGE', 'Edad'), ('fecha_visita', 'KEEP', 'fecha_visita'), ('valor', 'KEEP', 'valor'), ('centro', 'CODIFY', 'centro')) as t(original, action, final)"),
     "table_stats": (lambda s, d: G.table_stats(visits(s, d), ACTIONS), TABLE + f" select count(*) as rows, count(distinct p) as patients, {ONE_DIGIT} as visits_per_patient, 2::bigint as removed, 3::bigint as kept, 2::bigint as transformed from k"),
     "validate_blank_ids": (lambda s, d: G.blank_ids(visits(s, d), "nhc", "fila"), TABLE + " select fila as row, 'ID de paciente vacío' as message from k where p is null"),
     "validate_unordered": (lambda s, d: G.unordered_visits(visits(s, d), "nhc", "fecha_visita", "fila"), TABLE + f", {DATED} select p as patient, min(fila) as row, min_by(last_row, fila) as previous_row from l where day < last_day group by 1"),
@@ -390,6 +422,10 @@ QUERIES |= {f"detect_{r.name}_by_table": _detection_by_table(r, i) for i, r in e
 QUERIES |= {
     "entities_by_table": (_entities_by_table, _entities(False)[1]),
     "pdf_text": (_pdf_text, PDF_TEXT),
+    "csv_roundtrip": (_csv, CSV_CELLS),
+    "stream_patient_mapping": (_stream_patients, O.chain(NOTES, "labelled", f"select {O.trim('lower(span_text)')} as patient, min(transformed) as label, count(distinct note_id) as notes from labelled where subtype = 'paciente' group by 1")),
+    "patient_column": (lambda s, d: G.patient_column(_profile_visits(s, d)), f"select \"originalName\", confidence from ({_profile_sql(FIRST_ROW)}) where \"detectedType\" = 'PATIENT_ID' and confidence > 0.7 order by confidence desc, 1 limit 1"),
+    "column_mapping": (_suggested_mapping, f"""select "originalName" as original, "suggestedAction" as action, case "suggestedAction" when 'PATIENT_ID' then 'ID_ESTUDIO' when 'TO_AGE' then 'Edad' when 'REMOVE' then null else "originalName" end as final from ({_profile_sql(FIRST_ROW)})"""),
     "workbook_roundtrip": (_workbook, TABLE + f', {CODES} select cast(row_number() over (order by fila) as bigint) as _row, cast(fila as varchar) as fila, study as "ID_ESTUDIO", cast(row_number() over (partition by p order by fila) as varchar) as "Visita_Num", cast({AGE} as varchar) as "Edad", fecha_visita, cast(valor as varchar) as valor, coalesce(code, \'\') as centro from k join m using (p) join c on c.original = lower(trim(centro))'),
     "gazetteer_cities": (_gazetteer_cities, f"with {_places_in(GAZETTEER_NOTES, 'note_id', GAZETTEER)} select note_id, a as span_start, b as span_end, t as span_text from hit h where not exists (select 1 from hit o where o.note_id = h.note_id and (o.a < h.a and o.b > h.a or o.a = h.a and o.b > h.b))"),
     "dictionary_hits": (_dictionary_hits, f"with {_places_in('select doc_id, text from documents where text is not null', 'doc_id', OPENINGS)} select doc_id, a as span_start, b as span_end, lower(t) as words from hit"),

@@ -76,6 +76,33 @@ from customer"""
 #: The first two words of each benchmark item, as a dictionary.
 OPENINGS = "select distinct 'districts' as kind, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) as entry from benchmark where text like '% % %'"
 
+#: The visits as lines of a CSV file with hostile cells: doubled quotes, separators in quotes, quotes inside of cells, blanks
+#: around, short rows, and rows with more cells than the header.
+CSV_LINES = f"""
+select fila, cast(fila as string) || ';"x;""' || nombre || '""' || '"' || case when fila % 3 = 0 then '' else
+  ';  ' || substr(dni, 1, 3) || '"; ' || substr(dni, 4, 2) || '"' || substr(dni, 6) || ' ' || ';"' || centro || ';" ' || case when fila % 5 = 0 then ';beyond' else '' end end as line from ({VISITS}) as v"""
+#: Their cells.
+CSV_CELLS = f"""
+select cast(fila as varchar) as fila, 'x;"' || nombre || '"' as "nom;bre", case when fila % 3 > 0 then substr(dni, 1, 3) || '; ' || substr(dni, 4) end as dni,
+  case when fila % 3 > 0 then trim(centro || ';') end as centro, case when fila % 3 > 0 and fila % 5 = 0 then 1 else 0 end as beyond from ({VISITS}) as v"""
+
+_HEADERS = "NHC,Nombre,Apellidos,nombre_completo,DNI,Fecha_Nacimiento,Fecha_Visita,PASI,Tratamiento,Centro,Medico,a,b,c,d,e,f,Teléfono,cp,mail"
+
+#: A cell for each visit: a header, and a value that fits it or not.
+CELLS = f"""
+select {_pick(_HEADERS, 'fila')} as name, case cast(floor(fila / 20e0) as int) % 10 when 0 then lpad(trim(nhc), 7, '0') when 1 then dni when 2 then fecha_visita when 3 then centro when 4 then nombre when 5 then '' when 6 then null
+  when 7 then nombre || ' con un texto de más de treinta caracteres' when 8 then nombre || cast(fila as string) || '@mail.es' else '6' || lpad(cast(fila % 100000000 as string), 8, '0') end as value from ({VISITS}) as v"""
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return spark.sql(CELLS)
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
+    return spark.sql(CSV_LINES)
+
 
 def gazetteer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The notes that name places, and the dictionary of these."""

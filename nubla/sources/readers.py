@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nubla.functions.regex import quoted
 from nubla.operators.structured import header_row
 from nubla.sources.pdf import pdf_text
 from nubla.sources.workbook import cell_text
@@ -25,29 +26,47 @@ def separator(line: str) -> str:
     return max(SEPARATORS, key=line.count)
 
 
-def _ordered(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with an ordinal by file name, part of the file and line: each part of a file is read as one run of rows."""
-    run = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
-    numbered = rows.select("*", run.alias("_run"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at"))
-    runs = numbered.select("_run").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("_run")) - 1)
-    return numbered.join(F.broadcast(runs), "_run").withColumn(order, F.col("_nth") * (1 << 33) + F.col("_at")).drop("_run", "_nth", "_at")
+def cells_sql(line: str, sep: str) -> str:
+    """SQL of the cells of a line, as array<string>, trimmed.
+
+    Quotes switch quoting on and off wherever they stand in a cell, and go; within them a doubled quote is one, and a
+    separator is text; a quote left open reaches to the line's end.
+    """
+    own = "\\t" if sep == "\t" else sep
+    found = f"regexp_extract_all(concat({quoted(sep)}, {line}), {quoted(own + r'((?:"(?:[^"]++|"")*+(?:"|\z)|[^"' + own + r'])*+)')}, 1)"
+    bare = f"replace(regexp_replace(c, {quoted(r'"((?:[^"]++|"")*+)(?:"|\z)')}, '$1'), '\"\"', '\"')"
+    return f"transform({found}, c -> regexp_replace({bare}, {quoted(r'^[\s\x{FEFF}\xA0]+|[\s\x{FEFF}\xA0]+$')}, ''))"
 
 
-def read_csv(spark: SparkSession, path: str, order: str = "_row") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, order: str = "_row", extra: str | None = None) -> DataFrame:
     """A table of strings with the header of its first line that isn't blank, and an ordinal ``order``.
 
-    Cells are trimmed, quoted ones too; blank lines are dropped; a short row is filled with nulls, and what a row has beyond
-    the header is left out; a quoted cell holds no line end. The ordinal follows the files' names and their lines. All files
-    have the columns and the separator of the first by name.
+    Cells are read by ``cells_sql``; blank lines are dropped; a short row is filled with nulls. What a row has beyond the
+    header is in the array column ``extra``, or left out where none is named. The ordinal follows the files' names and their
+    lines. All files have the columns and the separator of the first by name, and a header line each. A header that is
+    blank is called ``columna_n``; one that repeats gets its number.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("n")).filter("trim(value) <> ''")
-    first = lines.orderBy("path", "n").limit(1).collect()
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("path"), place.alias("place"))
+    lines = lines.filter(r"line rlike '[^\\s\\x{FEFF}\\xA0]'")
+    heads = lines.groupBy("path").agg(F.min("place").alias("head"), F.min_by("line", "place").alias("first"))
+    first = heads.orderBy("path").limit(1).collect()
     if not first:
         raise ValueError(f"{path}: empty")
-    own = separator(first[0]["value"])
-    read = spark.read.options(header=True, sep=own, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE").csv(path)
-    names = [c.strip().lstrip("\ufeff") for c in read.columns]
-    return _ordered(read, order).select([F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(read.columns, names, strict=True)] + [order])
+    sep = separator(first[0]["first"])
+    named = heads.orderBy("path").limit(1).select(F.expr(cells_sql("first", sep)).alias("names")).first()["names"]
+    names: list[str] = []
+    for i, n in enumerate(named, 1):
+        n = n or f"columna_{i}"
+        names.append(f"{n}_{i}" if n in names else n)
+    # Parts of files are runs of lines in order: their own order is a small table's, a row for each.
+    runs = lines.select("path", F.col("place.start").alias("start")).distinct()
+    runs = runs.withColumn("nth", F.row_number().over(Window.orderBy("path", "start")) - 1)
+    body = lines.join(heads.select("path", "head"), "path").filter(F.col("place") != F.col("head")).withColumn("start", F.col("place.start")).join(runs, ["path", "start"])
+    ordinal = F.col("nth") * (1 << 33) + F.col("place.n").bitwiseAND((1 << 33) - 1)
+    cells = body.select(F.expr(cells_sql("line", sep)).alias("cells"), ordinal.alias("at"))
+    beyond = [F.slice("cells", len(names) + 1, F.greatest(F.size("cells") - len(names), F.lit(0))).alias(extra)] if extra else []
+    return cells.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)], *beyond, F.col("at").alias(order))
 
 
 def sheet_cells(content: bytes) -> list[list[str]]:
@@ -72,11 +91,11 @@ def sheet_cells(content: bytes) -> list[list[str]]:
         return rows
 
 
-def read_xlsx(spark: SparkSession, path: str, order: str = "_row", most_bytes: int = TABLE_BYTES) -> DataFrame:
+def read_xlsx(spark: SparkSession, path: str, order: str = "_row", most_bytes: int | None = None) -> DataFrame:
     """The first sheet of each workbook at ``path`` as strings, below its own header row (one of the first ten).
 
     Workbooks may differ in their columns: the table has all of them, in the order of files and sheets, and what a workbook
-    lacks is empty. The ordinal follows the files' names and their rows. A workbook of more than ``most_bytes`` is an error.
+    lacks is empty. The ordinal follows the files' names and their rows. A workbook of more than ``most_bytes`` (``TABLE_BYTES`` by default) is an error.
     """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +104,7 @@ def read_xlsx(spark: SparkSession, path: str, order: str = "_row", most_bytes: i
                 cells = sheet_cells(content)
                 yield pd.DataFrame({"path": name, "row": range(len(cells)), "cells": cells})
 
-    found = spark.read.format("binaryFile").load(path)
+    found, most_bytes = spark.read.format("binaryFile").load(path), most_bytes or TABLE_BYTES
     large = [r["path"] for r in found.filter(F.col("length") > most_bytes).select("path").orderBy("path").collect()]
     if large:
         raise ValueError(f"more than {most_bytes} bytes: {', '.join(large)}")

@@ -1,0 +1,7 @@
+"""Notes and patients of streams. Their functions are sent to Python workers by value, so that executors need not have the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,5 +1,6 @@
 """Files in and out, batches and streams."""
 
+import random
 import zipfile
 
 import pytest
@@ -116,3 +117,50 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "DNI 12345678A"), (2, None)], "id int, text string").write.parquet(source)
     N.write_notes(N.pseudonymised(N.read_notes(spark, source, "id int, text string")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert {r["processed"] for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("processed")).collect()} == {"DNI ", ""}
+
+
+def cells_by_hand(line, sep):
+    out, cell, inside, i = [], "", False, 0
+    while i < len(line):
+        c = line[i]
+        if c == '"' and inside and line[i + 1 : i + 2] == '"':
+            cell, i = cell + '"', i + 1
+        elif c == '"':
+            inside = not inside
+        elif c == sep and not inside:
+            out, cell = [*out, cell.strip()], ""
+        else:
+            cell += c
+        i += 1
+    return [*out, cell.strip()]
+
+
+@pytest.mark.parametrize("sep", [",", ";", "\t"])
+def test_cells_of_hostile_lines(spark, sep):
+    rng = random.Random(2)
+    lines = ["", sep, '"', '""', '"""', f'a{sep}"b', f'"a{sep}b"c{sep}{sep}', f'x"y{sep}z"{sep}"""q"""', f"{sep}a{sep}"]
+    lines += ["".join(rng.choices('ab "' + sep * 2 + '"ñ\\$', k=rng.randint(0, 25))) for _ in range(800)] + ['"' * 50_001 + sep, ("x" + sep) * 20_000, '"' + "y" * 100_000]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", F.expr(readers.cells_sql("line", sep)).alias("c")).collect()
+    assert all(r["c"] == cells_by_hand(lines[r["i"]], sep) for r in got) and len(got) == len(lines)
+
+
+def test_csv_of_several_parts(spark, tmp_path):
+    """Files dealt out in parts of a few lines: headers go, order stays, ragged rows keep what they have."""
+    for name in "ba":
+        rows = [f'{name}{i};"v;{i}"' + (";more;" * (i % 3)) if i % 4 else f"{name}{i}" for i in range(400)]
+        (tmp_path / f"{name}.csv").write_bytes(("﻿ \r\n" + "id; val ;;id\r\n\r\n" + "\r\n".join(rows) + "\r\n").encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        table = readers.read_csv(spark, str(tmp_path), extra="rest")
+        got = table.orderBy("_row").collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert table.columns == ["id", "val", "columna_3", "id_4", "rest", "_row"]
+    assert [r["id"] for r in got] == [f"{n}{i}" for n in "ab" for i in range(400)] and len({r["_row"] for r in got}) == 800
+    for r in got:
+        i = int(r["id"][1:])
+        line = f'{r["id"]};"v;{i}"' + (";more;" * (i % 3)) if i % 4 else r["id"]
+        cells = cells_by_hand(line, ";")
+        assert [r["id"], r["val"], r["columna_3"], r["id_4"]] == (cells + [None] * 4)[:4] and r["rest"] == cells[4:]
