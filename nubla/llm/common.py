@@ -51,12 +51,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def small(df: DataFrame, *parts: str, row: int = 100, part: int = 40, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` to be broadcast if it takes ``most`` bytes at most, else as it is: ``row`` bytes a row, and ``part`` bytes for
-    each element of its array columns ``parts``. Counts it, so give a written table."""
+def fits(df: DataFrame, *parts: str, row: int = 100, part: int = 40, chars: tuple[str, ...] = (), most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` takes ``most`` bytes at most: ``row`` bytes a row, ``part`` bytes for each element of its array columns
+    ``parts``, and four for each character of its text columns ``chars``. Counts it, so give a written table."""
     sizes = sum((F.coalesce(F.sum(F.size(p)), F.lit(0)) for p in parts), F.lit(0))
-    rows, items = df.agg(F.count("*"), sizes).first()
-    return F.broadcast(df) if rows * row + items * part <= most else df
+    texts = sum((F.coalesce(F.sum(F.length(c)), F.lit(0)) for c in chars), F.lit(0))
+    rows, items, letters = df.agg(F.count("*"), sizes, texts).first()
+    return rows * row + items * part + letters * 4 <= most
+
+
+def small(df: DataFrame, *parts: str, **how) -> DataFrame:
+    """``df`` to be broadcast if it ``fits``, else as it is."""
+    return F.broadcast(df) if fits(df, *parts, **how) else df
 
 
 def join_counted(many: DataFrame, one: DataFrame, on: list[str], total: int, fit: str = "true") -> DataFrame:

@@ -19,12 +19,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nubla.llm.common import join_counted, new_name, small, table
+from nubla.llm.common import fits, join_counted, new_name, small, table
 
 REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
 SEED = "mix"
-BROADCAST_SOURCES = 100_000
+BROADCAST_BYTES = 48 << 20
 
 
 def exponent(totals: dict[int, int], repeats: float | None = REPEATS, entropy: float | None = None) -> float:
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, repeats: float | None = REPEATS, entropy: float | None
     epochs = F.pow(F.col("total") / largest, F.lit(a - 1))
     part, blocks = epochs - F.floor(epochs), F.floor((F.col("total") + block_tokens - 1) / block_tokens).cast("long")
     plan = table(sources.select("s", "n", F.floor(epochs).cast("int").alias("epochs"), part.alias("part"), blocks.alias("blocks"), (F.pow(F.col("total") / largest, F.lit(a)) / whole).alias("weight")), "plan")
-    few = sources.count() <= BROADCAST_SOURCES
+    few = fits(sources, chars=("s",), most=BROADCAST_BYTES)
     planned = lambda df: df.join(F.broadcast(plan), "s") if few else join_counted(df, plan, ["s"], rows)
     window = Window.partitionBy("s", "block")
     ordered = window.orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -23,13 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nubla.llm.common import byte_slices, release, table
+from nubla.llm.common import byte_slices, fits, release, table
 
 SEQ_LEN = 2048
 END_ID = 1
 RUN = 4096
 TABLE = 1 << 18
-BROADCAST_ROWS = 200_000
 PIECES = "doc_id {id}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -135,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, targets: dict[str, float
     share = share / share.sum() if len(share) else share
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    few = sums.count() <= BROADCAST_ROWS
+    few = fits(sums, chars=("queue",))
     placed = made.join(F.broadcast(base) if few else base, ["queue", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("start")).alias("at"), "n", "ids")
 
     def run(batches):

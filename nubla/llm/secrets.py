@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nubla.functions.regex import let, matches
-from nubla.llm.common import table
+from nubla.llm.common import small, table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -29,7 +29,6 @@ LEAST = {"hex": 24, "base32": 24, "base64": 20}
 RATE = 0.05
 CELLS = 8
 STEPS = 10_000
-BROADCAST_ROWS = 200_000
 
 
 def _spans(text: str, pattern: str, kind: int) -> Column:
@@ -110,8 +109,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     random = not_rejected(battery(loose.select("doc_id", "mark", "s.start", "s.end", "s.match")), rate)
     random = random.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", F.lit(3).alias("kind"), "end")).alias("random"))
     random = table(random.withColumnRenamed("doc_id", "id").withColumnRenamed("mark", "own"), "random")
-    small = F.broadcast(random) if random.count() <= BROADCAST_ROWS else random
-    joined = rows.join(small, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own")), "left")
+    joined = rows.join(small(random, "random"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("own")), "left")
     return joined.select("doc_id", F.array_sort(F.when(F.col("random").isNull(), F.col("base")).otherwise(F.concat("base", "random"))).alias("found"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubla.llm.common import components, local_components, table
+from nubla.llm.common import components, local_components, small, table
 from nubla.llm.vectors import matrices, usable
 
 THRESHOLD = 0.95
@@ -117,11 +117,12 @@ def candidates(described: np.ndarray, low: np.ndarray, high: np.ndarray, pivot:
                 yield a[i : i + 512], b, second[begin]
 
 
-def _verify(threshold: float, shared: int, blocks: dict[int, int]):
+def _verify(threshold: float, shared: int):
     """A group (pivot, low, high) of two blocks, or one -> (rep, links, low): verified links of each, and a spanning set."""
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         pivot, low, high = (k.as_py() for k in key)
+        several = group.column("blocks")[0].as_py() > 1
         side = {n: group.column(n).combine_chunks() for n in ("rep", "n", "described", "embedding", "block")}
         rep, n, block = side["rep"].to_numpy(), side["n"].to_numpy(), side["block"].to_numpy()
         described = side["described"].flatten().to_numpy().reshape(len(rep), -1)
@@ -129,7 +130,7 @@ def _verify(threshold: float, shared: int, blocks: dict[int, int]):
         for rows, m in matrices(side["embedding"]):
             unit, at = _unit(m), np.full(len(rep), -1)
             at[rows] = np.arange(len(rows))
-            least = 1 if pivot in blocks else min(shared, int((described[rows] >= 0).sum(1).min()))
+            least = 1 if several else min(shared, int((described[rows] >= 0).sum(1).min()))
             first = rows[block[rows] == low]
             for a, b, second in candidates(described, first, first if low == high else rows[block[rows] == high], pivot, least):
                 x, y = np.nonzero(unit[at[a]] @ unit[at[b]].T >= threshold)
@@ -170,12 +171,13 @@ def deduplicate(vectors: DataFrame, threshold: float = THRESHOLD, prefix: int =
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     kind = every.schema["embedding"].dataType.simpleString()
     lists = table(classes.select("rep", "n", "embedding").mapInArrow(_describe(chosen, prefix), f"pivot int, rep long, n long, described array<int>, embedding {kind}"), "lists")
-    long = {r["pivot"]: -(-r["count"] // BLOCK) for r in lists.groupBy("pivot").count().filter(F.col("count") > BLOCK).collect()}
-    split = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in long.items() for x in kv]), F.col("pivot")), F.lit(1)) if long else F.lit(1)
-    dealt = lists.withColumn("blocks", split).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = lists.groupBy("pivot").count().filter(F.col("count") > BLOCK)
+    sizes = table(sizes.select(F.col("pivot").alias("own"), F.ceil(F.col("count") / BLOCK).cast("int").alias("several")), "sizes")
+    dealt = lists.join(small(sizes, row=16), F.col("pivot") == F.col("own"), "left").withColumn("blocks", F.coalesce("several", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "n", "described", "embedding", "block")
-    found = table(dealt.groupBy("pivot", "low", "high").applyInArrow(_verify(threshold, shared, long), "rep long, links long, low long"), "links")
+    dealt = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "rep", "n", "described", "embedding", "block", "blocks")
+    found = table(dealt.groupBy("pivot", "low", "high").applyInArrow(_verify(threshold, shared), "rep long, links long, low long"), "links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     known = classes.join(linked, "rep", "left").join(parts.withColumnRenamed("id", "rep"), "rep", "left")

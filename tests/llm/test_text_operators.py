@@ -185,10 +185,10 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 1])
+@pytest.mark.parametrize("broadcast", [48 << 20, 1])
 def test_mixing_of_many_sources(spark, monkeypatch, broadcast):
     """5,000 sources, each with its own weight; also where their table is too large to be broadcast."""
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", broadcast)
     rows = [(i, "w " * (1 + i % 11), "en", f"s{i % 5000}" if i < 9000 else "hot") for i in range(12_000)]
     out = mixing.mix(table(spark, rows), repeats=3.0).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in out} == mixed_by_hand(rows, 3.0)

@@ -133,6 +133,18 @@ def test_search_few_and_empty(spark, rows):
     assert vector_search.nearest(none, none).count() == 0 and vector_search.nearest(few, none).count() == 0
 
 
+def test_extreme_components(spark):
+    """Vectors of doubles whose squares are beyond what doubles hold link and are found as the same directions in middle sizes."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((40, 8))
+    base[20:] = base[:20] + rng.standard_normal((20, 8)) * 0.01
+    scale = np.array([1e200, 1e-200, 1.0, 1e-310, 1e300])[np.arange(40) % 5][:, None]
+    made = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>") for m in (base, base * scale)]
+    for run in (lambda df: vector_dedup.deduplicate(df), lambda df: vector_search.nearest(df, df.filter("vec_id % 5 < 3"), 3)):
+        a, b = (sorted(map(tuple, run(df).collect())) for df in made)
+        assert len(a) == len(b) and all(np.allclose(np.array(x, float), np.array(y, float), atol=1e-4) for x, y in zip(a, b, strict=True))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (100, 102), (7, 7)] + [(200, 200 + i) for i in range(1, 50)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
