@@ -85,6 +85,16 @@ def new_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``select`` and ``col`` take it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with names that any function takes, to be named again with ``toDF``."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 3 is 1; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

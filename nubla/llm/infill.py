@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nubla.llm.common import byte_slices, new_name, release, text_bytes
+from nubla.llm.common import by_place, byte_slices, new_name, release, text_bytes
 
 SENTINELS = ("<P>", "<S>", "<M>")
 PLAIN_FROM, SPM_BELOW = 90, 20
@@ -154,6 +154,7 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, sentinels: tuple[str, str, st
     names, text_at = docs.columns, [c.lower() for c in docs.columns].index("text")
     out = docs.select("*", *[d.alias(new_name(docs, f"_draw{i}")) for i, d in enumerate(draws(F.col("doc_id"), seed))])
     added = [new_name(docs, c) for c in ("n", "form", "prefix", "middle", "output")]
+    places = [f"c{len(names) + i}" for i in range(len(added))]
 
     def run(batches):
         for batch in batches:
@@ -161,12 +162,13 @@ def fill_in_middle(docs: DataFrame, seed: int = 1, sentinels: tuple[str, str, st
                 rows = batch.slice(a, b - a)
                 drawn = np.column_stack([rows.column(len(names) + i).to_numpy(zero_copy_only=False) for i in range(4)])
                 done = infill(rows.column(text_at), drawn, sentinels, unit, plain_from, spm_below)
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), *(done[c] for c in ("n", "form", "prefix", "middle")), _string(done["output"])], [*names, *added])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), *(done[c] for c in ("n", "form", "prefix", "middle")), _string(done["output"])], [*[f"c{i}" for i in range(len(names))], *places])
         release()
 
-    kinds = zip(added, ("bigint", "string", "bigint", "bigint", "string"), strict=True)
-    schema = docs.select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds]).schema
-    return out.mapInArrow(run, schema)
+    out = by_place(out)
+    kinds = zip(places, ("bigint", "string", "bigint", "bigint", "string"), strict=True)
+    schema = by_place(docs).select("*", *[F.lit(None).cast(k).alias(c) for c, k in kinds]).schema
+    return out.mapInArrow(run, schema).toDF(*names, *added)
 
 
 def _string(text: pa.Array) -> pa.Array:
@@ -184,10 +186,11 @@ def restore(done: DataFrame, output: str = "output", form: str = "form", sentine
         for batch in batches:
             for a, b in byte_slices(batch.column(at), SLICE):
                 rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), _string(restored(rows.column(at), rows.column(kind), sentinels))], [*names, column])
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(names))), _string(restored(rows.column(at), rows.column(kind), sentinels))], [f"c{i}" for i in range(len(names) + 1)])
         release()
 
-    return done.mapInArrow(run, done.withColumn(column, F.lit(None).cast("string")).schema)
+    plain = by_place(done)
+    return plain.mapInArrow(run, plain.withColumn(f"c{len(names)}", F.lit(None).cast("string")).schema).toDF(*names, column)
 
 
 def op11_infill(spark, sf_dir: str) -> DataFrame:

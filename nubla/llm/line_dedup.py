@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nubla.llm.common import join_counted, new_name, small, table
+from nubla.llm.common import join_counted, new_name, quoted, small, table
 
 WINDOW = 2
 DIVISOR = 2
@@ -162,7 +162,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     left = _let(F.col(found), lambda ranges: _let(F.split("text", "\n", -1), lambda split: _without(split, ranges)))
     text = F.when(F.col(found).isNull(), F.col("text")).otherwise(left)
     counted = joined.withColumn(lines, F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))).withColumn("text", text)
-    return counted.select(*["`" + c.replace("`", "``") + "`" for c in docs.columns], lines, found)
+    return counted.select(*map(quoted, docs.columns), lines, found)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nubla.llm.common import fits, join_counted, new_name, small, table
+from nubla.llm.common import fits, join_counted, new_name, quoted, small, table
 
 REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, repeats: float | None = REPEATS, entropy: float | None
     dealt = planned(narrow).withColumn("block", F.pmod("place", "blocks")).withColumn("upto", F.sum("tokens").over(ordered)).withColumn("all", F.sum("tokens").over(window))
     last = dealt.filter(2 * F.col("upto") - F.col("tokens") <= 2 * F.col("part") * F.col("all")).groupBy("s", "block").agg(F.max("place").alias("last"))
     last = table(last, "cuts").select(F.col("s").alias("cut_s"), F.col("block").alias("cut_block"), "last")
-    whole_row = placed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(o).alias(n) for o, n in zip(own, ("s", "tokens", "place"), strict=True)])
+    whole_row = placed.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[F.col(o).alias(n) for o, n in zip(own, ("s", "tokens", "place"), strict=True)])
     out = planned(whole_row).withColumn("block", F.pmod("place", "blocks"))
     out = out.join(small(last), (F.col("s") == F.col("cut_s")) & (F.col("block") == F.col("cut_block")), "left")
     copies = F.col("epochs") + F.coalesce(F.col("place") <= F.col("last"), F.lit(False)).cast("int")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nubla.llm.common import byte_slices, held_out, release, sampled, small, table, within
+from nubla.llm.common import by_place, byte_slices, held_out, release, sampled, small, table, within
 
 PER_LABEL, MOST_CHARS = 3000, 24 << 20
 THRESHOLD = 0.7
@@ -313,7 +313,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             yield batch.filter(pa.array(s < THRESHOLD))
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = by_place(docs)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

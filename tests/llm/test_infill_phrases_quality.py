@@ -76,6 +76,12 @@ def test_infill_of_odd_rows(spark, odd, empty):  # noqa: F811
     assert all((r["text"] or "") == r["restored"] for r in own)
 
 
+def test_infill_with_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some text", "x", None)], "doc_id long, text string, `a.b` string, `q``r` string")
+    done = infill.restore(infill.fill_in_middle(docs))
+    assert done.columns[:4] == docs.columns and done.columns[-1] == "restored" and done.first()["restored"] == "some text"
+
+
 def test_infill_kernel_on_slices():
     """A slice of an array, as Arrow batches hold them, with texts before and after it."""
     texts = pa.array(["before é", *MIXED, None, "after"])[1:-1]

@@ -61,6 +61,21 @@ def test_odd_rows(spark, folder):
         assert docs.groupBy("doc_id").count().count() == (4 if data else 0)
 
 
+def test_columns_of_any_name(spark, folder):
+    """Columns with dots, quotes and the operators' own names pass through every stage but the last, with very long texts."""
+    names = ["a.b", "q`r", "_id", "_gone", "n", "key", "rep", "_mix", "Text 2", "form"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    rng = random.Random(14)
+    texts = [words(rng, 30) for _ in range(6)] + ["\n".join(words(rng, 12) for _ in range(4000))] * 2
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns[5:] == names and docs.count() >= 6, name
+        assert all(r[5 + j] == f"{n}{r['doc_id']}" for r in docs.collect() for j, n in enumerate(names)), name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
+
+
 def test_run(spark, folder):
     """The whole run is what the stages give one after another, and its pieces hold every token of the mixture once."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
