@@ -9,7 +9,7 @@ import pytest
 
 from nubla.plans.queries import QUERIES
 
-CHECKED = ["full_redaction", "discarded", "detect_professional", "detect_date_partial", "detect_relative_age", "anonymised_table", "correspondence", "validate_summary", "column_profile", "relative_time", "email_documents", "clean_spaces", "highlighted_notes", "score_places", "transform_entity", "batch_summary", "accept_decisions", "profile_visits"]
+CHECKED = ["full_redaction", "discarded", "detect_professional", "detect_date_partial", "detect_relative_age", "anonymised_table", "correspondence", "validate_summary", "column_profile", "relative_time", "email_documents", "clean_spaces", "highlighted_notes", "score_places", "transform_entity", "batch_summary", "accept_decisions", "profile_visits", "patient_column", "column_mapping", "entities_by_table", "gazetteer_cities", "dictionary_hits", "pdf_text", "workbook_roundtrip", "csv_roundtrip"]
 
 
 def text(df: pd.DataFrame) -> list:
