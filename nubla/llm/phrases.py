@@ -328,7 +328,7 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST, cover:
     salted = left_.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     few = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= first)
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= first)
-    return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_phrases(spark, sf_dir: str) -> DataFrame:
@@ -355,5 +355,5 @@ inside as (
 ranked as (
   select b.*, array_to_string(b.g, ' ') as phrase from best b left join inside i on i.lang = b.lang and i.g = b.g where i.g is null or i.longer::hugeint * 100 < b.a::hugeint * {COVER}),
 placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ranked)
-select lang, rank::int as rank, phrase, a, l, r, n, score from placed join size using (lang) where rank <= {FIRST}
+select lang, rank, phrase, a, l, r, n, score from placed join size using (lang) where rank <= {FIRST}
 """
