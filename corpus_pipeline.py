@@ -15,6 +15,15 @@ from nubla.llm import line_dedup, minhash_dedup, mixing, packing, toxicity
 from nubla.llm.common import table
 
 
+#: Rows of a batch between the JVM and Python: with texts of some thousand characters, batches of the default size take tens of
+#: megabytes on both sides of every task.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _named(docs: DataFrame) -> list[str]:
     """The names of the columns, as ``select`` takes them whatever they hold."""
     return ["`" + c.replace("`", "``") + "`" for c in docs.columns]
@@ -23,6 +32,7 @@ def _named(docs: DataFrame) -> list[str]:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the rows predicted toxic, by what the labels teach. Null and empty texts stay; repeated rows are judged alike;
     an empty table stays empty, and without labels the seed grammar judges."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
@@ -38,6 +48,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate group, once where rows repeat. Null texts are empty ones, which are
     copies of each other; rows without an id stay; an empty table stays empty."""
+    _small_batches(spark)
     return minhash_dedup.keep_one(docs)
 
 
@@ -50,6 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences. Each row is a document of one token at least, whether its text is null, its id is
     null or it repeats; an empty table gives none."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 
