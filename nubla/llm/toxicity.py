@@ -272,7 +272,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     some = table(sampled(known.filter(~held_out(F.col("doc_id"))), "toxic", "doc_id", per_label, 2 * per_label), "labels")
     got = within(rows.join(small(some), "doc_id"), "toxic", F.xxhash64("doc_id", "text"), F.length("text"), per_label, MOST_CHARS).collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return train([r["text"] for r in got], [r["toxic"] for r in got])
+    texts, toxic = [r["text"] for r in got], [r["toxic"] for r in got]
+    del got
+    model = train(texts, toxic)
+    del texts
+    release()  # the driver's memory, for the stages that follow
+    return model
 
 
 def _scores(model: Model, text: pa.Array) -> np.ndarray:
