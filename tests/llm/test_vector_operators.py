@@ -150,3 +150,20 @@ def test_components(spark):
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {i: 1 for i in range(1, 61)} | {i: 100 for i in (100, 101, 102)} | {i: 200 for i in range(200, 250)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_in_rounds_and_in_one_task(spark, few):
+    rng = np.random.default_rng(3)
+    links = [(i, i + 1) for i in rng.permutation(300).tolist() if i % 60 != 59] + [(1000, int(i)) for i in rng.integers(1001, 1100, 150)] + [(5, 5)]
+    found = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), few).collect()}
+    assert found == {i: i // 60 * 60 for i in range(300)} | {1000: 1000} | {b: 1000 for a, b in links if a == 1000}
+
+
+def test_few_links_take_few_jobs(spark):
+    """Rounds of jobs over few rows took the driver's memory."""
+    spark.sparkContext.setJobGroup("few-links", "")
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    assert components(links).count() == 301
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 12
