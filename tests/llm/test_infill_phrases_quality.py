@@ -4,13 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from nubla.llm import infill, phrases, quality
+from nubla.llm import common, infill, phrases, quality
 
 from .test_text_operators import empty, odd, table, words  # noqa: F401
 
@@ -136,6 +137,19 @@ def test_phrases(spark, monkeypatch, hot_rows, hot_share, bits):
     assert got == mined_by_hand(texts, 5, 60, 80) and len(got) > 80
 
 
+def test_written_tables_leave_nothing_shuffled(spark):
+    """Else what is shuffled for one step lies on disk beside the next one's."""
+    files = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString("\n").split("\n"))
+    before = files()
+    counted = common.table(spark.range(5000).selectExpr("id % 100 as k").groupBy("k").count(), "counted")
+    assert len(counted.collect()) == 100
+    left = lambda: [f for f in files() - before if f.startswith("shuffle") and "data" in f]
+    deadline = time.time() + 20
+    while left() and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left()
+
+
 def test_phrases_of_odd_rows(spark, odd, empty):  # noqa: F811
     rows = [(r["text"], r["lang"]) for r in odd.collect()]
     assert sorted(map(tuple, phrases.collocations(odd, 2).collect())) == mined_by_hand(rows, 2, 2000, 80)
