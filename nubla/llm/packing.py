@@ -39,9 +39,13 @@ def default_vocabulary() -> str:
 
 
 def _unbroken(text: str) -> bool:
-    """Whether a text may have a run of ``RUN`` characters without white space, or of nothing else."""
+    """Whether a text may have a run of ``RUN`` characters without white space, or of nothing else. Such a run holds a whole
+    block of half its length, and the first characters of a block mostly show that it isn't one."""
     if len(text) < RUN:
         return False
+    starts = (text[a : a + 64] for a in range(0, len(text) - RUN // 2 + 1, RUN // 2))
+    if not any(c in text for c in "\x1c\x1d\x1e\x1f") and all((w := s.split(None, 1)) and len(w[0]) < len(s) for s in starts):
+        return False
     sizes = [len(w) for w in text.split()]
     return max(sizes, default=0) >= RUN or len(text) - sum(sizes) >= len(sizes) + RUN
 
@@ -72,7 +76,7 @@ def encoder(path: str):
 
     special = {x["content"]: x["id"] for x in json.loads(Path(path).read_text())["added_tokens"]}
     own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}, special_tokens=special)
-    fast = lambda text: np.array(own.encode(text, allowed_special="all") if any(s in text for s in special) else own.encode_ordinary(text), np.uint16)
+    fast = lambda text: own.encode_to_numpy(text, allowed_special="all" if any(s in text for s in special) else set(), disallowed_special=()).astype(np.uint16)
     return lambda text: slow(text) if _unbroken(text) else fast(text)
 
 
@@ -141,47 +145,55 @@ def pack(docs: DataFrame, tokenizer: str | None = None, targets: dict[str, float
         where, cache = {q: i for i, q in enumerate(names)}, {}
         per = max(1, min(256, TABLE // max(1, len(names))))  # windows of a table
 
-        def block(k: int) -> np.ndarray:  # the table for these windows and the one after
+        def block(k: int) -> tuple[np.ndarray, np.ndarray]:  # by queue, what these windows and the one after begin with, and its place in a window less that
             if k not in cache:
                 if len(cache) >= 16:
                     cache.pop(next(iter(cache)))
-                cache[k] = served(n, share, np.arange(k * per, k * per + per + 1), size)
+                own = np.ascontiguousarray(served(n, share, np.arange(k * per, k * per + per + 1), size).T)
+                width = np.diff(own, axis=1)
+                cache[k] = own, np.cumsum(width, axis=0) - width - own[:, :-1]
             return cache[k]
 
         def window_of(q: int, at: int) -> int:
             guess = int(at / max(n[q], 1) * n.sum() / size) // per
             for k in (guess, guess - 1, guess + 1):
-                if k >= 0 and block(k)[0, q] <= at < block(k)[per, q]:
-                    return k * per + int(np.searchsorted(block(k)[:, q], at, side="right")) - 1
+                if k >= 0 and block(k)[0][q, 0] <= at < block(k)[0][q, per]:
+                    return k * per + int(np.searchsorted(block(k)[0][q], at, side="right")) - 1
             low, high = 0, int(n.sum() // size) // per + 2
             while high - low > 1:
                 mid = (low + high) // 2
                 low, high = (mid, high) if served(n, share, np.array([mid * per]), size)[0, q] <= at else (low, mid)
-            return low * per + int(np.searchsorted(block(low)[:, q], at, side="right")) - 1
+            return low * per + int(np.searchsorted(block(low)[0][q], at, side="right")) - 1
+
+        def pieces(q: int, at: int, end: int):
+            """(start, length, window, place in it) of the pieces of a queue's tokens from ``at`` to ``end``, a block's windows at a time."""
+            k, done = window_of(q, at), at
+            while done < end:
+                own, base = block(k // per)
+                low, high = k % per, min(int(np.searchsorted(own[q], end)), per)
+                edges = np.clip(own[q, low : high + 1], done, end)
+                length = np.diff(edges)
+                some = np.flatnonzero(length)
+                start = edges[some]
+                yield start - at, length[some], k + some, base[q, low + some] + start
+                k, done = k + high - low, int(edges[-1])
 
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 rows = batch.slice(first, 512)
-                out = [[] for _ in range(7)]
+                made, crcs, bodies = [], [], []
                 for i, (q, at, count, ids) in enumerate(zip(*(rows.column(c).to_pylist() for c in ("queue", "at", "n", "ids")), strict=True)):
-                    q, ids, done = where[q], np.frombuffer(ids, "<u2").astype("<u4"), 0
-                    k = window_of(q, at)
-                    while done < count:
-                        own = block(k // per)
-                        a, b = own[k % per], own[k % per + 1]
-                        length = min(int(b[q]) - at - done, count - done)
-                        if length > 0:
-                            piece = ids[done : done + length].tobytes()
-                            offset = int((b[:q] - a[:q]).sum()) + at + done - int(a[q])
-                            for x, v in zip(out, (i, done, length, zlib.crc32(piece), k, offset, piece), strict=True):
-                                x.append(v)
-                            done += length
-                        k += 1
-                index = pa.array(out[0], pa.int64())
-                columns = [rows.column("doc_id").take(index), rows.column("source").take(index), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), rows.column("n").take(index), pa.array(out[4], pa.int64()), pa.array(out[5], pa.int64())]
+                    body = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
+                    for part in pieces(where[q], at, at + count):
+                        made.append((np.full(len(part[0]), i), *part))
+                        cut = [body[4 * a : 4 * (a + x)] for a, x in zip(part[0].tolist(), part[1].tolist(), strict=True)]
+                        crcs += map(zlib.crc32, cut)
+                        bodies += map(bytes, cut) if with_ids else ()
+                index, start, length, window, offset = map(pa.array, map(np.concatenate, zip(*made, strict=True)))
+                columns = [rows.column("doc_id").take(index), rows.column("source").take(index), start, length, pa.array(crcs, pa.int64()), rows.column("n").take(index), window, offset]
                 names_ = ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 if with_ids:
-                    columns, names_ = [*columns, pa.array(out[6], pa.binary())], [*names_, "ids"]
+                    columns, names_ = [*columns, pa.array(bodies, pa.binary())], [*names_, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names_)
         release()
 

@@ -81,6 +81,14 @@ def test_encoder_on_very_long_runs():
         assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_unbroken_runs():
+    """Only runs send a text to the slower reader, not many short blanks; a run may lie anywhere."""
+    n = packing.RUN
+    assert not packing._unbroken("a  " * n) and not packing._unbroken("ab \n" * n) and not packing._unbroken("x" * (n - 1))
+    for run in ("x" * n, " \n" * (n // 2)):
+        assert all(packing._unbroken("a b " * k + run + " c d" * k) for k in range(0, 3 * n, 701))
+
+
 def test_packing_of_very_long_texts(spark):
     rows = [(1, " " * 1_000_000), (2, "x" * 300_000), (3, "one two"), (4, "word " * 200_000)]
     check_pieces(packing.pack(table(spark, [(i, t, "en", "a") for i, t in rows])).collect(), rows)
