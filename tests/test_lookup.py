@@ -3,13 +3,15 @@
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from nubla.operators.detect import detect
 from nubla.operators.dictionaries import Dictionaries, as_table, of_table, read
-from nubla.operators.lookup import hits
+from nubla.operators.lookup import hits, split_hits
 from nubla.plans.pipeline import Config, pseudonymise
+from nubla.plans.queries import QUERIES
 from nubla.plans.relations import notes
 
 
@@ -75,3 +77,24 @@ def test_a_third_of_all_notes_alike(spark):
     docs = spark.createDataFrame(rows, "id int, text string").repartition(8)
     found = detect(docs, of_table(as_table(spark)), only={"city_dict"})
     assert found.count() == 1500 and found.filter(F.size("candidates") == 1).count() == 1500
+
+
+def test_hits_by_splitting(spark, tmp_path):
+    """The registered query against its SQL: entries that overlap themselves, edges beside accented letters, marks and blanks
+    at their ends, letters whose lower case is longer or depends on their place, and notes of one key."""
+    rng = random.Random(5)
+    openings = ["the the", "a a", "de í", "et une", "a\\E b", "la. é", "x. y", "é ñ", "ΣΑΣ İ", "_ b", "of, ", " ", "as a", "😀 x"]
+    stock = [*openings, "the", "THE", "bathe", "a", "b", "de ímpetu", "prêt une", "une", "é", "İ", "σας i", "a éa ñ", "é ñb", "as", "asa", "_", "of", "x", "y", "\n"]
+    texts = [None, "", "é ñ", "aé ñ", "the the the", "bathe the the the", "İİ the the", "a a a a a", "ΣΑΣ İ"]
+    texts += ["".join(rng.choice(stock) + rng.choice([" ", " ", "", ", "]) for _ in range(30)) for _ in range(200)]
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(f"{o} more words",) for o in openings], "text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    query, sql = QUERIES["dictionary_hits"]
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, query(spark, str(tmp_path)).select("doc_id", "span_start", "span_end", "words").collect()))
+    assert got == sorted(con.execute(f"select doc_id, span_start, span_end, words from ({sql})").fetchall()) and len(got) > 500
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = split_hits(docs, spark.createDataFrame([(o,) for o in openings] + [(None,), ("",)], "entry string"), "id").collect()
+    assert found and all(r["match"] == texts[r["id"]][r["start"] : r["end"]] for r in found)
