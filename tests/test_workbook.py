@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -77,6 +78,37 @@ def test_full_sheets_go_on(tmp_path, monkeypatch):
     assert got == {"d": [["head"], ["1"], ["2"], ["3"]], "d (2)": [["head"], ["4"], ["5"], ["6"]]} and os.listdir(tmp_path) == ["w.xlsx"]
 
 
+def test_sheets_that_go_on_are_read(spark, tmp_path, monkeypatch):
+    """The table of full sheets is read whole, in order and without their headers; other sheets are not part of it, nor are
+    those that are only called so."""
+    monkeypatch.setattr(workbook, "SHEET_ROWS", 4)
+    number = lambda t: type("C", (), {"text": None, "number": t})
+    cell = lambda t: type("C", (), {"text": t, "number": None})
+    row = lambda s, *c: type("R", (), {"sheet": s, "cells": list(c)})
+    head = [row(0, cell("NHC"), cell("Nombre"), cell("Visita"))]
+    for name, n in (("a", 40), ("b", 4), ("c", 7)):
+        writer = workbook.WorkbookWriter(str(tmp_path / f"{name}.xlsx"), ["d", "Info"])
+        own = [row(0, cell(f"{name}{i}"), cell("Ana" if i % 5 else ""), number(float(i))) for i in range(n - 1)]
+        writer.commit([writer.write(iter([*head, *own, *[row(1, cell("x"), cell("y"), cell("z")) for _ in range(6)]]))])
+    assert list(sheets(tmp_path / "a.xlsx"))[:13] == ["d", *[f"d ({i})" for i in range(2, 14)]]
+    assert len(sheet_cells((tmp_path / "a.xlsx").read_bytes())) == 40 and len(sheet_cells((tmp_path / "b.xlsx").read_bytes())) == 4
+    table = read_xlsx(spark, str(tmp_path))
+    rows = [tuple(r) for r in table.orderBy("_row").collect()]
+    assert [r[:3] for r in rows] == [(f"{name}{i}", "Ana" if i % 5 else "", str(i)) for name, n in (("a", 40), ("b", 4), ("c", 7)) for i in range(n - 1)]
+    assert [r[3] for r in rows] == [(k << 32) + i + 1 for k, n in enumerate((40, 4, 7)) for i in range(n - 1)]
+    copy = tmp_path / "copy.xlsx"
+    with zipfile.ZipFile(tmp_path / "c.xlsx") as z, zipfile.ZipFile(copy, "w") as out:
+        for n in z.namelist():
+            out.writestr(n, re.sub(rb"<definedNames>.*</definedNames>", b"", z.read(n)))
+    assert [r[0] for r in sheet_cells(copy.read_bytes())] == [r[0] for r in sheets(copy)["d"]] == ["NHC", "c0", "c1", "c2"]
+    broken = tmp_path / "u.xlsx"
+    with zipfile.ZipFile(broken, "w") as out:
+        out.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{workbook.MAIN}"><sheetData><row><c t="inlineStr"><is><t>abc</t></is></c></row></sheetData></worksheet>')
+    broken.write_bytes(broken.read_bytes().replace(b"abc", b"abd"))
+    with pytest.raises(Exception, match="CRC|broken"):
+        read_xlsx(spark, str(broken)).collect()
+
+
 def test_sinks_as_workbooks(spark, tmp_path):
     rows = [(0, "7", "Ana", "01/02/2024", " Sur"), (1, "8", "Luis", "02/02/2024", "norte"), (2, "7", "Ana", "03/02/2024", "SUR")]
     table = spark.createDataFrame(rows, "_row long, nhc string, nombre string, fecha string, centro string")
