@@ -57,3 +57,14 @@ def test_state_and_expiry():
     (b,) = p.handleInputRows(("ana",), iter([frame(("ana", "2", "C"))]), None)
     assert list(a.iloc[0])[:3] == ["ana", "A", 2] == list(b.iloc[0])[:3]
     p.close()
+
+
+def test_notes_of_one_file_are_dealt_out(spark, small, tmp_path):
+    """A file of one partition is work for all cores, and none of its notes is lost."""
+    notes(spark, small).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = []
+    stream = N.read_notes(spark, str(tmp_path / "in"), "note_id long, text string", files_per_trigger=1)
+    put = lambda rows, batch: found.extend(rows.selectExpr("note_id", "spark_partition_id() as part").collect())
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    assert len({r["part"] for r in found}) == spark.sparkContext.defaultParallelism > 1
+    assert sorted(r["note_id"] for r in found) == sorted(r["note_id"] for r in notes(spark, small).select("note_id").collect())
